@@ -39,11 +39,61 @@ def resolve_aliases(
     return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(trial, "target", marker)
 
 
-def take_targets(df: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Rows of the resolved markers, named by target (``joint``)."""
-    return df.join(resolved, ["trial", "marker"]).select(
-        "trial", "frame", F.col("target").alias("joint"), "x", "y", "z"
+MIDPOINTS = {
+    "neck": ("left_shoulder", "right_shoulder"),
+    "mid_hip": ("left_hip", "right_hip"),
+}
+
+
+def joint_plan(
+    present: DataFrame,
+    single: dict[str, list[str]],
+    pairs: dict[str, tuple[list[str], list[str]]] | None = None,
+    midpoints: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """(trial, joint, marker, w, parts): how each joint is averaged from markers.
+
+    A joint is one marker (the first candidate present), the midpoint of a pair
+    when the trial has both of its sides, or the midpoint of two other joints.
+    Works on the (trial, marker) names only."""
+    rows = [(t, "one", c, i) for t, cs in single.items() for i, c in enumerate(cs)]
+    for t, (a, b) in (pairs or {}).items():
+        rows += [(t, "a", c, i) for i, c in enumerate(a)] + [(t, "b", c, i) for i, c in enumerate(b)]
+    dim = literal_table(present.sparkSession, ["target", "role", "candidate", "priority"], rows)
+    a = dim.select("target", "role", F.lower("candidate").alias("_n"), "priority")
+    d = present.select("trial", "marker", F.lower("marker").alias("_n")).join(a, "_n")
+    best = d.groupBy("trial", "target", "role").agg(
+        F.max_by("marker", F.struct(-F.col("priority"), F.col("marker"))).alias("marker")
     )
+    role = lambda r: F.max(F.when(F.col("role") == r, F.col("marker"))).alias(r)
+    j = best.groupBy("trial", F.col("target").alias("joint")).agg(role("one"), role("a"), role("b"))
+    part = lambda c, w: F.struct(F.col(c).alias("marker"), F.lit(w).alias("w"))
+    parts = F.when(
+        F.col("a").isNotNull() & F.col("b").isNotNull(), F.array(part("a", 0.5), part("b", 0.5))
+    ).when(F.col("one").isNotNull(), F.array(part("one", 1.0)))
+    j = j.select("trial", "joint", parts.alias("ps")).where("ps is not null")
+    if midpoints:
+        mids = F.array(*[
+            F.struct(F.lit(m).alias("mid"), F.lit(c).alias("child")) for m, cs in midpoints.items() for c in cs
+        ])
+        hit = F.filter(mids, lambda m: m["child"] == F.col("joint"))
+        half = F.transform("ps", lambda p: F.struct(p["marker"].alias("marker"), (p["w"] * 0.5).alias("w")))
+        m = j.select("trial", F.explode(hit).alias("m"), half.alias("ps")).groupBy(
+            "trial", F.col("m.mid").alias("joint")
+        ).agg(F.count(F.lit(1)).alias("_c"), F.flatten(F.collect_list("ps")).alias("ps"))
+        j = j.unionByName(m.where("_c = 2").drop("_c"))
+    return j.select("trial", "joint", F.size("ps").alias("parts"), F.inline("ps"))
+
+
+def apply_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """trial, frame, joint, x, y, z; NULL in frames where a part is incomplete."""
+    d = df.join(plan, ["trial", "marker"])
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    g = d.groupBy("trial", "frame", "joint").agg(
+        F.max("parts").alias("_p"), F.count_if(whole).alias("_n"),
+        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in "xyz"],
+    )
+    return g.select("trial", "frame", "joint", *[F.when(F.col("_n") == F.col("_p"), F.col(c)).alias(c) for c in "xyz"])
 
 
 def mean_targets(df: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,64 +106,38 @@ def mean_targets(df: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def _midpoints(df: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Midpoint per target of two resolved marker sets."""
-    pa, pb = take_targets(df, a), take_targets(df, b)
-    pb = pb.select("trial", "frame", "joint", *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    return pa.join(pb, ["trial", "frame", "joint"]).select(
-        "trial", "frame", "joint", *[(0.5 * (F.col(c) + F.col(f"_{c}"))).alias(c) for c in "xyz"]
-    )
-
-
 def basic_joints(
     df: DataFrame, aliases: dict[str, list[str]], centers: dict[str, tuple[list[str], list[str]]] | None = None
 ) -> DataFrame:
     """Joints by alias; those in ``centers`` are the midpoint of their medial and
     lateral markers wherever a trial has both."""
-    spark = df.sparkSession
-    present = names_in(df)
-    cols = ["target", "candidate", "priority"]
-    single = resolve_aliases(present, literal_table(spark, cols, alias_rows(aliases)))
-    if not centers:
-        return take_targets(df, single)
-    side = lambda i: resolve_aliases(
-        present, literal_table(spark, cols, alias_rows({t: p[i] for t, p in centers.items()}))
-    )
-    med, lat = side(0), side(1)
-    both = med.select("trial", "target").join(lat.select("trial", "target"), ["trial", "target"])
-    single = single.join(both, ["trial", "target"], "left_anti")
-    pairs_med = med.join(both, ["trial", "target"], "left_semi")
-    pairs_lat = lat.join(both, ["trial", "target"], "left_semi")
-    return take_targets(df, single).unionByName(_midpoints(df, pairs_med, pairs_lat))
-
-
-def with_neck_and_mid_hip(df: DataFrame) -> DataFrame:
-    """Add neck and mid_hip as midpoints of shoulders and hips."""
-    from kinespark.operators.frames import synthetic_joint
-
-    d = df
-    for name, a, b in (("neck", "left_shoulder", "right_shoulder"), ("mid_hip", "left_hip", "right_hip")):
-        d = d.unionByName(synthetic_joint(df, ["trial", "frame"], name, a, b))
-    return d
+    return apply_plan(df, joint_plan(names_in(df), aliases, centers))
 
 
 def assemble_body20(
     df: DataFrame,
     single: dict[str, list[str]],
-    pairs: dict[str, tuple[list[str], list[str]]],
+    pairs: dict[str, tuple[list[str], list[str]]] | None = None,
     complete: bool = True,
 ) -> DataFrame:
-    """The 20-joint body from named markers.
+    """The 20-joint body from named markers, neck and mid_hip included.
 
     ``complete`` drops trials that cannot supply all twenty joints; otherwise
     missing joints stay as NULL rows."""
-    d = with_neck_and_mid_hip(basic_joints(df, single, pairs))
-    d = d.where(F.col("joint").isin(BODY20))
+    plan = joint_plan(names_in(df), single, pairs, MIDPOINTS)
+    plan = plan.where(F.col("joint").isin(BODY20))
     if complete:
-        return d.join(complete_trials(d, 20), "trial", "left_semi")
+        return apply_plan(df, plan.join(complete_trials(plan, 20), "trial", "left_semi"))
     wanted = F.array(*[F.lit(j) for j in BODY20])
     frames = df.select("trial", "frame").distinct().select("*", F.posexplode(wanted).alias("ord", "joint"))
-    return frames.join(d, ["trial", "frame", "joint"], "left")
+    return frames.join(apply_plan(df, plan), ["trial", "frame", "joint"], "left")
+
+
+def body20_from_keypoints(df: DataFrame) -> DataFrame:
+    """The 20-joint body from a keypoint table (``joint`` names); trials that
+    lack one of the eighteen measured joints are dropped."""
+    own = {j: [j] for j in BODY20 if j not in MIDPOINTS}
+    return assemble_body20(df.withColumnRenamed("joint", "marker"), own)
 
 
 def complete_trials(df: DataFrame, n_joints: int) -> DataFrame:

@@ -31,7 +31,7 @@ def exact_percentiles(
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [F.lit(p) for p in probes], F.lit(_ACCURACY)).alias("_q"),
+        F.percentile_approx("_v", probes, _ACCURACY).alias("_q"),
     )
     bands = []
     for i, (name, p) in enumerate(wanted.items()):

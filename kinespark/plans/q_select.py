@@ -234,7 +234,7 @@ def _(spark, sf):
 
 
 @query("flt_16_zero_as_missing", ["f8"],
-       "SELECT trial, marker, count(z) n_cell, count(*) FILTER (NOT (z=0 AND x<5)) n_triplet FROM f8 GROUP BY ALL")
+       "SELECT trial, marker, count(*) FILTER (z<>0) n_cell, count(*) FILTER (NOT (z=0 AND x<5)) n_triplet FROM f8 GROUP BY ALL")
 def _(spark, sf):
     d = X.markers_big(spark, sf)
     cell = select.zero_as_missing(d, ["z"], "cell").groupBy("trial", "marker").agg(F.count("z").alias("n_cell"))
@@ -464,8 +464,7 @@ def _(spark, sf):
        "SELECT trial, frame, joint, round(x,6) x FROM (SELECT trial, frame, joint, x FROM p UNION ALL SELECT * FROM s) WHERE trial <> 3")
 def _(spark, sf):
     d = X.pose_long(spark, sf).where("k >= 2 AND NOT (trial = 3 AND joint = 'left_heel')")
-    d = names.with_neck_and_mid_hip(d.select("trial", "frame", "joint", "x", "y", "z"))
-    return d.join(names.complete_trials(d, 20), "trial", "left_semi").select("trial", "frame", "joint", r6("x"))
+    return names.body20_from_keypoints(d).select("trial", "frame", "joint", r6("x"))
 
 
 _E1 = {t: p[0] for t, p in D.ENHANCED20_PAIRS.items()}
