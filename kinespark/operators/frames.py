@@ -88,37 +88,39 @@ def point_of(kp: str, index: int) -> list[Column]:
     return [p[c] for c in "xyz"]
 
 
-def body_axes(neck: G.Vec, mid_hip: G.Vec, left_hip: G.Vec, right_hip: G.Vec) -> Column:
-    """Rows of the body frame: forward, up, right. Up points from hips to neck,
-    right from the left to the right hip; forward and right are made orthogonal
-    again."""
-    up = G.normalize(G.sub(neck, mid_hip))
-    right = G.normalize(G.sub(right_hip, left_hip))
-    fwd = G.normalize(G.cross(up, right))
-    right = G.normalize(G.cross(fwd, up))
-    whole = F.lit(True)
-    for c in [*neck, *mid_hip, *left_hip, *right_hip]:
-        whole = whole & c.isNotNull()
-    return F.when(whole, F.array(*fwd, *up, *right))
+def _stage_unit(df: DataFrame, raw: Sequence[Column], name: str, eps: float = 1e-8) -> DataFrame:
+    """Columns name_0..2 with the unit vector of ``raw``; zero stays zero. Staged
+    in steps so that no expression is repeated inside the next."""
+    d = df.withColumns({f"_{name}_{i}": c for i, c in enumerate(raw)})
+    v = [F.col(f"_{name}_{i}") for i in range(3)]
+    d = d.withColumn(f"_{name}_n", G.norm(v))
+    n = F.col(f"_{name}_n")
+    return d.withColumns({f"{name}_{i}": F.when(n > eps, c / n).when(n.isNotNull(), c * 0.0) for i, c in enumerate(v)})
 
 
 def add_body_frame(df: DataFrame, kp: str, joints: dict[str, int]) -> DataFrame:
     """Frame layout in, plus ``center`` (mid-hip) and ``axes`` (nine values).
 
-    ``joints`` maps left/right shoulder and hip to positions in the array. The
-    points are materialised as columns once so that the expression stays flat."""
+    The rows of ``axes`` are forward, up and right: up points from the hips to
+    the neck, right from the left to the right hip; forward and right are made
+    orthogonal again. ``joints`` maps left/right shoulder and hip to positions
+    in the array. Both results are NULL when one of these points is incomplete."""
     d = df
     for n, i in joints.items():
-        for c, p in zip("xyz", point_of(kp, i)):
-            d = d.withColumn(f"_{n}_{c}", p)
+        d = d.withColumns({f"_{n}_{c}": p for c, p in zip("xyz", point_of(kp, i))})
     get = lambda n: [F.col(f"_{n}_{c}") for c in "xyz"]
     for name, a, b in (("neck", "left_shoulder", "right_shoulder"), ("mid", "left_hip", "right_hip")):
-        for c, m in zip("xyz", G.midpoint(get(a), get(b))):
-            d = d.withColumn(f"_{name}_{c}", m)
-    axes = body_axes(get("neck"), get("mid"), get("left_hip"), get("right_hip"))
-    d = d.withColumn("axes", axes)
-    center = F.when(F.col("axes").isNotNull(), F.array(*get("mid")))
-    return d.withColumn("center", center).select(*df.columns, "center", "axes")
+        d = d.withColumns({f"_{name}_{c}": m for c, m in zip("xyz", G.midpoint(get(a), get(b)))})
+    unit = lambda n: [F.col(f"{n}_{i}") for i in range(3)]
+    d = _stage_unit(d, G.sub(get("neck"), get("mid")), "_up")
+    d = _stage_unit(d, G.sub(get("right_hip"), get("left_hip")), "_side")
+    d = _stage_unit(d, G.cross(unit("_up"), unit("_side")), "_fwd")
+    d = _stage_unit(d, G.cross(unit("_fwd"), unit("_up")), "_right")
+    whole = F.lit(True)
+    for c in [*get("neck"), *get("mid")]:
+        whole = whole & c.isNotNull()
+    axes = F.when(whole, F.array(*unit("_fwd"), *unit("_up"), *unit("_right"))).alias("axes")
+    return d.select(*df.columns, F.when(whole, F.array(*get("mid"))).alias("center"), axes)
 
 
 def first_valid(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
