@@ -101,8 +101,8 @@ def _(spark, sf):
     return body(spark, sf).select("trial", "frame", *[r6(F.col("axes")[i], n) for i, n in enumerate(names)], r6(F.col("center")[0], "m0"))
 
 
-_CAN = ("SELECT f1.trial, f1.frame, joint, round(x-b.m0,6) cx, " + ", ".join(
-    f"round(a.{a}0*(x-b.m0)+a.{a}1*(y-b.m1)+a.{a}2*(z-b.m2),6) \"b{c}\"" for a, c in zip("fur", "xyz"))
+_CAN = ("SELECT f1.trial, f1.frame, joint, round(x-b.m0,6)+0.0 cx, " + ", ".join(
+    f"round(a.{a}0*(x-b.m0)+a.{a}1*(y-b.m1)+a.{a}2*(z-b.m2),6)+0.0 \"b{c}\"" for a, c in zip("fur", "xyz"))
     + " FROM f1 JOIN bf b ON b.trial=f1.trial AND b.frame=f1.frame JOIN bf a ON a.trial=f1.trial AND a.frame={af}")
 
 

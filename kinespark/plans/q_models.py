@@ -202,10 +202,10 @@ def _(spark, sf):
 
 @query("win_18_prepare_still", ["f8"],
        "WITH m AS (SELECT b.trial, b.marker, b.frame, b.x-coalesce(a.x,0) x, b.y-coalesce(a.y,0) y, b.z-coalesce(a.z,0) z FROM f8 b LEFT JOIN f8 a ON a.trial=b.trial AND a.frame=b.frame AND a.marker=1), "
-       "g AS (SELECT trial, max(greatest(x,y,z)) mx FROM m GROUP BY trial) SELECT trial, marker, frame, round(CASE WHEN mx>10 THEN y/1000 ELSE y END,6) y FROM m JOIN g USING (trial)")
+       "g AS (SELECT trial, max(greatest(x,y,z)) mx FROM m GROUP BY trial) SELECT trial, marker, frame, round(CASE WHEN mx>10 THEN y/1000 ELSE y END,9) y FROM m JOIN g USING (trial)")
 def _(spark, sf):
     d = X.markers_big(spark, sf).withColumn("marker", F.col("marker").cast("string"))
-    return quality.prepare_still(d, "1").select("trial", F.col("marker").cast("int").alias("marker"), "frame", r6("y"))
+    return quality.prepare_still(d, "1").select("trial", F.col("marker").cast("int").alias("marker"), "frame", (F.round("y", 9) + 0.0).alias("y"))
 
 
 # ------------------------------------------------------------- readiness

@@ -40,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df, label: str):
+    """Write a frame as parquet in the shared folder and read it back: cuts the
+    lineage before a result that is used more than once, and survives the loss
+    of executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
