@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinespark.functions import geometry as G
 from kinespark.operators import select
 from kinespark.operators.stats import exact_percentiles
+from kinespark.session import materialise
 
 XYZ = ("x", "y", "z")
 
@@ -65,7 +66,7 @@ def undistort_decision(
 ) -> DataFrame:
     """Per trial: median shift by undistortion over the first frames, and whether
     it reaches the threshold."""
-    d = undistort(select.first_frames(df, ["trial"], frame, n_frames), calib)
+    d = materialise(undistort(select.first_frames(df, ["trial"], frame, n_frames), calib), "sample")
     d = d.withColumn("_d", G.distance([F.col("uu"), F.col("uv")], [F.col("u"), F.col("v")]))
     q = exact_percentiles(d, ["trial"], "_d", {"median_shift": 0.5})
     return q.select("trial", "median_shift", (F.col("median_shift") >= threshold).alias("undistort"))

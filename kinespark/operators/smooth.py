@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
 from kinespark.operators import blocks, resample, series
+from kinespark.session import materialise
 
 
 def window_length(fs: Column, cutoff: Column) -> Column:
@@ -39,7 +40,7 @@ def moving_average(
     n_col = F.when(n_col % 2 == 0, n_col + 1).otherwise(n_col)
     d = df.withColumn("_half", F.when(n_col >= 3, F.floor(n_col / 2)).otherwise(F.lit(0)).cast("long"))
     gaps = F.struct(*[F.col(v).isNull().alias(v) for v in values])
-    d = resample.fill_gaps(d.withColumn("_gap", gaps), keys, index, values, width)
+    d = materialise(resample.fill_gaps(d.withColumn("_gap", gaps), keys, index, values, width), "filled")
     d = series.per_key(d, keys, (F.max(index) + 1).alias("_n"))
     # mirrored copies: positions p in [-half, n-1+half] that reflect onto the row
     i, n, half = F.col(index), F.col("_n"), F.col("_half")
@@ -83,6 +84,7 @@ def upsample(
     d = resample.interpolate(src, grid, keys, values, block_s=width / source_rate)
     if cutoff is None:
         return d
+    d = materialise(d, "upsampled")
     # the length depends on the job's rate and cutoff only
     n = max(3, min(int(round(0.443 * target_rate / max(0.1, cutoff))), int(2 * target_rate) + 1))
     return moving_average(d, keys, "i", values, n, width)
@@ -193,9 +195,9 @@ def downsample(
     """Filter, then interpolate onto a floored grid at ``target``; a target at or
     above the source rate keeps the frames. Gaps are filled first."""
     keys = list(keys)
-    d = resample.fill_gaps(df.select(*keys, index, *values), keys, index, values, width)
+    d = materialise(resample.fill_gaps(df.select(*keys, index, *values), keys, index, values, width), "filled")
     d = butterworth(d, keys, index, values, fs, antialias_cutoff(fs, target, cutoff), width=width)
-    d = d.withColumn("t", F.col(index) / fs)
+    d = materialise(d, "filtered").withColumn("t", F.col(index) / fs)
     if not 0 < target < fs:
         return d.select(*keys, F.col(index).alias("i"), "t", *values)
     span = d.groupBy(*keys).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kinespark.operators import blocks, resample, series
+from kinespark.session import materialise
 
 
 def leg_signal(df: DataFrame, keys: Sequence[str] = ("trial", "frame"), legs=(("left_hip", "left_ankle"), ("right_hip", "right_ankle"))) -> DataFrame:
@@ -47,7 +48,7 @@ def time_offset(
     clamp = dict(outside="clamp", min_samples=1, block_s=block_s)
     ga = resample.interpolate(a, grid, keys, ["signal"], **clamp).select(*keys, "i", F.col("signal").alias("a"))
     gb = resample.interpolate(b, grid, keys, ["signal"], **clamp).select(*keys, "i", F.col("signal").alias("b"))
-    d = ga.join(gb, [*keys, "i"])
+    both = d = materialise(ga.join(gb, [*keys, "i"]), "signals")
     d = series.per_key(
         d, keys, *[f(c).alias(n + c) for c in "ab" for n, f in (("_m", F.avg), ("_s", F.stddev_pop))]
     )
@@ -76,7 +77,7 @@ def time_offset(
         return pd.concat(rows)[names] if rows else pd.DataFrame({n: [] for n in names})
 
     sums = blocks.map_blocks(d, keys, "i", products, out).groupBy(*keys, "lag").agg(F.sum("c").alias("c"))
-    n = grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sums = sums.join(n, keys).where(F.abs("lag") < F.col("_n"))
     best = sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
     every = a.select(*keys).distinct()

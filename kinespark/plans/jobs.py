@@ -52,6 +52,7 @@ def metric_scaling(
     kp = F.zip_with(F.col("p.keypoints_xyz"), labels, lambda q, j: F.struct(
         j.alias("joint"), q[0].alias("x"), q[1].alias("y"), q[2].alias("z")))
     d = d.select("trial", "frame", ok.alias("ok"), F.when(select.well_formed(F.col("p.keypoints_xyz")), kp).alias("kp"))
+    d = materialise(d, "chosen")
     dist = d.where("ok").select("trial", scale.head_foot_distance("kp", h, f).alias("d"))
     scales = scale.height_scale(scale.model_height(dist, ["trial"], percentile=percentile), subjects, ["trial"])
     m = d.join(scales.where("status = 'ok'").select("trial", "scale"), "trial")
@@ -82,7 +83,7 @@ def absolute_placement(
     the translation is fitted on the reliable joints, smoothed over time per
     person, and applied to all joints; the reprojection error is reported."""
     gk = [*person_keys, "frame"]
-    d = points
+    d = points = materialise(points, "points")
     if undistort != "off":
         d = camera.undistort(d, calib)
         use = F.lit(True)
@@ -95,13 +96,15 @@ def absolute_placement(
     reliable = F.coalesce(F.col("score") >= min_score, F.lit(False))
     if joints is not None:
         reliable = reliable & F.col("k").isin(list(joints))
+    if undistort != "off":
+        d = materialise(d, "undistorted")
     fit = camera.place_with_rotation(d.where(reliable), calib, gk)
     every = d.select(*gk).distinct().join(fit, gk, "left")
     fit = camera.smooth_translation(every, list(person_keys), "frame", ema)
     q = d.join(calib.select("trial", F.col("R").alias("_R")), "trial").join(fit.select(*gk, "tx", "ty", "tz"), gk)
     r = G.mat_vec(G.elements(F.col("_R")), [F.col(c) for c in XYZ])
     q = q.select(*d.columns, "tx", "ty", "tz", *[(c + F.col(f"t{n}")).alias(f"c{n}") for c, n in zip(r, XYZ)])
-    q = camera.project(q, calib, distortion=False)
+    q = materialise(camera.project(q, calib, distortion=False), "placed")
     rmse = camera.reprojection_rmse(q.where(reliable), gk)
     cam = q.drop("pu", "pv").join(rmse, gk, "left")
     inv = camera.invert_calibration(calib).select("trial", F.col("R").alias("_R"), F.col("t").alias("_t"))
@@ -143,6 +146,7 @@ def _align_in_time(
 ) -> DataFrame:
     """Both series at the evaluation times: trial, i, t, joint, x.., rx..."""
     times = resample.evaluation_times(pred, ref, eval_on, rate, block_s=block_s)
+    times = materialise(times, "times")
     joints = pred.select("trial", "joint").distinct().join(ref.select("trial", "joint").distinct(), ["trial", "joint"])
     grid = times.join(joints, "trial").select("trial", "joint", "i", "t")
     key = ["trial", "joint"]
@@ -239,7 +243,7 @@ def enhanced_accuracy(
 
     ``pairs``: trial, left, right from :func:`names.native_pairs`. Centring uses
     the hips, or the centroid in trials that lack one of them."""
-    p = pairs.where(select.by_pattern("left", include, exclude))
+    p = materialise(pairs.where(select.by_pattern("left", include, exclude)), "pairs")
     a = pred.join(p.select("trial", F.col("left").alias("marker"), F.col("left").alias("joint")), ["trial", "marker"]).drop("marker")
     b = ref.join(p.select("trial", F.col("right").alias("marker"), F.col("left").alias("joint")), ["trial", "marker"]).drop("marker")
     if estimate_offset:

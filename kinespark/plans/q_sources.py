@@ -174,18 +174,25 @@ def _(spark, sf):
     return spark.read.schema(tables.META_SCHEMA).json(path).groupBy("calibration").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_documents(d, key, element, path):
+    """One XML document per file, each with a share of the elements."""
+    docs = d.select((F.col(key) % 16).alias("part"), element.alias("e")).groupBy("part").agg(
+        F.concat(F.lit("<Set>"), F.concat_ws("", F.collect_list("e")), F.lit("</Set>")).alias("value"))
+    docs.repartition("part").write.partitionBy("part").text(path)
+
+
 @query("src_11_camera_xml", None,
-       "SELECT s_suppkey, round((800.0+s_suppkey)*1.25,6) fx, (800.0+s_suppkey)::DOUBLE fy, round(0.01*(s_suppkey%5),6) k1, 640+s_suppkey%9 AS width, round(cos(0.01*s_suppkey),6) r00, round(-sin(0.01*s_suppkey),6) r01, (10.0*s_suppkey)::DOUBLE tx FROM supplier")
+       "SELECT s_suppkey, round((800.0+s_suppkey)*1.25::DOUBLE,6) fx, (800.0+s_suppkey)::DOUBLE fy, round(0.01::DOUBLE*(s_suppkey%5),6) k1, 640+s_suppkey%9 AS width, round(cos(0.01*s_suppkey),6) r00, round(-sin(0.01*s_suppkey),6) r01, (10.0*s_suppkey)::DOUBLE tx FROM supplier")
 def _(spark, sf):
     s = X.table(spark, sf, "supplier")
     path = scratch_path(spark, "xml")
     xml = F.format_string(
-        '<Cameras><Camera><Id>%d</Id><Geometry width="%d" height="480"/><Intrinsic focal="%d.0" sx="1.25" cx="320" cy="240" kappa1="%s"/>'
-        '<Extrinsic tx="%d" ty="0" tz="3000" rx="0" ry="0" rz="%s"/></Camera></Cameras>',
+        '<Camera><Id>%d</Id><Geometry width="%d" height="480"/><Intrinsic focal="%d.0" sx="1.25" cx="320" cy="240" kappa1="%s"/>'
+        '<Extrinsic tx="%d" ty="0" tz="3000" rx="0" ry="0" rz="%s"/></Camera>',
         F.col("s_suppkey"), 640 + F.col("s_suppkey") % 9, 800 + F.col("s_suppkey"), (0.01 * (F.col("s_suppkey") % 5)).cast("string"),
         10 * F.col("s_suppkey"), (0.01 * F.col("s_suppkey")).cast("string"))
-    s.select(xml.alias("value")).write.text(path)
-    d = spark.read.format("xml").option("rowTag", "Camera").option("multiLine", False).schema("Id long, " + calibration.CAMERA_XML).load(path)
+    write_documents(s, "s_suppkey", xml, path)
+    d = spark.read.format("xml").option("rowTag", "Camera").schema("Id long, " + calibration.CAMERA_XML).load(path)
     d = calibration.camera_rows(d, "rodrigues")
     return d.select(F.col("Id").alias("s_suppkey"), r6(F.col("K")[0], "fx"), r6(F.col("K")[4], "fy"), r6(F.col("dist")[0], "k1"), "width",
                     r6(F.col("R")[0], "r00"), r6(F.col("R")[1], "r01"), r6(F.col("t")[0], "tx"))
@@ -215,9 +222,9 @@ def _(spark, sf):
     path = scratch_path(spark, "model")
     k = F.col("p_partkey")
     xml = F.format_string(
-        '<Set><Marker name="m%d"><socket_parent_frame>/b/pelvis</socket_parent_frame><location> %d 0.5 1 </location><fixed>%s</fixed></Marker>'
-        '<IKMarkerTask name="m%d"><apply>true</apply><weight>%d</weight></IKMarkerTask></Set>', k, k % 7, (k % 2 == 0).cast("string"), k, 1 + k % 30)
-    X.table(spark, sf, "part").select(xml.alias("value")).write.text(path)
+        '<Marker name="m%d"><socket_parent_frame>/b/pelvis</socket_parent_frame><location> %d 0.5 1 </location><fixed>%s</fixed></Marker>'
+        '<IKMarkerTask name="m%d"><apply>true</apply><weight>%d</weight></IKMarkerTask>', k, k % 7, (k % 2 == 0).cast("string"), k, 1 + k % 30)
+    write_documents(X.table(spark, sf, "part"), "p_partkey", xml, path)
     m = calibration.read_model_markers(spark, path).select("marker", F.col("location")[0].alias("x"), "fixed")
     return m.join(calibration.read_tracking_tasks(spark, path).select("marker", "weight"), "marker")
 

@@ -23,7 +23,7 @@ TRANSLATION_KEYS = [
 
 def read_camera_xml(spark: SparkSession, path: str, angles: str = "auto") -> DataFrame:
     """One row per <Camera>: file, K, dist, R, t, width, height."""
-    d = spark.read.format("xml").option("rowTag", "Camera").option("multiLine", False).schema(CAMERA_XML).load(path)
+    d = spark.read.format("xml").option("rowTag", "Camera").schema(CAMERA_XML).load(path)
     return camera_rows(d.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.xml$", 1).alias("file"), "*"), angles)
 
 
@@ -81,7 +81,7 @@ def normalise_extrinsics(records: DataFrame, column: str = "json") -> DataFrame:
 def read_model_markers(spark: SparkSession, path: str) -> DataFrame:
     """Marker table of models: file, marker, parent_frame, location, fixed."""
     schema = "_name string, socket_parent_frame string, location string, fixed boolean"
-    d = spark.read.format("xml").option("rowTag", "Marker").option("multiLine", False).schema(schema).load(path)
+    d = spark.read.format("xml").option("rowTag", "Marker").schema(schema).load(path)
     loc = F.transform(F.split(F.trim("location"), "\\s+"), lambda s: s.cast("double"))
     return d.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("_name").alias("marker"),
                     F.col("socket_parent_frame").alias("parent_frame"), loc.alias("location"), "fixed")
@@ -90,5 +90,5 @@ def read_model_markers(spark: SparkSession, path: str) -> DataFrame:
 def read_tracking_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Tracking weights: file, marker, apply, weight."""
     schema = "_name string, apply boolean, weight double"
-    d = spark.read.format("xml").option("rowTag", "IKMarkerTask").option("multiLine", False).schema(schema).load(path)
+    d = spark.read.format("xml").option("rowTag", "IKMarkerTask").schema(schema).load(path)
     return d.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("_name").alias("marker"), "apply", "weight")

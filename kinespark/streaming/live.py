@@ -40,7 +40,7 @@ def quality_windows(d: DataFrame, length: str = "10 seconds") -> DataFrame:
                     F.when(F.col("persons") > 0, F.col("_s") / F.col("persons")).alias("mean_score"), share.alias("empty_share"))
 
 
-OUTPUT = "trial string, person long, frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
+OUTPUT = "person long, frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
 STATE = "frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -76,7 +76,7 @@ def keyed_smoothing(d: DataFrame, alpha: float, timeout_ms: int = 600_000) -> Da
             yield pd.DataFrame(out, columns=["trial", "person", "frame", *cols, *box])
 
     return d.groupBy("trial", "person").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, f"trial {d.schema['trial'].dataType.simpleString()}, {OUTPUT}", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_to_table(d: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
