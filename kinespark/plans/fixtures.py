@@ -370,7 +370,7 @@ def with_views(names: list[str], body: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"

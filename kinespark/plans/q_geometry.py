@@ -264,12 +264,11 @@ def _(spark, sf):
     return d.select("trial", "frame", "joint", r6("pu"), r6("pv"))
 
 
-_U = "SELECT *, (u-cx0)/fx a0_, (v-cy0)/fy b0_ FROM f5 JOIN cal USING (trial)"
-_U = f"SELECT *, a0_ AS a, b0_ AS b FROM ({_U})"
+X.VIEWS["und0"] = (["f5", "cal"], "SELECT trial, frame, joint, u, v, fx, fy, cx0, cy0, k1, k2, k3, p1, p2, (u-cx0)/fx ua, (v-cy0)/fy ub, (u-cx0)/fx a, (v-cy0)/fy b FROM f5 JOIN cal USING (trial)")
 for _i in range(5):
-    _U = ("SELECT * EXCLUDE (a, b, r2), (a0_-(2*p1*a*b+p2*(r2+2*a*a)))/(1+r2*(k1+r2*(k2+r2*k3))) a, "
-          f"(b0_-(p1*(r2+2*b*b)+2*p2*a*b))/(1+r2*(k1+r2*(k2+r2*k3))) b FROM (SELECT *, a*a+b*b r2 FROM ({_U}))")
-X.VIEWS["und"] = (["f5", "cal"], f"SELECT trial, frame, joint, u, v, fx*a+cx0 uu, fy*b+cy0 uv FROM ({_U})")
+    X.VIEWS[f"und{_i + 1}"] = ([f"und{_i}"], "SELECT * EXCLUDE (a, b, rr), (ua-(2*p1*a*b+p2*(rr+2*a*a)))/(1+rr*(k1+rr*(k2+rr*k3))) a, "
+                               f"(ub-(p1*(rr+2*b*b)+2*p2*a*b))/(1+rr*(k1+rr*(k2+rr*k3))) b FROM (SELECT *, a*a+b*b rr FROM und{_i})")
+X.VIEWS["und"] = (["und5"], "SELECT trial, frame, joint, u, v, fx*a+cx0 uu, fy*b+cy0 uv FROM und5")
 
 
 @query("sca_17_undistort", ["und"], "SELECT trial, frame, joint, round(uu,6) uu, round(uv,6) uv FROM und")
