@@ -44,10 +44,13 @@ OUTPUT = "person long, frame long, tx double, ty double, tz double, x1 double, y
 STATE = "frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
 
 
-def keyed_smoothing(d: DataFrame, alpha: float, timeout_ms: int = 600_000) -> DataFrame:
+def keyed_smoothing(d: DataFrame, alpha: float, timeout_ms: int | None = None) -> DataFrame:
     """Running exponential average of the translation and the last known box per
     (trial, person): rows trial, person, frame, tx, ty, tz, x1, y1, x2, y2 in,
-    smoothed rows out. Frames at or before the last emitted one are skipped."""
+    smoothed rows out. Frames at or before the last emitted one are skipped.
+
+    ``timeout_ms`` drops the state of silent keys under a continuous trigger; runs
+    that drain what is available and stop must leave it unset."""
     cols = ["tx", "ty", "tz"]
     box = ["x1", "y1", "x2", "y2"]
 
@@ -72,11 +75,13 @@ def keyed_smoothing(d: DataFrame, alpha: float, timeout_ms: int = 600_000) -> Da
             out.append((key[0], key[1], last, *(ema if ema is not None else [np.nan] * 3), *(b if b is not None else [np.nan] * 4)))
         if out:
             state.update((last, *[float(v) for v in out[-1][3:]]))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
             yield pd.DataFrame(out, columns=["trial", "person", "frame", *cols, *box])
 
     return d.groupBy("trial", "person").applyInPandasWithState(
-        step, f"trial {d.schema['trial'].dataType.simpleString()}, {OUTPUT}", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, f"trial {d.schema['trial'].dataType.simpleString()}, {OUTPUT}", STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(d: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
