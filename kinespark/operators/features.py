@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from kinespark.functions.dims import feature_rows, literal_table
 from kinespark.operators import blocks, series
+from kinespark.session import materialise
 
 # predict(T x F block) -> T x M, rows in frame order
 Predict = Callable[[np.ndarray], np.ndarray]
@@ -30,7 +31,7 @@ def marker_names(version: str, part: str, kind: str) -> list[str]:
 def wide_matrix(df: DataFrame, keys: Sequence[str], order: DataFrame) -> DataFrame:
     """Long (keys, marker, x, y, z) to one row per frame with a flat ``f`` array
     in the given order; frames that lack a marker are dropped."""
-    n = order.count() if not isinstance(order, int) else order
+    n = order.count()
     d = df.join(order, "marker")
     pts = F.array_sort(F.collect_list(F.struct("ord", "x", "y", "z")))
     d = d.groupBy(*keys).agg(pts.alias("_p")).where(F.size("_p") == n)
@@ -171,5 +172,7 @@ def enhance(
         r = attach_markers(y, [*key, "_ref", "_h"], marker_names(version, part, "response"))
         r = r.select(*key, "marker", *[(F.col(c) * F.col("_h") + F.col("_ref")[i]).alias(c) for i, c in enumerate("xyz")])
         responses = r if responses is None else responses.unionByName(r)
+    # scored once, used for the union and for the floor
+    responses = materialise(responses, "responses")
     everything = markers.select(*key, "marker", "x", "y", "z").unionByName(responses)
     return drop_to_floor(everything, responses, ["trial"], gap)

@@ -144,7 +144,7 @@ def angles(spark, sf):
 
 for _order, _els in (("xyz", _XYZ), ("zyx", _ZYX)):
     def _make(order, els):
-        @query(f"sca_15_euler_{order}", None, "SELECT c_custkey, " + ", ".join(f"round({e},6) m{i}" for i, e in enumerate(els)) + f" FROM ({_ANG})")
+        @query(f"sca_15_euler_{order}", None, "SELECT c_custkey, " + ", ".join(f"round({e},6)+0.0 m{i}" for i, e in enumerate(els)) + f" FROM ({_ANG})")
         def _(spark, sf):
             m = G.euler_matrix(F.col("a0"), F.col("a1"), F.col("a2"), order)
             return angles(spark, sf).select("c_custkey", *[r6(c, f"m{i}") for i, c in enumerate(m)])
@@ -154,7 +154,7 @@ for _order, _els in (("xyz", _XYZ), ("zyx", _ZYX)):
 def _rod(i, j):
     skew = {(0, 1): "-k2", (0, 2): "k1", (1, 0): "k2", (1, 2): "-k0", (2, 0): "-k1", (2, 1): "k0"}
     e = f"(1-cos(th))*k{i}*k{j}" + ("+cos(th)" if i == j else f"+sin(th)*({skew[(i, j)]})")
-    return f"round({e},6) m{3 * i + j}"
+    return f"round({e},6)+0.0 m{3 * i + j}"
 
 
 @query("sca_15_rodrigues", None,

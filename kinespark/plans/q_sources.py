@@ -182,7 +182,7 @@ def write_documents(d, key, element, path):
 
 
 @query("src_11_camera_xml", None,
-       "SELECT s_suppkey, round((800.0+s_suppkey)*1.25::DOUBLE,6) fx, (800.0+s_suppkey)::DOUBLE fy, round(0.01::DOUBLE*(s_suppkey%5),6) k1, 640+s_suppkey%9 AS width, round(cos(0.01*s_suppkey),6) r00, round(-sin(0.01*s_suppkey),6) r01, (10.0*s_suppkey)::DOUBLE tx FROM supplier")
+       "SELECT s_suppkey, round((800.0+s_suppkey)*1.25::DOUBLE,6) fx, (800.0+s_suppkey)::DOUBLE fy, round(0.01::DOUBLE*(s_suppkey%5),6) k1, 640+s_suppkey%9 AS width, round(cos(0.01*s_suppkey),6) r00, round(-sin(0.01*s_suppkey),6)+0.0 r01, (10.0*s_suppkey)::DOUBLE tx FROM supplier")
 def _(spark, sf):
     s = X.table(spark, sf, "supplier")
     path = scratch_path(spark, "xml")
