@@ -233,7 +233,10 @@ def _(spark, sf):
     return w.select(F.unix_seconds("start").alias("start_s"), "trial_id", "frames", "persons", r6("mean_score"), r6("empty_share"))
 
 
-@query("str_3_keyed_smoothing")
+@query("str_3_keyed_smoothing", ["f4"],
+       "WITH l AS (SELECT trial, person, list(1000*e[1] ORDER BY frame) xs, list(e[11] ORDER BY frame) bs, list(frame ORDER BY frame) fs FROM f4 GROUP BY ALL) "
+       "SELECT trial, person, f AS frame, round(y,6)+0.0 tx, round(b,6)+0.0 x1 FROM (SELECT trial, person, unnest(fs) f, unnest(bs) b, unnest(list_transform(range(1, len(xs)+1), "
+       "lambda n: list_reduce(xs[1:n], lambda a, b: (1-0.2::DOUBLE)*a + 0.2::DOUBLE*b))) y FROM l)")
 def _(spark, sf):
     d = X.person_rows(spark, sf).select("trial", "person", "frame", *[(1000 * F.col("e")[i]).alias(c) for i, c in enumerate(("tx", "ty", "tz"))],
                                         *[F.col("e")[10 + i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
