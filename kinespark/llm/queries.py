@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import mixing, quality_rules, url_rules
+from kinespark.llm import mixing, quality_rules, token_count, token_store, url_rules
 from kinespark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,15 @@ def op10_url_rules(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_rules.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    """Bytes and byte-level tokens of each document."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_token_store(spark, sf_dir):
+    """Place, length and checksum of each document's ids, read back from the files."""
+    return token_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
