@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import mixing, quality_rules, token_count, token_store, url_rules
+from kinespark.llm import decontam, html_diff, mixing, quality_rules, token_count, token_store, url_rules
 from kinespark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,15 @@ def op6_token_counts(spark, sf_dir):
 def op7_token_store(spark, sf_dir):
     """Place, length and checksum of each document's ids, read back from the files."""
     return token_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_page_text(spark, sf_dir):
+    """Main text of each page."""
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_benchmark_leaks(spark, sf_dir):
+    """Benchmark items found in each document."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
