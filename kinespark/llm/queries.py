@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import decontam, html_diff, mixing, quality_rules, token_count, token_store, url_rules
+from kinespark.llm import decontam, html_diff, mixing, ngram_join, quality_rules, token_count, token_store, url_rules
 from kinespark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op1_page_text(spark, sf_dir):
 def op8_benchmark_leaks(spark, sf_dir):
     """Benchmark items found in each document."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_ngram_join(spark, sf_dir):
+    """Component of each document under shingle similarity."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
