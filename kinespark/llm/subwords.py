@@ -2,7 +2,7 @@
 
 The libraries' own pre-tokenisation costs about a microsecond a byte; words
 repeat, so each Python worker remembers the ids of the pieces it has met. A
-memo is emptied when it holds ``limit`` pieces, which bounds its memory.
+memo that holds ``limit`` pieces forgets those it met least, which bounds its memory.
 """
 
 from __future__ import annotations
@@ -56,15 +56,32 @@ class Memo:
         self.slots = _Slots()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.met = np.zeros(0, np.int64)
 
     def look(self, pieces: list) -> np.ndarray:
         if len(self.slots) > self.limit:
-            self.clear()
+            self._forget()
         out = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
         if self.slots.new:
             self._learn()
+        met = np.bincount(out, minlength=self.n)
+        met[:len(self.met)] += self.met
+        self.met = met
         return out
 
+    def _forget(self):
+        """Keeps the pieces met twice or more since the last time, at most half of them."""
+        least = max(2, int(np.partition(self.met, -self.limit // 2)[-self.limit // 2]) + 1)
+        keep = np.flatnonzero(self.met >= least)
+        flat, size, place = self.ids(keep), self.size[keep], np.full(self.n, -1)
+        place[keep] = np.arange(len(keep))
+        old = self.slots
+        self.clear()
+        self.slots.update((w, place[i]) for w, i in old.items() if place[i] >= 0)
+        self.flat, self.used = np.append(flat, np.zeros(1 << 16, np.int32)), len(flat)
+        self.start, self.size, self.n = np.cumsum(size) - size, size, len(size)
+        self.met = np.zeros(self.n, np.int64)
+
     def _learn(self):
         new, self.slots.new = self.slots.new, []
         lists = self.encode(new)
@@ -73,7 +90,7 @@ class Memo:
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+            self.start, self.size = (np.concatenate([a, np.zeros(len(a) + 1024, np.int64)]) for a in (self.start, self.size))
         self.flat[self.used:need] = np.fromiter((i for x in lists for i in x), np.int32, need - self.used)
         self.size[self.n:n] = sizes
         self.start[self.n:n] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else 0
@@ -100,6 +117,7 @@ def _word_encoder(tokenizer):
     a tokenizer never joins; ASCII capitals fold, as its normaliser would. What may
     hold a special token's string is left whole."""
     cores: dict[bytes, list[int]] = {}
+    older: dict[bytes, list[int]] = {}
 
     def parts(w: bytes) -> tuple[bytes, bytes]:
         if b"<|" in w:
@@ -110,10 +128,13 @@ def _word_encoder(tokenizer):
         return core, w[len(core):]
 
     def encode(words: list[bytes]) -> list[list[int]]:
-        if len(cores) > LIMIT:
-            cores.clear()
+        nonlocal cores, older
+        if len(cores) > LIMIT // 2:
+            cores, older = {}, cores
         split = [parts(w) for w in words]
-        todo = list({x for two in split for x in two if x and x not in cores})
+        new = {x for two in split for x in two if x and x not in cores}
+        cores.update((x, older[x]) for x in new if x in older)
+        todo = [x for x in new if x not in cores]
         for x, e in zip(todo, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False)):
             cores[x] = e.ids
         cores[b""] = []
