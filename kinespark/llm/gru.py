@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, SPAN, WINDOW, LANES = 24, 64, 32, 256
+HIDDEN, SPAN, WINDOW, LANES, LEAST = 24, 64, 32, 256, 4096
 Params = dict[str, np.ndarray]
 
 
@@ -108,16 +108,16 @@ def _log_probs(p: Params, hs: np.ndarray, y: np.ndarray, grads: Params | None):
 class Trainer:
     """Adagrad on windows; gradients stop at a window's start, the state doesn't."""
 
-    def __init__(self, p: Params, rate: float = 0.08):
+    def __init__(self, p: Params, rate: float = 0.12):
         self.p, self.rate, self.tokens = p, rate, 0
-        self.square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+        self.square = {k: np.full_like(v, 1e-6) for k, v in p.items()}
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, n = self.p, h.shape[1]
         states, trace = _steps(p, x, h, True)
         g = {k: np.zeros_like(v) for k, v in p.items() if k != "gates"}
         _, d = _log_probs(p, states[live], y[live], g)
-        scale = np.float32(1 / max(1, live.sum()))
+        scale = np.float32(1 / max(LEAST, live.sum()))  # a window with few words left moves the model less
         above = np.zeros_like(states)
         above[live] = d * scale
         for k in g:
