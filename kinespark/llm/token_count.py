@@ -35,7 +35,7 @@ class _Chunk:
         first = np.flatnonzero(np.diff(word, prepend=np.iinfo(np.int64).min)) if len(word) else np.zeros(0, np.int64)
         # words are numbered anew after a special token, so a number may repeat: a step of any kind starts a word
         self.token = first
-        self.place = np.array([e.offsets[i][0] for i in first], np.int64) + at
+        self.place = np.array(e.offsets, np.int64).reshape(-1, 2)[first, 0] + at
 
     def index(self, place: int) -> int:
         return int(self.token[np.searchsorted(self.place, place)])
