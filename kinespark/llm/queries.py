@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import decontam, gru_lm, html_diff, mixing, ngram_join, quality_rules, token_count, token_store, url_rules
+from kinespark.llm import decontam, gru_lm, html_diff, license_scan, mixing, ngram_join, quality_rules, token_count, token_store, url_rules
 from kinespark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op2_ngram_join(spark, sf_dir):
 def op4_gru_scores(spark, sf_dir):
     """Log-probability of each document under the recurrent model and under counts."""
     return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    """Licence notices of each document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
