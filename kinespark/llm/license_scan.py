@@ -74,8 +74,7 @@ def windows(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("paragraph", "line")).select("doc_id", "paragraph", words_of(F.col("line")).alias("all"))
     n = F.size("all")
     starts = F.when(n <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(STRIDE)))
-    return lines.where(n > 0).select("doc_id", "paragraph", "all", F.explode(starts).alias("at")).select(
-        "doc_id", "paragraph", F.slice("all", F.col("at") + 1, F.lit(WINDOW)).alias("words"))
+    return lines.where(n > 0).select("doc_id", "paragraph", F.explode(F.transform(starts, lambda at: F.slice("all", at + 1, F.lit(WINDOW)))).alias("words"))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -102,7 +101,8 @@ class Scanner:
         noise = materialise(some.select("words", F.monotonically_increasing_id().alias("n")), "licence-noise")
         # all 2-grams of the templates, a few hundred
         cues = self.templates.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("cues")).first()["cues"]
-        self.cues = cue = F.array(*[F.lit(c) for c in cues])
+        self.cues = cues
+        cue = F.array(*[F.lit(c) for c in cues])
         # a sampled window with many pairs of the templates may itself be a notice
         plain = noise.where(F.size(F.array_intersect(pairs_of(F.col("words")), cue)) < 2).withColumn("k", F.pmod(F.xxhash64("words"), F.lit(SURROUNDINGS)))
         around = plain.groupBy("k").agg(F.min("words").alias("around"))  # one for each k
@@ -130,8 +130,8 @@ class Scanner:
         A window without any 2-gram of the templates can't be confirmed whatever the
         classifier says, so it isn't classified."""
         named = F.array(*[F.lit(f) for f in self.families])
-        some = windows(docs).withColumn("pairs", pairs_of(F.col("words"))).where(F.arrays_overlap("pairs", self.cues))
-        scored = self.model.transform(_features(some)).where("prediction > 0").select(
+        some = windows(docs).where(F.exists(pairs_of(F.col("words")), lambda p: p.isin(self.cues)))
+        scored = self.model.transform(_features(some)).withColumn("pairs", pairs_of(F.col("words"))).where("prediction > 0").select(
             "doc_id", "paragraph", "pairs", F.get(named, F.col("prediction").cast("int")).alias("family"),
             vector_to_array("rawPrediction").alias("raw")).withColumn("probability", F.array_max(self._softmax(F.col("raw"), self.temperature))).where(F.col("probability") >= min_probability)
         # the templates are this module's constants, a row a family
