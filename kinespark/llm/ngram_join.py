@@ -185,13 +185,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, ties by digest of
-    the text; documents without words all stay, and of equal rows one does."""
+    """The row of ``docs`` with the smallest id of each component (null ids last), ties
+    by digest of the text; documents without words all stay, and of rows with equal id
+    and text one does. Texts are shuffled once."""
+    key = lambda unit: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), unit)
     rows = materialise(classes(docs, percent), "classes")
-    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "unit")).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.unit").alias("_unit"))
-    best = materialise(best, "kept")
-    wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") == F.lit(False)
-    unit = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    hit = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (unit == F.col("_unit")), "left_semi").where(~wordless)
-    return hit.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(wordless))
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "unit")).alias("k")).select("k.doc_id", "k.unit")
+    best = materialise(best.select(key(F.col("unit")).alias("_key")), "kept")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
+    hit = docs.where(~wordless).withColumn("_key", key(F.xxhash64(text))).join(best, "_key", "left_semi").dropDuplicates(["_key"])
+    return hit.select(docs.columns).unionByName(docs.where(wordless))
