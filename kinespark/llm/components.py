@@ -13,19 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Large and small stars in turn, each a join and a grouped minimum; a hub's
     neighbours are never gathered. Rounds grow with the logarithm of the longest path."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialise(edges, "stars")
-    seen = None
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    seen = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # every larger neighbour of u moves to the least node near u
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "stars")
+        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "stars")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        # smaller neighbours of u, and u itself, move to the least of them
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        edges = materialise(small.where("u <> v").distinct(), "stars")
+        state = _state(edges)
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

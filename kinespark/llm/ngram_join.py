@@ -8,10 +8,10 @@ rest. Candidates share a prefix token under the first order and then must share
 one under the second as well; what is left is compared exactly.
 
 Components are wanted, so a pair is of use only if it joins two. Each token's
-holders are first compared with one of them, then with another, and after that
-all pairs of holders whose components still differ are compared. Groups of
-copies are so compared a number of times in proportion to their members, and
-no link between components is lost.
+holders are first compared with one of them, drawn by digest in two ways, one for
+every other token; after that all pairs of holders whose components still differ
+are compared. Groups of copies are so compared a number of times in proportion
+to their members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -84,44 +84,50 @@ def spread(docs: DataFrame) -> np.ndarray:
     return ranks.ravel()
 
 
-def prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, unit, n, a, b): ``unit`` stands for the text, ``a`` and ``b`` are the prefixes.
+class Orders:
+    """Prefixes under the two orders; ``rank`` puts widespread tokens last in both."""
+
+    def __init__(self, packed: bytes, percent: int):
+        self.rank, self.percent = np.frombuffer(zstandard.decompress(packed), np.uint8), percent
+
+    def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
+        n = len(s)
+        keep = n - -(-self.percent * n // 100) + 1 if n else 0
+        place = (self.rank[_slots(s)].astype(np.uint64) << np.uint64(56)) | (S.mix(s ^ _ORDERS[order]) >> np.uint64(8))
+        return s[np.argpartition(place, keep - 1)[:keep]] if 0 < keep < n else s
 
-    Tokens of ``b`` are cut to 32 bits: a clash can only let a pair through to the exact test."""
-    held = docs.sparkSession.sparkContext.broadcast(zstandard.compress(spread(docs).tobytes()))  # 2**SLOT_BITS bytes unpacked
 
-    def run(batches):
-        rank = np.frombuffer(zstandard.decompress(held.value), np.uint8)
+def prefixes(docs: DataFrame, held, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, unit, n, tokens): ``unit`` stands for the text, ``tokens`` are its prefix under the first order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders = Orders(held.value, percent)
         for b in batches:
             at = 0
             for texts in S.batches(list(b["text"])):
-                rows = []
-                for s in S.sets(texts):
-                    n = len(s)
-                    keep = n - -(-percent * n // 100) + 1 if n else 0
-                    seen = rank[_slots(s)].astype(np.uint64) << np.uint64(56)
-                    first, second = (np.argsort(seen | (S.mix(s ^ o) >> np.uint64(8)), kind="stable")[:keep] for o in _ORDERS)
-                    rows.append((n, s[first].view(np.int64), (s[second] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                sets = S.sets(texts)
                 part = b.iloc[at:at + len(texts)]
                 at += len(texts)
-                out = pd.DataFrame(rows, columns=["n", "a", "b"])
-                out["doc_id"], out["unit"] = part["doc_id"].astype("Int64").array, part["unit"].array
-                yield out
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "unit": part["unit"].array, "n": [len(s) for s in sets],
+                                    "tokens": [orders.prefix(s, 0).view(np.int64) for s in sets]})
 
-    return docs.mapInPandas(run, "n int, a array<long>, b array<int>, doc_id long, unit long")
+    return docs.mapInPandas(run, "doc_id long, unit long, n int, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of units whose texts pass the exact test."""
+def _verified(pairs: DataFrame, docs: DataFrame, held, percent: int) -> DataFrame:
+    """The pairs (a, b) of units that share a prefix token under the second order, too, and pass the exact test."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders = Orders(held.value, percent)
+        common = lambda x, y: len(np.intersect1d(x, y, assume_unique=True))
         for f in batches:
             for i in range(0, len(f), 256):
                 part = f.iloc[i:i + 256]
-                one, two = S.sets(list(part["text_a"])), S.sets(list(part["text_b"]))
-                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)], np.int64)
-                union = np.array([len(x) + len(y) for x, y in zip(one, two)], np.int64) - both
-                yield part.loc[(100 * both >= percent * union) & (both > 0), ["a", "b"]]
+                good = []
+                for x, y in zip(S.sets(list(part["text_a"])), S.sets(list(part["text_b"]))):
+                    both = common(x, y) if common(orders.prefix(x, 1), orders.prefix(y, 1)) else 0
+                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                yield part.loc[good, ["a", "b"]]
 
     needed = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
     texts = materialise(docs.select("unit", "text").join(needed, "unit", "left_semi").groupBy("unit").agg(F.min("text").alias("text")), "join-texts")
@@ -130,42 +136,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _to_hubs(posts: DataFrame, near) -> DataFrame:
+    """Every holder of a token with the token's hub."""
+    drawn = F.xxhash64("unit", F.pmod("token", F.lit(2)))
+    hub = posts.groupBy("token").agg(F.min(F.struct(drawn.alias("h"), "unit", "n")).alias("hub")).select("token", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n"))
+    return posts.join(hub, "token").where((F.col("unit") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select(
+        F.least("unit", "hub").alias("a"), F.greatest("unit", "hub").alias("b")).distinct()
+
+
+def _still_apart(posts: DataFrame, roots: DataFrame, near) -> DataFrame:
+    """All pairs of holders of a token that are of different components. The commonest
+    component of a token isn't paired within itself."""
+    at = posts.join(roots, F.col("unit") == F.col("node"), "left").select("token", "unit", "n", F.coalesce("root", "unit").alias("root"))
+    tally = at.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("common"), F.count("*").alias("roots"))
+    of = at.join(tally.where("roots > 1").select("token", "common"), "token")
+    other = of.select("token", *[F.col(c).alias(f"{c}_2") for c in ("unit", "n", "root")])
+    return of.where("root <> common").drop("common").join(other, "token").where((F.col("root") != F.col("root_2")) & near(F.col("n"), F.col("n_2"))).select(
+        F.least("unit", "unit_2").alias("a"), F.greatest("unit", "unit_2").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, unit, n, root: documents of one component have one root (a unit)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("unit", F.xxhash64("text"))
-    table = materialise(prefixes(docs, percent), "prefixes")
-    posts = table.where("n > 0").select(F.explode("a").alias("token"), "unit", "n")
+    held = docs.sparkSession.sparkContext.broadcast(zstandard.compress(spread(docs).tobytes()))  # 2**SLOT_BITS bytes unpacked
+    table = materialise(prefixes(docs, held, percent), "prefixes")
+    posts = table.where("n > 0").select(F.explode("tokens").alias("token"), "unit", "n")
     # tokens that two texts hold; copies of a text are one unit
     shared = posts.groupBy("token").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("token")
     posts = materialise(posts.join(shared, "token").distinct(), "postings")
-    second = table.where("n > 0").select("unit", "b")
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    links, roots = None, None
-    for step in ("low", "high", "rest"):
-        at = posts if roots is None else posts.join(roots, F.col("unit") == F.col("node"), "left")
-        at = at.withColumn("root", F.col("unit") if roots is None else F.coalesce("root", "unit")).select("token", "unit", "n", "root")
-        # tokens whose holders are still of several components
-        open_tokens = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("unit", "n", "root")).alias("low"),
-                                              F.max(F.struct("unit", "n", "root")).alias("high")).where("r0 <> r1")
-        if step != "rest":
-            hub = open_tokens.select("token", *[F.col(f"{step}.{c}").alias(f"hub_{c}") for c in ("unit", "n", "root")])
-            pairs = at.join(hub, "token").where((F.col("root") != F.col("hub_root")) & near(F.col("n"), F.col("hub_n"))).select(
-                F.least("unit", "hub_unit").alias("a"), F.greatest("unit", "hub_unit").alias("b")).distinct()
-        else:
-            # all others of a token with every holder; its commonest component isn't paired within itself
-            common = at.join(open_tokens.select("token"), "token", "left_semi").groupBy("token", "root").count().groupBy("token").agg(
-                F.max(F.struct("count", "root"))["root"].alias("common"))
-            of = at.join(common, "token")
-            other = of.select("token", *[F.col(c).alias(f"{c}_2") for c in ("unit", "n", "root")])
-            pairs = of.where("root <> common").drop("common").join(other, "token").where(
-                (F.col("root") != F.col("root_2")) & near(F.col("n"), F.col("n_2"))).select(
-                F.least("unit", "unit_2").alias("a"), F.greatest("unit", "unit_2").alias("b")).distinct()
-        pairs = materialise(pairs, "pairs")
-        both = materialise(pairs.join(second.select(F.col("unit").alias("a"), F.col("b").alias("_1")).dropDuplicates(["a"]), "a").join(
-            second.select(F.col("unit").alias("b"), F.col("b").alias("_2")).dropDuplicates(["b"]), "b").where(F.arrays_overlap("_1", "_2")).select("a", "b"), "candidates")
-        found = materialise(_verified(both, docs, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    pairs = materialise(_to_hubs(posts, near), "pairs")
+    links = materialise(_verified(pairs, docs, held, percent), "links")
+    roots = components(links)
+    pairs = materialise(_still_apart(posts, roots, near), "pairs")
+    if pairs.take(1):
+        more = materialise(_verified(pairs, docs, held, percent), "links")
+        if more.take(1):
+            roots = components(links.unionByName(more))
     out = table.select("doc_id", "unit", F.col("n").cast("long").alias("n"))
     return out.join(roots, F.col("unit") == F.col("node"), "left").select("doc_id", "unit", "n", F.coalesce("root", "unit").alias("root"))
 
