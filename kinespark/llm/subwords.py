@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Pieces a worker remembers, about 100 MB.
-LIMIT = 600_000
+#: Pieces a worker remembers, about 70 MB.
+LIMIT = 400_000
 _loaded: dict[tuple, object] = {}
 
 
