@@ -127,8 +127,9 @@ def similarity_2d(
 def apply_similarity_2d(
     df: DataFrame, fits: DataFrame, keys: Sequence[str], coords: Sequence[str] = ("x", "y")
 ) -> DataFrame:
-    """Add ``pu``, ``pv``: the points under the fitted planar similarity."""
-    d = df.join(fits.select(*keys, "s", "theta", "tx", "ty"), list(keys))
+    """Add ``pu``, ``pv``: the points under the fitted planar similarity; groups
+    without a fit keep NULL."""
+    d = df.join(fits.select(*keys, "s", "theta", "tx", "ty"), list(keys), "left")
     x, y = F.col(coords[0]), F.col(coords[1])
     c, s = F.cos("theta"), F.sin("theta")
     return d.select(
@@ -158,7 +159,8 @@ def affine_3d_to_2d(
 
 
 def apply_affine(df: DataFrame, fits: DataFrame, keys: Sequence[str], coords: Sequence[str] = PRED) -> DataFrame:
-    d = df.join(fits.select(*keys, "M"), list(keys))
+    """Add ``pu``, ``pv``: the points under the fitted map; groups without a fit keep NULL."""
+    d = df.join(fits.select(*keys, "M"), list(keys), "left")
     one = [*[F.col(c) for c in coords], F.lit(1.0)]
     out = [sum((one[i] * F.col("M")[2 * i + j] for i in range(4)), F.lit(0.0)) for j in range(2)]
     return d.select(*df.columns, out[0].alias("pu"), out[1].alias("pv"))

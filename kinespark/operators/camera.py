@@ -23,8 +23,8 @@ def _k(name: str = "K") -> list[Column]:
 
 
 def to_camera(df: DataFrame, calib: DataFrame, on: Sequence[str] = ("trial",), r: str = "R", t: str = "t") -> DataFrame:
-    """Add cx, cy, cz = R p + t."""
-    d = df.join(calib.select(*on, F.col(r).alias("_R"), F.col(t).alias("_t")), list(on))
+    """Add cx, cy, cz = R p + t; NULL without a calibration."""
+    d = df.join(calib.select(*on, F.col(r).alias("_R"), F.col(t).alias("_t")), list(on), "left")
     p = G.mat_vec(G.elements(F.col("_R")), [F.col(c) for c in XYZ])
     return d.select(*df.columns, *[(c + F.col("_t")[i]).alias(f"c{n}") for i, (c, n) in enumerate(zip(p, XYZ))])
 
@@ -45,8 +45,8 @@ def project(
     df: DataFrame, calib: DataFrame, on: Sequence[str] = ("trial",), coords: Sequence[str] = ("cx", "cy", "cz"),
     distortion: bool = True,
 ) -> DataFrame:
-    """Add pixel coordinates pu, pv of camera-frame points."""
-    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("dist").alias("_D")), list(on))
+    """Add pixel coordinates pu, pv of camera-frame points; NULL without a calibration."""
+    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("dist").alias("_D")), list(on), "left")
     dist = G.elements(F.col("_D"), 5) if distortion else None
     u, v = G.project(*[F.col(c) for c in coords], _k("_K"), dist)
     return d.select(*df.columns, u.alias("pu"), v.alias("pv"))
@@ -55,18 +55,19 @@ def project(
 def undistort(
     df: DataFrame, calib: DataFrame, on: Sequence[str] = ("trial",), uv: Sequence[str] = ("u", "v"), rounds: int = 5
 ) -> DataFrame:
-    """Add undistorted pixel coordinates uu, uv."""
-    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("dist").alias("_D")), list(on))
+    """Add undistorted pixel coordinates uu, uv; NULL without a calibration."""
+    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("dist").alias("_D")), list(on), "left")
     d = d.withColumn("_o", G.undistort(F.col(uv[0]), F.col(uv[1]), _k("_K"), F.col("_D"), rounds))
     return d.select(*df.columns, F.col("_o.u").alias("uu"), F.col("_o.v").alias("uv"))
 
 
 def undistort_decision(
-    df: DataFrame, calib: DataFrame, frame: str = "frame", n_frames: int = 50, threshold: float = 0.1
+    df: DataFrame, calib: DataFrame, frame: str = "frame", n_frames: int | None = None, threshold: float = 0.1
 ) -> DataFrame:
-    """Per trial: median shift by undistortion over the first frames, and whether
-    it reaches the threshold."""
-    d = materialise(undistort(select.first_frames(df, ["trial"], frame, n_frames), calib), "sample")
+    """Per trial: median shift by undistortion over all frames (or the first
+    ``n_frames``), and whether it reaches the threshold."""
+    some = df if n_frames is None else select.first_frames(df, ["trial"], frame, n_frames)
+    d = materialise(undistort(some, calib), "sample")
     d = d.withColumn("_d", G.distance([F.col("uu"), F.col("uv")], [F.col("u"), F.col("v")]))
     q = exact_percentiles(d, ["trial"], "_d", {"median_shift": 0.5})
     return q.select("trial", "median_shift", (F.col("median_shift") >= threshold).alias("undistort"))

@@ -130,10 +130,11 @@ def attach_markers(scored: DataFrame, keys: Sequence[str], responses: Sequence[s
 
 
 def drop_to_floor(df: DataFrame, responses: DataFrame, keys: Sequence[str], gap: float = 0.01) -> DataFrame:
-    """Shift y so that the lowest response marker of the trial lies ``gap`` above 0."""
+    """Shift y so that the lowest response marker of the trial lies ``gap`` above 0;
+    trials without responses stay where they are."""
     low = responses.groupBy(*keys).agg(F.min("y").alias("_low"))
-    d = df.join(low, list(keys))
-    new = F.col("y") - (F.col("_low") - gap)
+    d = df.join(low, list(keys), "left")
+    new = F.col("y") - F.coalesce(F.col("_low") - gap, F.lit(0.0))
     return d.select(*[new.alias("y") if c == "y" else F.col(c) for c in df.columns])
 
 
@@ -149,6 +150,7 @@ def enhance(
     """Whole enhancement: centre on the reference marker, divide by height, append
     subject values, standardise, score each body part, undo the normalisation,
     add the response markers to the input ones and put the feet on the floor.
+    Trials without subject values or whole frames keep their input markers.
 
     ``markers``: trial, frame, marker, x, y, z; ``subjects``: trial, height_m, mass_kg."""
     spark = markers.sparkSession

@@ -14,12 +14,14 @@ COORDS = ("x", "y", "z")
 
 
 def prepare_still(df: DataFrame, root: str | None = "midHip", large: float = 10.0) -> DataFrame:
-    """Remove the root marker's motion where it exists and bring millimetres to
-    metres when the trial's largest coordinate says so."""
+    """Remove the root marker's motion in trials that have it (frames without it are
+    missing there) and bring millimetres to metres when the trial's largest
+    coordinate says so."""
     d = df
     if root:
         fk = ["trial", "frame"]
-        moved = {c: F.col(c) - F.coalesce(frames.joint_in_frame(root, c, fk), F.lit(0.0)) for c in COORDS}
+        d = series.per_key(d, ["trial"], F.max((F.col("marker") == root) & F.col("x").isNotNull()).alias("_has"))
+        moved = {c: F.when(F.col("_has"), F.col(c) - frames.joint_in_frame(root, c, fk)).otherwise(F.col(c)) for c in COORDS}
         d = d.withColumn("joint", F.col("marker"))
         d = d.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in d.columns]).drop("joint")
     d = series.per_key(d, ["trial"], F.max(F.greatest(*COORDS)).alias("_m"))
@@ -42,7 +44,8 @@ def window_lengths(fs: float, minimum_s: float, start_s: float = 1.0, step_s: fl
 def motion_ranges(df: DataFrame, lengths: Sequence[int], index: str = "frame", width: int = series.FRAMES_PER_BLOCK) -> DataFrame:
     """(trial, start, n, needed): the largest coordinate range of any marker in
     the window of n frames that begins at ``start``; the smallest threshold that
-    calls it still lies above it. Windows must be complete for every marker."""
+    calls it still lies above it. Windows must be complete for every marker: one
+    with a missing coordinate is never still."""
     longest = max(lengths)
     d = series.with_halo(df.select("trial", "marker", index, *COORDS), index, 0, longest, max(width, longest))
     part = W.partitionBy("trial", "marker", "_blk").orderBy(index)
@@ -50,7 +53,8 @@ def motion_ranges(df: DataFrame, lengths: Sequence[int], index: str = "frame", w
     for n in lengths:
         w = part.rowsBetween(0, n - 1)
         span = F.greatest(*[F.max(c).over(w) - F.min(c).over(w) for c in COORDS])
-        cols.append(F.struct(F.lit(n).alias("n"), F.when(F.count(F.lit(1)).over(w) == n, span).alias("r")))
+        whole = F.least(*[F.count(c).over(w) for c in COORDS]) == n
+        cols.append(F.struct(F.lit(n).alias("n"), F.when(whole, span).alias("r")))
     d = d.select("trial", "marker", index, "_own", F.array(*cols).alias("_w")).where("_own")
     d = d.select("trial", "marker", F.col(index).alias("start"), F.inline("_w")).where("r is not null")
     m = df.select("trial", "marker").distinct().groupBy("trial").agg(F.count(F.lit(1)).alias("_m"))

@@ -282,12 +282,12 @@ def still_phases(
 
 
 def model_readiness(tasks: DataFrame, pairs: DataFrame, model_markers: DataFrame) -> DataFrame:
-    """Per model: tracking tasks and measurements that stay applied."""
+    """Per model: tracking tasks and measurements that stay applied; 0 where it has none."""
     t = quality.prune_tasks(tasks, model_markers).groupBy("model").agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if("apply").alias("tasks_applied"))
     m = quality.prune_measurements(pairs, model_markers).groupBy("model").agg(
         F.count(F.lit(1)).alias("measurements"), F.count_if("apply").alias("measurements_applied"))
-    return t.join(m, "model")
+    return t.join(m, "model", "full").na.fill(0)
 
 
 # ------------------------------------------------------------------ image plane

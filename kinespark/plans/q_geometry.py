@@ -277,7 +277,7 @@ def _(spark, sf):
 
 
 @query("agg_27_undistort_decision", ["und"],
-       "SELECT trial, round(median(sqrt(pow(uu-u,2)+pow(uv-v,2))),6) median_shift, median(sqrt(pow(uu-u,2)+pow(uv-v,2))) >= 0.1 AS \"undistort\" FROM und WHERE frame < 50 GROUP BY trial")
+       "SELECT trial, round(median(sqrt(pow(uu-u,2)+pow(uv-v,2))),6) median_shift, median(sqrt(pow(uu-u,2)+pow(uv-v,2))) >= 0.1 AS \"undistort\" FROM und GROUP BY trial")
 def _(spark, sf):
     d = camera.undistort_decision(X.pixels(spark, sf), calibrations(spark, sf))
     return d.select("trial", r6("median_shift"), "undistort")

@@ -17,6 +17,7 @@ def build_session(app: str = "kinespark", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
         b = b.master(master)
@@ -28,10 +29,13 @@ def build_session(app: str = "kinespark", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (single-machine tests) is a temporary
-    folder made and recorded in the session."""
+    Only when the session names none and runs on one machine (tests) is a
+    temporary folder made and recorded in the session; a cluster without a shared
+    folder is an error, as executors would read each other's files short."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="kinespark-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

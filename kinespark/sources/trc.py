@@ -86,7 +86,8 @@ def _numbered(spark: SparkSession, path: str, trial: str) -> DataFrame:
 
 
 def _names(line: Column) -> Column:
-    return F.slice(F.filter(F.split(line, "[\\s,]+"), lambda s: s != ""), 3, 100000)
+    fields = F.filter(F.split(line, "[\\s,]+"), lambda s: s != "")
+    return F.slice(fields, F.lit(3), F.greatest(F.size(fields) - 2, F.lit(0)))
 
 
 def _rows(cells: Column, names: Column) -> Column:
@@ -98,21 +99,23 @@ def _rows(cells: Column, names: Column) -> Column:
 
 def read_trc(spark: SparkSession, path: str, trial: str = "trial") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Strict scan: (header, markers, errors). The header is at fixed lines; a
-    frame whose cell count is not 2 + 3 markers becomes an error row."""
+    frame whose cell count is not 2 + 3 markers, or whose number or time can't be
+    read, becomes an error row; missing header fields are NULL."""
     d = _numbered(spark, path, trial)
     at = lambda n: F.max(F.when(F.col("no") == n, F.col("value")))
     head = d.where(F.col("no") < HEADER_LINES).groupBy("trial").agg(at(2).alias("v"), at(3).alias("n"))
     v = F.split("v", "\\s+")
     header = head.select(
-        "trial", v[0].try_cast("double").alias("data_rate"), v[1].try_cast("double").alias("camera_rate"),
-        v[2].try_cast("int").alias("num_frames"), v[3].try_cast("int").alias("num_markers"), v[4].alias("units"),
-        v[5].try_cast("double").alias("orig_data_rate"), _names(F.col("n")).alias("markers"),
+        "trial", F.get(v, 0).try_cast("double").alias("data_rate"), F.get(v, 1).try_cast("double").alias("camera_rate"),
+        F.get(v, 2).try_cast("int").alias("num_frames"), F.get(v, 3).try_cast("int").alias("num_markers"), F.get(v, 4).alias("units"),
+        F.get(v, 5).try_cast("double").alias("orig_data_rate"), _names(F.col("n")).alias("markers"),
     )
     body = d.where("no is null or no >= 5").where(F.trim("value") != "").join(header.select("trial", "markers"), "trial")
     body = body.withColumn("cells", F.split("value", "\t"))
-    good = F.size("cells") == 2 + 3 * F.size("markers")
+    number, time = F.get("cells", 0).try_cast("long"), F.get("cells", 1).try_cast("double")
+    good = F.coalesce((F.size("cells") == 2 + 3 * F.size("markers")) & number.isNotNull() & time.isNotNull(), F.lit(False))
     rows = body.where(good).select(
-        "trial", (F.col("cells")[0].cast("long") - 1).alias("frame"), F.col("cells")[1].cast("double").alias("t"),
+        "trial", (number - 1).alias("frame"), time.alias("t"),
         F.inline(_rows(F.col("cells"), F.col("markers"))),
     )
     errors = body.where(~good).select("trial", F.col("pos.id").alias("line"), F.size("cells").alias("cells"),
@@ -121,14 +124,17 @@ def read_trc(spark: SparkSession, path: str, trial: str = "trial") -> tuple[Data
 
 
 def read_any_trc(
-    spark: SparkSession, path: str, trial: str = "trial", zero_as_missing: str | None = None, search: int = 300
+    spark: SparkSession, path: str, trial: str = "trial", zero_as_missing: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Tolerant scan: (header, markers in metres). The name line is found by its
-    Frame and Time fields, units and rate by column name above it; unreadable
-    cells are missing and data end at the first line that is not numeric."""
+    """Tolerant scan: (header, markers in metres). The name line is the first of the
+    file's first split with Frame and Time fields, units and rate go by column name
+    above it; unreadable cells are missing and data end at the first line that is
+    not numeric. The header has a row for every trial: ``status`` is ``no names``
+    for one without a name line, which has no markers."""
     d = _numbered(spark, path, trial)
     is_names = F.col("value").rlike(r"(?i)\bFrame\b") & F.col("value").rlike(r"(?i)\bTime\b")
-    where = d.where(F.col("no") < search).groupBy("trial").agg(F.min(F.when(is_names, F.col("no"))).alias("_h"))
+    where = d.groupBy("trial").agg(F.min(F.when(is_names, F.col("no"))).alias("_h"))
+    lost = where.where("_h is null").select("trial", F.lit("no names").alias("status"))
     d = d.join(where.where("_h is not null"), "trial")
     lines = d.where("no <= _h").groupBy("trial").agg(
         F.max("_h").alias("_h"), F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda s: s["value"]).alias("_l"))
@@ -157,7 +163,8 @@ def read_any_trc(
         rows = drop_zeros(rows, mode=zero_as_missing)
     mm = F.col("units").contains("mm")
     rows = rows.select("trial", "frame", "t", "marker", *[F.when(mm, F.col(c) * (1.0 / 1000.0)).otherwise(F.col(c)).alias(c) for c in "xyz"])
-    return header.drop("_h"), rows
+    found = header.drop("_h").withColumn("status", F.lit("ok"))
+    return found.unionByName(lost, allowMissingColumns=True), rows
 
 
 def check_header(header: DataFrame, rows: DataFrame) -> DataFrame:
