@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, SPAN, WINDOW, LANES, LEAST = 24, 64, 32, 256, 4096
+#: Steps of a window when no gradient is taken; the state is carried, so scores don't depend on it.
+SCORE_WINDOW = 128
 Params = dict[str, np.ndarray]
 
 
@@ -185,7 +187,7 @@ def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     for group in batches(docs):
         h = np.zeros((len(group), p["back"].shape[0]), np.float32)
         sums = np.zeros(len(group))
-        for x, y, live in windows([docs[i] for i in group]):
+        for x, y, live in windows([docs[i] for i in group], SCORE_WINDOW):
             states, _ = _steps(p, x, h[:x.shape[1]], False)
             logs, _ = _log_probs(p, states[live], y[live], None)
             sums += np.bincount(np.nonzero(live)[1], logs, len(group))

@@ -30,7 +30,7 @@ from kinespark.session import materialise
 
 VOCABULARY, KNOWN = 2047, 200_000
 #: A training document teaches in one of PARTS rounds; ROUNDS of them are run.
-ROUNDS, PARTS = 2, 4
+ROUNDS, PARTS = 2, 8
 #: Documents a task holds at once, as long as their words are no more than this.
 POOL, POOL_WORDS = 2048, 400_000
 
