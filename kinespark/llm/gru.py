@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, SPAN, WINDOW, LANES, LEAST = 24, 64, 32, 256, 4096
+HIDDEN, SPAN, WINDOW, LANES, LEAST = 16, 32, 32, 256, 4096
 #: Steps of a window when no gradient is taken; the state is carried, so scores don't depend on it.
 SCORE_WINDOW = 128
 Params = dict[str, np.ndarray]
