@@ -213,13 +213,21 @@ def trial_accuracy(
     return out, joints, e.select(*d.columns, *[f"rot_{c}" for c in XYZ], "s")
 
 
+def _every_trial(pred: DataFrame, out: DataFrame, value: str, reason: str) -> DataFrame:
+    """``out`` with a row for each trial of ``pred``: status, and the reason where there is no value."""
+    bad = F.col(value).isNull()
+    return pred.select("trial").distinct().join(out, "trial", "left").withColumn("status", F.when(bad, "failed").otherwise("ok")).withColumn(
+        "reason", F.when(bad, reason))
+
+
 def frame_accuracy(
     pred: DataFrame, ref: DataFrame, resample_to: str = "pred", target_hz: float = 100.0, time_shift: float = 0.0,
     pred_axes: str = "none", ref_axes: str = "none", root_center: bool = True, procrustes: str = "none",
     hips: tuple[str, str] = ("left_hip", "right_hip"), block_s: float = series.SECONDS_PER_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(trials, joints) with frame-wise Procrustes: ``none``, ``rigid`` or
-    ``similarity``. The trial value is the mean over frames of the frame means."""
+    ``similarity``. The trial value is the mean over frames of the frame means;
+    every trial of ``pred`` has a row with status and reason."""
     turn = lambda d, e: d.select(*[c for c in d.columns if c not in XYZ], *[c.alias(n) for c, n in zip(G.remap_axes([F.col(c) for c in XYZ], e), XYZ)])
     d = _align_in_time(turn(pred, pred_axes), timealign.shift_time(turn(ref, ref_axes), time_shift), resample_to, target_hz, block_s)
     fk = ["trial", "i"]
@@ -231,7 +239,8 @@ def frame_accuracy(
         d = errors.with_error(align.apply_fit(d, f, fk), ("ax", "ay", "az"))
     else:
         d = errors.with_error(d)
-    return errors.overall_macro(d, ["trial"], "i"), errors.per_joint(d, ["trial"])
+    trials = _every_trial(pred, errors.overall_macro(d, ["trial"], "i"), "mpjpe", "no frame of both series")
+    return trials, errors.per_joint(d, ["trial"])
 
 
 def enhanced_accuracy(
@@ -242,7 +251,8 @@ def enhanced_accuracy(
     """(trials, markers) for enhanced against native mocap markers.
 
     ``pairs``: trial, left, right from :func:`names.native_pairs`. Centring uses
-    the hips, or the centroid in trials that lack one of them."""
+    the hips, or the centroid in trials that lack one of them. Every trial of
+    ``pred`` has a row with status and reason."""
     p = materialise(pairs.where(select.by_pattern("left", include, exclude)), "pairs")
     a = pred.join(p.select("trial", F.col("left").alias("marker"), F.col("left").alias("joint")), ["trial", "marker"]).drop("marker")
     b = ref.join(p.select("trial", F.col("right").alias("marker"), F.col("left").alias("joint")), ["trial", "marker"]).drop("marker")
@@ -265,7 +275,7 @@ def enhanced_accuracy(
     f = align.fit(whole, ["trial"], "similarity" if allow_scale else "rigid").join(n, "trial")
     e = errors.with_error(align.apply_fit(d, f, ["trial"], translate=False), ("ax", "ay", "az"))
     out = errors.overall_micro(e, ["trial"]).join(f.select("trial", "s", "n_frames"), "trial")
-    return out, errors.per_joint(e, ["trial"])
+    return _every_trial(pred, out, "s", "too few pairs, overlap or complete frames"), errors.per_joint(e, ["trial"])
 
 
 # ------------------------------------------------------------------ still phases, readiness
