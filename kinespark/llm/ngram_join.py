@@ -1,11 +1,11 @@
 """Jaccard self-join on word shingles with several global token orders.
 
 Two sets with Jaccard similarity t or more share a token among the first
-``n - ceil(t n) + 1`` of each, whatever order the tokens have. Here tokens are
-ordered under two orders, both with widespread tokens last: a bounded table of
-counts over all documents says which are widespread, and two digests order the
-rest. Candidates share a prefix token under the first order and then must share
-one under the second as well; what is left is compared exactly.
+``n - ceil(t n) + 1`` of each, whatever order the tokens have. Here tokens have
+three orders, all with widespread tokens last: a bounded table of counts over
+all documents says which are widespread, and three digests order the rest.
+Candidates share a prefix token under the first order and then must share one
+under each of the others; what is left is compared exactly.
 
 Components are wanted, so a pair is of use only if it joins two. Each token's
 holders are first compared with one of them, drawn by digest in two ways, one for
@@ -31,7 +31,7 @@ from kinespark.session import materialise
 PERCENT = 80
 #: Counters of the table of token counts, and the parts it is summed in.
 SLOT_BITS, PARTS = 24, 64
-_ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def spread(docs: DataFrame) -> np.ndarray:
 
 
 class Orders:
-    """Prefixes under the two orders; ``rank`` puts widespread tokens last in both."""
+    """Prefixes under the orders; ``rank`` puts widespread tokens last in all."""
 
     def __init__(self, packed: bytes, percent: int):
         self.rank, self.percent = np.frombuffer(zstandard.decompress(packed), np.uint8), percent
@@ -115,7 +115,7 @@ def prefixes(docs: DataFrame, held, percent: int = PERCENT) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, held, percent: int) -> DataFrame:
-    """The pairs (a, b) of units that share a prefix token under the second order, too, and pass the exact test."""
+    """The pairs (a, b) of units that share a prefix token under the other orders, too, and pass the exact test."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         orders = Orders(held.value, percent)
@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, held, percent: int) -> DataFram
                 part = f.iloc[i:i + 256]
                 good = []
                 for x, y in zip(S.sets(list(part["text_a"])), S.sets(list(part["text_b"]))):
-                    both = common(x, y) if common(orders.prefix(x, 1), orders.prefix(y, 1)) else 0
+                    both = common(x, y) if all(common(orders.prefix(x, o), orders.prefix(y, o)) for o in (1, 2)) else 0
                     good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield part.loc[good, ["a", "b"]]
 
