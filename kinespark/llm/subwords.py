@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -112,10 +113,20 @@ _memos: dict[tuple, Memo] = {}
 _TAIL = b".,;:!?"
 
 
+def _closed(core: bytes) -> bool:
+    """Whether the last character is a letter or digit, also as the normaliser leaves it."""
+    if core[-1:].isascii():
+        return core[-1:].isalnum()
+    last = unicodedata.normalize("NFC", core[-4:].decode("utf-8", "ignore")[-1:]).lower()
+    return unicodedata.category(last[-1:] or " ")[0] in "LN"
+
+
 def _word_encoder(tokenizer):
     """Ids of words by those of their core and their closing punctuation, which such
-    a tokenizer never joins; ASCII capitals fold, as its normaliser would. What may
-    hold a special token's string is left whole."""
+    a tokenizer never joins where the core ends in a letter or digit; ASCII capitals
+    fold, as its normaliser would. Left whole are cores that end in anything else, as
+    the tokenizer takes a run of marks as one piece, and what may hold a special
+    token's string."""
     cores: dict[bytes, list[int]] = {}
     older: dict[bytes, list[int]] = {}
 
@@ -125,7 +136,7 @@ def _word_encoder(tokenizer):
         if w.isascii():
             w = w.lower()
         core = w.rstrip(_TAIL)
-        return core, w[len(core):]
+        return (core, w[len(core):]) if _closed(core) else (w, b"")
 
     def encode(words: list[bytes]) -> list[list[int]]:
         nonlocal cores, older

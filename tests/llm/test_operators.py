@@ -176,6 +176,14 @@ def test_word_ids():
         assert memo.ids(slots)[::2].tolist() == [len(p) for p in some]
 
 
+def test_word_ids_of_mark_runs():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    marks = ["a).", 'said",', "dogs'.", "50%,", "(see).", '9233...B"!!', "a_.", "can't.", "é.", "É!", "x².", "İ.", "क़.", "e\u0301.", "字,", "٣.", "...", "()", "(.)", "-.", "<|endoftext|>."]
+    texts = marks + [" ".join(marks), *(" ".join(w + m for w in ("He", "40", "ça")) for m in (").", '",', "%,", "'.", "?!", "”.", ").”,"))]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in subwords.word_ids(path, texts)] == want
+
+
 def test_byte_ids_and_splices():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
