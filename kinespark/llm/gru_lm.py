@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from kinespark.llm import gru
 from kinespark.session import materialise
 
-VOCABULARY, KNOWN = 1023, 200_000
-#: A training document teaches in one of PARTS rounds; ROUNDS of them are run.
-ROUNDS, PARTS = 2, 8
+VOCABULARY, KNOWN = 2047, 200_000
+#: Rounds of the one pass over all training documents; each teaches in one of them.
+ROUNDS = 4
 #: Documents a task holds at once, as long as their words are no more than this.
 POOL, POOL_WORDS = 2048, 400_000
 
@@ -125,8 +125,8 @@ class Corpus:
         return self.counts.where(step >= F.lit(least)).toPandas().sort_values(["c", "word"], ascending=[False, True])
 
 
-def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS, parts: int = PARTS) -> gru.Params:
-    """Weights after ``rounds`` rounds; ``training`` has doc_id and text."""
+def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gru.Params:
+    """Weights after one pass over ``training`` (doc_id, text) in ``rounds`` rounds."""
     spark, model, like = training.sparkSession, corpus.start, corpus.start
     words, own, other = corpus.words[:corpus.own], corpus.own, corpus.size
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,7 +153,7 @@ def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS, parts: int
                 yield pd.DataFrame({"salt": [0], "tokens": [tokens], "weights": [(total / tokens).astype(np.float32).tobytes()]})
 
         shape = "salt int, tokens long, weights binary"
-        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(parts)) == r).select("text")
+        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select("text")
         means = list(average([share.mapInPandas(run, shape).repartition(min(n, 16), "salt").mapInPandas(average, shape).toPandas()]))  # 16 rows at most
         if means:
             model = gru.unpack(means[0]["weights"][0], like)

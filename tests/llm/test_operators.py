@@ -229,6 +229,16 @@ def test_gru_scores(docs):
     assert all(r.score < 0 for r in rows)
 
 
+def test_every_training_document_teaches(spark):
+    from kinespark.llm import gru
+
+    rows = spark.createDataFrame([(i, prose(30)) for i in range(6)], "doc_id long, text string").coalesce(1)
+    corpus = gru_lm.Corpus(rows)
+    start = gru.pack(corpus.start)
+    assert all(gru.pack(gru_lm.train(rows.where(F.col("doc_id") == i), corpus)) != start for i in range(6))
+    assert gru_lm.VOCABULARY >= 2047 and gru.HIDDEN >= 24
+
+
 def test_gru_gradients_and_gain():
     from kinespark.llm import gru
 
