@@ -240,9 +240,11 @@ def _(spark, sf):
 def _(spark, sf):
     d = X.person_rows(spark, sf).select("trial", "person", "frame", *[(1000 * F.col("e")[i]).alias(c) for i, c in enumerate(("tx", "ty", "tz"))],
                                         *[F.col("e")[10 + i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    d = live.with_event_time(d.withColumn("time_sec", F.col("frame") / 60), "2024-01-01 00:00:00").drop("time_sec")
     path = scratch_path(spark, "state")
     d.write.parquet(path)
+    live.end_of_session(d).write.mode("append").parquet(path)
     s = spark.readStream.schema(d.schema).parquet(path)
-    out = drained(spark, live.keyed_smoothing(s, 0.2))
+    out = drained(spark, live.keyed_smoothing(s, 0.2, "1 day"))
     return out.select("trial", "person", "frame", r6("tx"), r6("x1"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,51 +42,86 @@ def quality_windows(d: DataFrame, length: str = "10 seconds") -> DataFrame:
 
 
 OUTPUT = "person long, frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
-STATE = "frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
+STATE = "seen long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double, held binary"
+#: Event time of the row that ends a session: later than any record.
+END = "2200-01-01 00:00:00"
 
 
-def keyed_smoothing(d: DataFrame, alpha: float, timeout_ms: int | None = None) -> DataFrame:
+def end_of_session(d: DataFrame) -> DataFrame:
+    """One row like those of ``d``, nulls but for ``ts``: written to a stream's folder
+    after all records, it moves the watermark past every one of them."""
+    row = d.sparkSession.range(1)
+    return row.select(*[(F.lit(END) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in d.schema])
+
+
+def keyed_smoothing(d: DataFrame, alpha: float, lateness: str = "30 seconds", timeout_ms: int | None = None) -> DataFrame:
     """Running exponential average of the translation and the last known box per
-    (trial, person): rows trial, person, frame, tx, ty, tz, x1, y1, x2, y2 in,
-    smoothed rows out. Frames at or before the last emitted one are skipped.
+    (trial, person): rows trial, person, frame, ts, tx, ty, tz, x1, y1, x2, y2 in,
+    smoothed rows out; ``ts`` rises with the frame.
+
+    Rows wait in the state until the watermark, ``lateness`` behind the latest ``ts``,
+    has passed them, and leave in order of their frames; of a repeated frame the first
+    is taken. So the result doesn't depend on how rows fall into micro-batches. Rows
+    that come when the watermark has passed them are left out and counted by
+    ``run_to_table``. What waits when a stream ends needs ``end_of_session``.
 
-    ``timeout_ms`` drops the state of silent keys under a continuous trigger; runs
-    that drain what is available and stop must leave it unset."""
+    ``timeout_ms`` drops the state of keys that many milliseconds of event time after
+    their last row."""
     cols = ["tx", "ty", "tz"]
     box = ["x1", "y1", "x2", "y2"]
+    names = ["us", "frame", *cols, *box]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, ema, b = -1, None, None
+        seen, ema, b, held = 0, np.full(3, np.nan), np.full(4, np.nan), np.zeros((0, len(names)))
         if state.exists:
             s = state.get
-            last, ema, b = s[0], np.array(s[1:4]), np.array(s[4:8])
-        # one micro-batch of one person: frames may arrive unordered inside it
-        pdf = pd.concat(list(batches)).sort_values("frame").drop_duplicates("frame")
-        pdf = pdf[pdf["frame"] > last]
-        out = []
-        for f, t, x in zip(pdf["frame"], pdf[cols].to_numpy(float), pdf[box].to_numpy(float)):
+            seen, ema, b = s[0], np.array(s[1:4], float), np.array(s[4:8], float)
+            held = np.frombuffer(s[8], float).reshape(-1, len(names))
+        new = [] if state.hasTimedOut else [x[names].to_numpy(float) for x in batches]
+        rows = np.concatenate([held, *new])
+        rows = rows[~np.isnan(rows[:, 1])]  # the end of a session has no frame
+        rows = rows[np.unique(rows[:, 1], return_index=True)[1]]
+        passed = ~(rows[:, 0] > state.getCurrentWatermarkMs() * 1000)  # a row without a time doesn't wait
+        out, held = [], rows[~passed]
+        for row in rows[passed]:
+            t, x = row[2:5], row[5:]
             if np.isfinite(t).all():
-                ema = t if ema is None or not np.isfinite(ema).all() else (1 - alpha) * ema + alpha * t
+                ema = t if not np.isfinite(ema).all() else (1 - alpha) * ema + alpha * t
             if np.isfinite(x).all():
                 b = x
-            last = int(f)
-            out.append((key[0], key[1], last, *(ema if ema is not None else [np.nan] * 3), *(b if b is not None else [np.nan] * 4)))
+            out.append((key[0], key[1], int(row[1]), *ema, *b))
+        seen = int(np.fmax.reduce(rows[:, 0], initial=seen))
+        forget = seen // 1000 + timeout_ms if timeout_ms and seen else None
+        if len(held):
+            state.update((seen, *map(float, ema), *map(float, b), held.tobytes()))
+            state.setTimeoutTimestamp(int(held[:, 0].min()) // 1000 + 1)
+        elif forget and forget <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        elif seen:
+            state.update((seen, *map(float, ema), *map(float, b), b""))
+            if forget:
+                state.setTimeoutTimestamp(forget)
         if out:
-            state.update((last, *[float(v) for v in out[-1][3:]]))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
             yield pd.DataFrame(out, columns=["trial", "person", "frame", *cols, *box])
 
-    return d.groupBy("trial", "person").applyInPandasWithState(
-        step, f"trial {d.schema['trial'].dataType.simpleString()}, {OUTPUT}", STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    timed = d.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
+    return timed.groupBy("trial", "person").applyInPandasWithState(
+        step, f"trial {d.schema['trial'].dataType.simpleString()}, {OUTPUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(d: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain what is available now into parquet; restartable from its checkpoint."""
+def run_to_table(d: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Drain what is available now into parquet; restartable from its checkpoint.
+    Returns, and warns of, the number of rows left out as they came behind the watermark."""
     q = (d.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    late: dict[int, int] = {}
+    done = False
+    while not done:  # the query remembers its last 100 batches only
+        done = q.awaitTermination(1)
+        for p in q.recentProgress:
+            late[p["batchId"]] = max(late.get(p["batchId"], 0), sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]))
+    n = sum(late.values())
+    if n:
+        warnings.warn(f"{n} rows came behind the watermark and were left out", stacklevel=2)
+    return n

@@ -75,3 +75,34 @@ def test_undistort_decision_sees_all_frames(spark):
     d = spark.range(200).select(F.lit("a").alias("trial"), F.col("id").alias("frame"), F.when(F.col("id") < 60, 50.0).otherwise(90.0).alias("u"), F.lit(50.0).alias("v"))
     assert camera.undistort_decision(d, calib).first().undistort
     assert not camera.undistort_decision(d, calib, n_frames=50).first().undistort
+
+
+def test_smoothing_of_frames_in_any_order(spark):
+    from kinespark.streaming import live
+
+    rows = [("a", p, f, float(f * (p + 1)), 0.0, 0.0, None if f % 3 else float(f), 0.0, 1.0, 1.0) for p in range(2) for f in range(64)]
+    d = spark.createDataFrame(rows, "trial string, person long, frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double")
+    d = live.with_event_time(d.withColumn("time_sec", F.col("frame") / 60), "2024-01-01 00:00:00").drop("time_sec")
+    path = session.scratch_path(spark, "shuffled")
+    for k in range(7, -1, -1):  # the last frames come first
+        d.where(F.col("frame") % 16 >= 8 if k == 3 else F.lit(True)).where(F.col("frame") % 8 == k).coalesce(1).write.mode("append").parquet(path)
+    d.where((F.col("frame") % 8 == 3) & (F.col("frame") % 16 < 8)).coalesce(1).write.mode("append").parquet(path)
+    live.end_of_session(d).coalesce(1).write.mode("append").parquet(path)
+
+    def run(files, lateness):
+        s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).parquet(path)
+        out = session.scratch_path(spark, "smoothed")
+        late = live.run_to_table(live.keyed_smoothing(s, 0.5, lateness), out, session.scratch_path(spark, "progress"))
+        return late, sorted((r.person, r.frame, r.tx, r.x1) for r in spark.read.parquet(out).collect())
+
+    want = []
+    for p in range(2):
+        y = b = None
+        for f in range(64):
+            y = f * (p + 1.0) if y is None else 0.5 * y + 0.5 * f * (p + 1)
+            b = b if f % 3 else float(f)
+            want.append((p, f, y, b))
+    assert run(1, "10 seconds") == run(8, "10 seconds") == (0, want)
+    with pytest.warns(UserWarning, match="left out"):
+        late, got = run(1, "0 seconds")
+    assert late == len(want) - len(got) > 0
