@@ -53,3 +53,12 @@ def materialise(df, label: str):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(*frames) -> None:
+    """Remove the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toString().startswith(shared_dir(df.sparkSession)) or path.toUri().getPath().startswith(shared_dir(df.sparkSession).removeprefix("file:").replace("//", "/")):
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
