@@ -71,4 +71,24 @@ over_cut AS (SELECT DISTINCT row FROM v JOIN cuts USING (stratum, rule) WHERE va
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND over_cut.row IS NULL AS kept FROM x LEFT JOIN over_cut USING (row)
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_source_mix": OP3, "op5_quality_rules": OP5}
+OP11 = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT row, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS p FROM twice),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+         FROM (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w) ANTI JOIN gone USING (row, p) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (row)
+"""
+
+OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label = e.label AS same, e.vec_id AS b, list_dot_product(a.v, e.v)::BIGINT AS s FROM e a JOIN e ON e.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INTEGER AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND n.s <= p.s QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_source_mix": OP3, "op5_quality_rules": OP5, "op11_substring_dedup": OP11, "op13_hard_negatives": OP13}

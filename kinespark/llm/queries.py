@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import decontam, gru_lm, html_diff, license_scan, mixing, ngram_join, quality_rules, token_count, token_store, url_rules
+from kinespark.llm import decontam, doubling, gru_lm, hard_negatives, html_diff, license_scan, mixing, ngram_join, quality_rules, token_count, token_store, url_rules, variants
 from kinespark.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,22 @@ def op4_gru_scores(spark, sf_dir):
 def op9_license_scan(spark, sf_dir):
     """Licence notices of each document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_substring_dedup(spark, sf_dir):
+    """What is left of each document without passages of 35 words that occur twice."""
+    return doubling.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all documents with their form and root."""
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Negatives just below each positive of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)

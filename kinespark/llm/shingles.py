@@ -15,6 +15,7 @@ _RNG = np.random.default_rng(20_240_601)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLAIN = np.where(_SPACE, np.uint64(0), _VALUE)
 _VALUE[65:91] = _VALUE[97:123]  # capitals fold
 _VALUE[_SPACE] = 0
 _COEF = _RNG.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
@@ -52,12 +53,13 @@ def batches(texts: list[str], step: int = STEP):
         yield run
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of all words, their bytes, and where each text's words begin (one more than texts)."""
+def words(texts: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of all words, their bytes, and where each text's words begin (one more than texts);
+    without ``fold`` capitals count as letters of their own."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     a = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
     up, down = _power(len(a))
-    total = np.cumsum(_VALUE[a] * up)
+    total = np.cumsum((_VALUE if fold else _PLAIN)[a] * up)
     space = _SPACE[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
