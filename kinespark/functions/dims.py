@@ -295,6 +295,22 @@ STUDY_TO_MOCAP = [
 ]
 
 # Mocap labels kept by the downsampling job.
+# Markers that must be still in a static phase, those of the arms, and the keypoint form.
+STILL_MARKERS = [
+    "C7_study", "r_shoulder_study", "L_shoulder_study", "r.ASIS_study", "L.ASIS_study", "r.PSIS_study", "L.PSIS_study",
+    "r_knee_study", "L_knee_study", "r_mknee_study", "L_mknee_study", "r_ankle_study", "L_ankle_study", "r_mankle_study",
+    "L_mankle_study", "r_calc_study", "L_calc_study", "r_toe_study", "L_toe_study", "r_5meta_study", "L_5meta_study",
+    "RHJC_study", "LHJC_study",
+]
+STILL_ARM_MARKERS = [
+    "r_lelbow_study", "L_lelbow_study", "r_melbow_study", "L_melbow_study", "r_lwrist_study", "L_lwrist_study",
+    "r_mwrist_study", "L_mwrist_study",
+]
+STILL_KEYPOINTS = [
+    "neck", "right_shoulder", "left_shoulder", "right_hip", "left_hip", "right_knee", "left_knee", "right_ankle", "left_ankle",
+    "right_heel", "left_heel", "right_small_toe", "left_small_toe", "right_elbow", "left_elbow", "right_wrist", "left_wrist",
+]
+
 MOCAP_KEEP = [
     "RSHO", "LSHO", "RASI", "LASI", "RKNE", "LKNE", "RANK", "LANK",
     "RHEE", "LHEE", "RTOE", "LTOE", "RELB", "LELB", "RWRB", "LWRB",

@@ -1,17 +1,40 @@
-"""Recursive filters on one block of a series, as NumPy convolutions.
+"""Recursive filters on blocks of series in NumPy, as sums of one-pole recursions.
 
-The impulse responses below die out: after ``memory`` samples they are smaller
-than one unit in the last place of a double. A block that carries that many
-neighbours therefore filters exactly as if the whole series were present.
+w <- p w + x runs over all samples at once: after k doublings each place holds the
+recursion over its last 2**k samples. Poles inside the unit circle forget, so the
+doublings stop once p**(2**k) is below TINY.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
-TINY = 1e-18
+TINY = 1e-19
+
+
+@dataclass(frozen=True)
+class Poles:
+    """y = direct x + Re sum(weights w), w <- pole w + x. One pole stands for a conjugate
+    pair, with twice the residue as its weight; a real pole stands for itself."""
+
+    poles: np.ndarray
+    weights: np.ndarray
+    direct: float = 0.0
+
+    def every(self, state: np.ndarray) -> Iterator[tuple[complex, complex, np.ndarray]]:
+        """Each single pole, its residue and its share of ``state`` (.., poles, channels)."""
+        for i, (p, r) in enumerate(zip(self.poles, self.weights)):
+            s = state[..., i, :]
+            if p.imag:
+                yield p, r / 2, s
+                yield p.conjugate(), r.conjugate() / 2, s.conj()
+            else:
+                yield p, r, s
 
 
 def smoothing_alpha(fs: float, cutoff: float) -> float:
@@ -20,57 +43,90 @@ def smoothing_alpha(fs: float, cutoff: float) -> float:
     return dt / (rc + dt)
 
 
-def exponential_memory(alpha: float) -> int:
-    return 1 if alpha >= 1 else int(math.ceil(math.log(TINY) / math.log(1.0 - alpha))) + 1
+@lru_cache(maxsize=4096)
+def exponential(alpha: float) -> Poles:
+    """y <- (1 - alpha) y + alpha x."""
+    return Poles(np.array([1.0 - alpha], complex), np.array([alpha], complex))
 
 
-def exponential_response(alpha: float) -> np.ndarray:
-    """Response of y <- (1 - alpha) y + alpha x."""
-    return alpha * (1.0 - alpha) ** np.arange(exponential_memory(alpha))
+def first_order(fs: float, cutoff: float) -> Poles:
+    return exponential(smoothing_alpha(fs, cutoff))
 
 
-def butterworth_poles(order: int, wn: float) -> tuple[np.ndarray, float]:
-    """Digital poles and gain of a low-pass at ``wn`` of the Nyquist rate
-    (bilinear transform, pre-warped); all zeros lie at -1."""
+def _gaps(order: int, wn: float) -> np.ndarray:
+    """1 - pole of each digital pole of a low-pass at ``wn`` of the Nyquist rate (bilinear
+    transform, pre-warped); kept apart from the poles so that low cutoffs lose no digits."""
     k = math.tan(math.pi * wn / 2.0)
     angles = math.pi * (2 * np.arange(order) + order + 1) / (2 * order)
     analog = k * np.exp(1j * angles)
-    poles = (1 + analog) / (1 - analog)
-    return poles, float(np.real(np.prod(1 - poles))) / 2.0**order
-
-
-def butterworth_memory(order: int, wn: float) -> int:
-    poles, _ = butterworth_poles(order, wn)
-    return int(math.ceil(math.log(TINY) / math.log(np.abs(poles).max()))) + order
-
-
-def butterworth_response(order: int, wn: float) -> np.ndarray:
-    """Impulse response over its memory, from the partial fractions of
-    gain (1 + 1/z)^order / prod(1 - p/z)."""
-    poles, gain = butterworth_poles(order, wn)
-    n = np.arange(butterworth_memory(order, wn))
-    numer = gain * np.array([math.comb(order, i) for i in range(order + 1)], dtype=float)
-    out = np.zeros(len(n))
-    basis = np.zeros(len(n), dtype=complex)
-    for i, p in enumerate(poles):
-        others = np.delete(poles, i)
-        basis += (1.0 / np.prod(1 - others / p)) * p**n
-    impulse = np.real(basis)
-    for i, b in enumerate(numer):
-        out[i:] += b * impulse[: len(n) - i]
-    return out
-
-
-def causal(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Filter columns of ``x`` (n, c), taking the first row as the endless past."""
-    m = len(h) - 1
-    padded = np.concatenate([np.repeat(x[:1], m, axis=0), x]) if m else x
-    return np.stack([np.convolve(padded[:, c], h, mode="valid") for c in range(x.shape[1])], axis=1)
-
-
-def forward_backward(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    y = causal(x, h)
-    return causal(y[::-1], h)[::-1]
+    return -2 * analog / (1 - analog)
+
+
+def butterworth_poles(order: int, wn: float) -> tuple[np.ndarray, float]:
+    """Poles and gain; all zeros lie at -1."""
+    gaps = _gaps(order, wn)
+    return 1 - gaps, float(np.real(np.prod(gaps))) / 2.0**order
+
+
+@lru_cache(maxsize=4096)
+def butterworth(order: int, wn: float) -> Poles:
+    """gain (1 + 1/z)^order / prod(1 - p/z) in partial fractions."""
+    gaps, (poles, gain) = _gaps(order, wn), butterworth_poles(order, wn)
+    residues = np.array([gain * (1 + 1 / p) ** order / np.prod((np.delete(gaps, i) - gaps[i]) / p) for i, p in enumerate(poles)])
+    upper, real = poles.imag > 1e-15, np.abs(poles.imag) <= 1e-15
+    return Poles(np.concatenate([poles[upper], poles[real].real]), np.concatenate([2 * residues[upper], residues[real]]), float(np.real(gain / np.prod(-poles))))
+
+
+def lowpass(fs: float, cutoff: float, order: int = 4) -> Poles:
+    return butterworth(order, min(0.9999, cutoff / (fs * 0.5)))
+
+
+def _recursion(x: np.ndarray, pos: np.ndarray, poles: np.ndarray) -> np.ndarray:
+    """w (n, poles, channels) of samples ``x`` (same shape); ``pos`` counts the samples of a series, ``poles`` are (n, poles)."""
+    w, step, q = x, 1, poles
+    longest, slowest = int(pos.max(initial=0)) + 1, float(np.abs(poles).max(initial=0))
+    while step < longest and slowest**step > TINY:
+        add = q[step:, :, None] * w[:-step]
+        add[pos[step:] < step] = 0
+        w[step:] += add
+        q, step = q * q, step * 2
+    return w
+
+
+def run_poles(
+    parts: Sequence[np.ndarray], filters: Sequence[Poles], begins: np.ndarray, ends: np.ndarray, both_ways: bool
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Filter series parts (samples, channels) at once: results, and the states each part
+    leaves behind it and, ``both_ways``, before it (parts, poles, channels).
+
+    A part that begins or ends its series takes its outer sample as constant beyond;
+    other parts start from state zero."""
+    length = np.array([len(p) for p in parts])
+    first = np.cumsum(length) - length
+    last = first + length - 1
+    owner = np.repeat(np.arange(len(parts)), length)
+    pos = np.arange(len(owner)) - first[owner]
+    poles, weights = np.stack([f.poles for f in filters]), np.stack([f.weights for f in filters])
+    direct = np.array([f.direct for f in filters])[owner][:, None]
+
+    def one_way(x: np.ndarray, edge: np.ndarray, known: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.repeat(x[:, None, :].astype(complex), poles.shape[1], axis=1)
+        before = np.where(known[:, None, None], x[edge][:, None, :] / (1 - poles)[:, :, None], 0)
+        w[edge] += poles[:, :, None] * before
+        w = _recursion(w, at, poles[own])
+        return np.real((weights[own][:, :, None] * w).sum(axis=1)), w
+
+    x = np.concatenate(parts)
+    y, w = one_way(x, first, begins, owner, pos)
+    y += direct * x
+    ahead = w[last]
+    back = np.zeros_like(ahead)
+    if both_ways:
+        n = len(x) - 1
+        z, v = one_way(y[::-1], n - last, ends, owner[::-1], (length[owner] - 1 - pos)[::-1])
+        back = v[n - first]
+        y = z[::-1] + direct * y
+    return np.split(y, first[1:]), ahead, back
 
 
 def odd_extension(x: np.ndarray, n: int, front: bool, back: bool) -> np.ndarray:

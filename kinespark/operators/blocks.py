@@ -34,11 +34,11 @@ def map_blocks(df: DataFrame, keys: Sequence[str], order: str, fn: BlockFn, sche
                 new[1:] |= v[1:] != v[:-1]
             starts = np.flatnonzero(new)
             last = int(starts[-1])
-            if last:
-                yield fn(pdf.iloc[:last], starts[:-1])
+            if last and len(out := fn(pdf.iloc[:last], starts[:-1])):
+                yield out
             held = pdf.iloc[last:].reset_index(drop=True)
-        if held is not None:
-            yield fn(held, np.array([0]))
+        if held is not None and len(out := fn(held, np.array([0]))):
+            yield out
 
     placed = df.repartition(*group).sortWithinPartitions(*group, order)
     return placed.mapInPandas(run, schema)

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinespark.operators import frames, series
+from kinespark.functions import dims
+from kinespark.operators import blocks, frames, series
 
 COORDS = ("x", "y", "z")
 
 
-def prepare_still(df: DataFrame, root: str | None = "midHip", large: float = 10.0) -> DataFrame:
+def still_markers(arms: bool = True, keypoints: bool = False, mocap: bool = False) -> list[str]:
+    """Markers that must be still: the study set with or without arms, by study or mocap
+    names, or the keypoint set."""
+    if keypoints:
+        return list(dims.STILL_KEYPOINTS)
+    chosen = dims.STILL_MARKERS + (dims.STILL_ARM_MARKERS if arms else [])
+    if mocap:
+        for old, new in dims.STUDY_TO_MOCAP:
+            chosen = [m.replace(old, new) for m in chosen]
+    return list(chosen)
+
+
+def prepare_still(df: DataFrame, root: str | None = "midHip", large: float = 10.0, markers: Sequence[str] | None = None) -> DataFrame:
     """Remove the root marker's motion in trials that have it (frames without it are
-    missing there) and bring millimetres to metres when the trial's largest
-    coordinate says so."""
+    missing there), keep ``markers`` (all by default) and bring millimetres to metres
+    when the largest coordinate left in the trial says so."""
     d = df
     if root:
         fk = ["trial", "frame"]
@@ -24,6 +38,8 @@ def prepare_still(df: DataFrame, root: str | None = "midHip", large: float = 10.
         moved = {c: F.when(F.col("_has"), F.col(c) - frames.joint_in_frame(root, c, fk)).otherwise(F.col(c)) for c in COORDS}
         d = d.withColumn("joint", F.col("marker"))
         d = d.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in d.columns]).drop("joint")
+    if markers is not None:
+        d = d.where(F.col("marker").isin(list(markers)))
     d = series.per_key(d, ["trial"], F.max(F.greatest(*COORDS)).alias("_m"))
     big = F.col("_m") > large
     new = {c: F.when(big, F.col(c) / 1000).otherwise(F.col(c)) for c in COORDS}
@@ -41,25 +57,59 @@ def window_lengths(fs: float, minimum_s: float, start_s: float = 1.0, step_s: fl
     return out
 
 
-def motion_ranges(df: DataFrame, lengths: Sequence[int], index: str = "frame", width: int = series.FRAMES_PER_BLOCK) -> DataFrame:
+def window_lengths_of(fs: Column, minimum_s: float, start_s: float = 1.0, step_s: float = 0.1) -> Column:
+    """:func:`window_lengths` as an array column, for a rate per row."""
+    n, step = F.floor(start_s * fs + 1).cast("int"), F.floor(step_s * fs).cast("int")
+    tried = F.when(step >= 1, F.sequence(n, F.least(n, F.lit(1)), -F.greatest(step, F.lit(1)))).otherwise(F.array(n))
+    return F.filter(tried, lambda k: (k >= 1) & (F.bround((k - 1) / fs, 2) >= minimum_s))
+
+
+def motion_ranges(df: DataFrame, lengths: Sequence[int] | Column, index: str = "frame", width: int = 4096) -> DataFrame:
     """(trial, start, n, needed): the largest coordinate range of any marker in
     the window of n frames that begins at ``start``; the smallest threshold that
     calls it still lies above it. Windows must be complete for every marker: one
-    with a missing coordinate is never still."""
-    longest = max(lengths)
-    d = series.with_halo(df.select("trial", "marker", index, *COORDS), index, 0, longest, max(width, longest))
-    part = W.partitionBy("trial", "marker", "_blk").orderBy(index)
-    cols = []
-    for n in lengths:
-        w = part.rowsBetween(0, n - 1)
-        span = F.greatest(*[F.max(c).over(w) - F.min(c).over(w) for c in COORDS])
-        whole = F.least(*[F.count(c).over(w) for c in COORDS]) == n
-        cols.append(F.struct(F.lit(n).alias("n"), F.when(whole, span).alias("r")))
-    d = d.select("trial", "marker", index, "_own", F.array(*cols).alias("_w")).where("_own")
-    d = d.select("trial", "marker", F.col(index).alias("start"), F.inline("_w")).where("r is not null")
-    m = df.select("trial", "marker").distinct().groupBy("trial").agg(F.count(F.lit(1)).alias("_m"))
-    g = d.groupBy("trial", "start", "n").agg(F.max("r").alias("needed"), F.count(F.lit(1)).alias("_c"))
-    return g.join(m, "trial").where("_c = _m").select("trial", "start", "n", "needed")
+    with a missing frame or coordinate is never still.
+
+    ``lengths`` are the same for all trials, or an array column that is constant in a
+    trial. A block holds all markers of its frames. Extrema over 1, 2, 4, .. frames are
+    made once; a window is the union of two of them, so its length costs nothing."""
+    sizes = lengths if isinstance(lengths, Column) else F.array(*[F.lit(int(n)) for n in lengths])
+    d = df.select("trial", "marker", F.col(index).cast("long").alias(index), *[F.col(c).cast("double") for c in COORDS], sizes.cast("array<int>").alias("_n")).where(F.size("_n") > 0)
+    many = df.select("trial", "marker").distinct().groupBy("trial").agg(F.count(F.lit(1)).alias("_m"))
+    d = series.with_halo(d, index, 0, F.array_max("_n").cast("long"), width).join(many, "trial")
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        frames_, blk, m = pdf[index].to_numpy(), pdf["_blk"].to_numpy(), pdf["_m"].to_numpy()
+        xyz = pdf[list(COORDS)].to_numpy(dtype=float)
+        found = []
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            marker, of = np.unique(pdf["marker"].to_numpy()[a:b], return_inverse=True)
+            if len(marker) < m[a]:
+                continue
+            lo = blk[a] * width
+            table = np.full((int(frames_[a:b].max()) - lo + 1, len(marker), 3), np.nan)
+            table[frames_[a:b] - lo, of] = xyz[a:b]
+            for n, needed in window_ranges(table.reshape(len(table), -1), pdf["_n"].iloc[a]):
+                at = np.flatnonzero(~np.isnan(needed[:width]))
+                if len(at):
+                    found.append((np.repeat(pdf["trial"].iloc[a], len(at)), at + lo, np.full(len(at), n), needed[at]))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], [], []]
+        return pd.DataFrame(dict(zip(("trial", "start", "n", "needed"), cols)))
+
+    return blocks.map_blocks(d, ["trial"], index, run, f"trial {df.schema['trial'].dataType.simpleString()}, start long, n int, needed double")
+
+
+def window_ranges(table: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length n that fits: the largest range of any column over rows i .. i+n-1; NaN if a value is missing."""
+    high = low = table
+    span = 1
+    for n in sorted(int(n) for n in lengths):
+        if n > len(table):
+            return
+        while 2 * span <= n:  # extrema over twice as many rows
+            high, low, span = np.maximum(high[:-span], high[span:]), np.minimum(low[:-span], low[span:]), 2 * span
+        rows, shift = len(table) - n + 1, n - span
+        yield n, (np.maximum(high[:rows], high[shift:shift + rows]) - np.minimum(low[:rows], low[shift:shift + rows])).max(axis=1)
 
 
 def first_still(ranges: DataFrame, threshold: float) -> DataFrame:

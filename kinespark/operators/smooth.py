@@ -1,16 +1,15 @@
-"""Filters along a trial's time axis, block by block."""
+"""Filters along a trial's time axis, block by block, at one rate or each trial at its own."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
-from kinespark.operators import blocks, resample, series
+from kinespark.operators import recursive, resample, series
 from kinespark.session import materialise
 
 
@@ -69,62 +68,51 @@ def moving_average(
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def _param(value: float | str | Column | None) -> Column:
+    """A number for all rows, or the column that holds each key's own."""
+    if isinstance(value, str):
+        return F.col(value).cast("double")
+    return value.cast("double") if isinstance(value, Column) else F.lit(value).cast("double")
+
+
 def upsample(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], source_rate: float, target_rate: float,
+    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], source_rate: float | str | Column, target_rate: float,
     cutoff: float | None = 6.0, width: int = series.FRAMES_PER_BLOCK,
 ) -> DataFrame:
-    """Linear resampling to a higher rate followed by the moving average. At or
-    below the source rate the data and their timing are kept."""
+    """Linear resampling to a higher rate followed by the moving average. Keys whose
+    source rate (a number, or a column that is constant in a key) is the target or
+    more keep their data and timing."""
     keys = list(keys)
-    src = df.select(*keys, index, *values, (F.col(index) / source_rate).alias("t"))
-    if target_rate <= source_rate:
-        return src.select(*keys, F.col(index).alias("i"), "t", *values)
+    src = df.select(*keys, F.col(index).alias("i"), *values, _param(source_rate).alias("_rate")).withColumn("t", F.col("i") / F.col("_rate"))
+    kept = src.where(F.col("_rate") >= target_rate).select(*keys, "i", "t", *values)
+    src = src.where(F.col("_rate") < target_rate)
     span = src.groupBy(*keys).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"))
     grid = resample.time_grid(span, target_rate, "rounded").select(*keys, "i", "t")
-    d = resample.interpolate(src, grid, keys, values, block_s=width / source_rate)
-    if cutoff is None:
-        return d
-    d = materialise(d, "upsampled")
-    # the length depends on the job's rate and cutoff only
-    n = max(3, min(int(round(0.443 * target_rate / max(0.1, cutoff))), int(2 * target_rate) + 1))
-    return moving_average(d, keys, "i", values, n, width)
-
-
-def _blockwise(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], before: int, after: int, width: int, fn
-) -> DataFrame:
-    """Run ``fn(block, first, last)`` on each block with its halo. ``block`` is
-    the (n, c) value matrix in index order; first/last tell whether the series
-    begins/ends inside it. The result replaces the values of the owned rows."""
-    keys, values = list(keys), list(values)
-    width = max(width, before + after)
-    d = series.per_key(df, keys, F.min(index).alias("_lo"), F.max(index).alias("_hi"))
-    d = series.with_halo(d, index, before, after, width)
-    out_cols = df.columns
-
-    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        pos, own = pdf[index].to_numpy(), pdf["_own"].to_numpy()
-        lo, hi = pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy()
-        x = pdf[values].to_numpy(dtype=float)
-        y = np.empty_like(x)
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
-            if own[a:b].any():
-                y[a:b] = fn(x[a:b], bool(pos[a] == lo[a]), bool(pos[b - 1] == hi[a]))
-        out = pdf[out_cols].copy()
-        out[values] = y
-        return out[own]
-
-    return blocks.map_blocks(d, keys, index, run, df.schema)
+    d = resample.interpolate(src.select(*keys, "t", *values), grid, keys, values, block_s=width / target_rate)
+    if cutoff is not None:
+        # the length depends on the job's rate and cutoff only
+        n = max(3, min(int(round(0.443 * target_rate / max(0.1, cutoff))), int(2 * target_rate) + 1))
+        d = moving_average(materialise(d, "upsampled"), keys, "i", values, n, width)
+    return d.select(*keys, "i", "t", *values).unionByName(kept)
 
 
 def first_order_lowpass(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float, cutoff: float | None,
+    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float | str | Column, cutoff: float | str | Column | None,
     width: int = series.FRAMES_PER_BLOCK,
 ) -> DataFrame:
-    """Forward exponential low-pass on a gap-free index."""
-    if cutoff is None or cutoff <= 0:
+    """Forward exponential low-pass on a gap-free index. Rates and cutoffs may be
+    columns that are constant in a key; keys without a positive cutoff stay as they are."""
+    return _filtered(df, fs, cutoff, lambda d: recursive.apply(d, keys, index, values, ["_fs", "_fc"], kernels.first_order, False, width=width))
+
+
+def _filtered(df: DataFrame, fs: float | str | Column, cutoff: float | str | Column | None, run) -> DataFrame:
+    if cutoff is None or (isinstance(cutoff, (int, float)) and cutoff <= 0):
         return df
-    return exponential(df, keys, index, values, kernels.smoothing_alpha(fs, cutoff), width)
+    d = df.withColumns({"_fs": _param(fs), "_fc": _param(cutoff)})
+    if isinstance(cutoff, (int, float)):
+        return run(d)
+    asked = F.coalesce(F.col("_fc") > 0, F.lit(False))
+    return run(d.where(asked)).unionByName(d.where(~asked).drop("_fs", "_fc"))
 
 
 def exponential(
@@ -134,10 +122,7 @@ def exponential(
     """y <- (1 - alpha) y + alpha x, seeded by the first row."""
     if alpha <= 0:
         return df
-    h = kernels.exponential_response(alpha)
-    return _blockwise(
-        df, keys, index, values, len(h), 0, width, lambda x, first, last: kernels.causal(x, h)
-    )
+    return recursive.apply(df.withColumn("_alpha", F.lit(float(alpha))), keys, index, values, ["_alpha"], kernels.exponential, False, width=width)
 
 
 def exponential_over_solved(
@@ -157,49 +142,46 @@ def exponential_over_solved(
 
 
 def butterworth(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float, cutoff: float | None,
+    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float | str | Column, cutoff: float | str | Column | None,
     order: int = 4, width: int = series.FRAMES_PER_BLOCK,
 ) -> DataFrame:
     """Zero-phase Butterworth low-pass on a gap-free index: forward and backward
     over the oddly extended series. Series too short for the extension get the
-    first-order filter."""
-    if cutoff is None or cutoff <= 0:
-        return df
-    wn = min(0.9999, cutoff / (fs * 0.5))
-    h = kernels.butterworth_response(order, wn)
-    one = kernels.exponential_response(kernels.smoothing_alpha(fs, cutoff))
-    pad, memory = 3 * (order + 1), max(len(h), len(one))
-
-    def run(x: np.ndarray, first: bool, last: bool) -> np.ndarray:
-        if first and last and len(x) <= pad:
-            return kernels.causal(x, one)
-        ext = kernels.odd_extension(x, pad, first, last)
-        y = kernels.forward_backward(ext, h)
-        lo = pad if first else 0
-        return y[lo : lo + len(x)]
-
-    return _blockwise(df, keys, index, values, memory + pad, memory + pad, width, run)
-
-
-def antialias_cutoff(fs: float, target: float | None, cutoff: float | None) -> float | None:
-    """Cutoff of the downsampling filter."""
+    first-order filter. Rates and cutoffs may be columns that are constant in a key;
+    keys without a positive cutoff stay as they are."""
+    design = partial(kernels.lowpass, order=order)
+    return _filtered(df, fs, cutoff, lambda d: recursive.apply(
+        d, keys, index, values, ["_fs", "_fc"], design, True, 3 * (order + 1), kernels.first_order, width))
+
+
+def antialias_cutoff(fs: float | Column, target: float | None, cutoff: float | None) -> float | Column | None:
+    """Cutoff of the downsampling filter; a column where the rate is one."""
+    if isinstance(fs, Column):
+        plain = F.lit(cutoff if cutoff and cutoff > 0 else None).cast("double")
+        if not target or target <= 0:
+            return plain
+        return F.when(fs > target, F.least(F.lit(float(cutoff or 0.45 * target)), 0.49 * fs)).otherwise(plain)
     if target and 0 < target < fs:
         return min(cutoff or 0.45 * target, 0.49 * fs)
     return cutoff if cutoff and cutoff > 0 else None
 
 
 def downsample(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float, target: float,
+    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float | str | Column, target: float,
     cutoff: float | None = 6.0, width: int = series.FRAMES_PER_BLOCK,
 ) -> DataFrame:
-    """Filter, then interpolate onto a floored grid at ``target``; a target at or
-    above the source rate keeps the frames. Gaps are filled first."""
+    """Filter, then interpolate onto a floored grid at ``target``; keys whose rate
+    (a number, or a column that is constant in a key) is the target or less keep
+    their frames. Gaps are filled first."""
     keys = list(keys)
-    d = materialise(resample.fill_gaps(df.select(*keys, index, *values), keys, index, values, width), "filled")
-    d = butterworth(d, keys, index, values, fs, antialias_cutoff(fs, target, cutoff), width=width)
-    d = materialise(d, "filtered").withColumn("t", F.col(index) / fs)
-    if not 0 < target < fs:
-        return d.select(*keys, F.col(index).alias("i"), "t", *values)
+    d = df.select(*keys, index, *values, _param(fs).alias("_rate"))
+    d = materialise(resample.fill_gaps(d, keys, index, values, width), "filled")
+    rate = F.col("_rate") if not isinstance(fs, (int, float)) else float(fs)
+    d = butterworth(d, keys, index, values, "_rate", antialias_cutoff(rate, target, cutoff), width=width)
+    d = materialise(d, "filtered").withColumn("t", F.col(index) / F.col("_rate"))
+    thin = (F.col("_rate") > target) & F.lit(target > 0)
+    kept = d.where(~thin).select(*keys, F.col(index).alias("i"), "t", *values)
+    d = d.where(thin)
     span = d.groupBy(*keys).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"))
     grid = resample.time_grid(span, target, "floored").select(*keys, "i", "t")
-    return resample.interpolate(d, grid, keys, values, outside="clamp", min_samples=1, block_s=width / fs)
+    return resample.interpolate(d.select(*keys, "t", *values), grid, keys, values, outside="clamp", min_samples=1, block_s=width / target if target > 0 else width).unionByName(kept)

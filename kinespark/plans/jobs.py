@@ -21,6 +21,14 @@ from kinespark.session import materialise
 XYZ = ("x", "y", "z")
 
 
+def with_rate(df: DataFrame, rate: float | DataFrame, name: str = "fs") -> DataFrame:
+    """``df`` with the sampling rate of each trial: one number, or a table (trial, rate). Trials
+    that the table lacks keep a NULL."""
+    if isinstance(rate, DataFrame):
+        return df.join(rate.select("trial", F.col("rate").cast("double").alias(name)), "trial", "left")
+    return df.withColumn(name, F.lit(float(rate)))
+
+
 # ------------------------------------------------------------------ subjects
 def harmonise_subjects(metadata: DataFrame, flat: str = "meta", nested: str = "nested") -> DataFrame:
     """Typed sex, height_m and mass_kg from free-form session metadata."""
@@ -35,10 +43,12 @@ def harmonise_subjects(metadata: DataFrame, flat: str = "meta", nested: str = "n
 def metric_scaling(
     frames_df: DataFrame, subjects: DataFrame, joint_names: Sequence[str], heads: Sequence[str], feet: Sequence[str],
     person_index: int = -1, min_mean_score: float = 0.0, percentile: float = 95.0,
-    source_rate: float = 60.0, target_rate: float | None = None, cutoff: float | None = 6.0,
+    source_rate: float | DataFrame = 60.0, target_rate: float | None = None, cutoff: float | None = 6.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(scales, markers): scale per trial from the subject's height, and the chosen
     person's metric markers with neck and midHip, resampled when asked for.
+    ``source_rate`` is a number or a table (trial, rate); trials without a rate, or
+    with the target or more, keep their frames.
 
     ``frames_df``: trial, frame, persons (keypoints_xyz, mean_score)."""
     h = [joint_names.index(j) for j in heads if j in joint_names]
@@ -58,10 +68,9 @@ def metric_scaling(
     m = d.join(scales.where("status = 'ok'").select("trial", "scale"), "trial")
     m = m.select("trial", "frame", "scale", F.inline_outer("kp")).select(
         "trial", "frame", "joint", *[(F.col(c) * F.col("scale")).alias(c) for c in XYZ])
-    rate = target_rate or source_rate
-    if rate > source_rate:
-        key = ["trial", "joint"]
-        m = smooth.upsample(m.where("joint is not null"), key, "frame", list(XYZ), source_rate, rate, cutoff)
+    if target_rate and (isinstance(source_rate, DataFrame) or target_rate > source_rate):
+        m = with_rate(m.where("joint is not null"), source_rate).withColumn("fs", F.coalesce("fs", F.lit(float(target_rate))))
+        m = smooth.upsample(m, ["trial", "joint"], "frame", list(XYZ), "fs", target_rate, cutoff)
         m = m.select("trial", F.col("i").alias("frame"), "joint", *XYZ)
     fk = ["trial", "frame"]
     both = materialise(m.where("joint is not null"), "metric")
@@ -125,10 +134,11 @@ def canonicalise(frames_df: DataFrame, joints: dict[str, int], mode: str = "firs
 
 
 def downsample_mocap(
-    markers: DataFrame, labels: DataFrame, keep: Sequence[str], fs: float, target: float = 100.0, cutoff: float | None = 6.0
+    markers: DataFrame, labels: DataFrame, keep: Sequence[str], fs: float | DataFrame, target: float = 100.0, cutoff: float | None = 6.0
 ) -> tuple[DataFrame, DataFrame]:
     """(markers, missing): selected labels (first of duplicates, case ignored),
-    filtered and downsampled, and the requested labels a trial lacks.
+    filtered and downsampled, and the requested labels a trial lacks. ``fs`` is a
+    number or a table (trial, rate); a trial without a rate counts as being at the target.
 
     ``labels``: trial, pos, marker; ``markers``: trial, frame, marker, x, y, z."""
     first = names.keep_first_label(labels, ["trial"], "marker", "pos").withColumn("label", text.label_name(F.col("marker")))
@@ -136,7 +146,8 @@ def downsample_mocap(
     asked = labels.select("trial").distinct().select("trial", F.explode(want).alias("label"))
     chosen = first.join(asked, ["trial", "label"], "left_semi").select("trial", "marker", "label")
     d = markers.join(chosen, ["trial", "marker"]).select("trial", F.col("label").alias("marker"), "frame", *XYZ)
-    d = smooth.downsample(d, ["trial", "marker"], "frame", list(XYZ), fs, target, cutoff)
+    d = with_rate(d, fs).withColumn("fs", F.coalesce("fs", F.lit(float(target))))
+    d = smooth.downsample(d, ["trial", "marker"], "frame", list(XYZ), "fs", target, cutoff)
     return d.select("trial", F.col("i").alias("frame"), "t", "marker", *XYZ), asked.join(first, ["trial", "label"], "left_anti")
 
 
@@ -280,15 +291,23 @@ def enhanced_accuracy(
 
 # ------------------------------------------------------------------ still phases, readiness
 def still_phases(
-    markers: DataFrame, fs: float, threshold: float = 0.5, step: float = 0.001, maximum: float = 100.0, min_duration: float = 0.1,
-    root: str | None = "midHip", rename: bool = False,
+    markers: DataFrame, fs: float | DataFrame, threshold: float = 0.5, step: float = 0.001, maximum: float = 100.0, min_duration: float = 0.1,
+    root: str | None = "midHip", rename: bool = False, marker_set: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Earliest, longest still window per trial, with the relaxation it needed."""
+    """Earliest, longest still window per trial, with the relaxation it needed.
+
+    ``fs`` is a number or a table (trial, rate): windows of each trial have lengths of
+    its own rate. With ``marker_set`` (see :func:`quality.still_markers`) only those
+    markers must be still; the root is removed from them first."""
     d = markers.withColumn("marker", names.study_to_mocap(F.col("marker"))) if rename else markers
-    d = materialise(quality.prepare_still(d, root), "still")
-    r = quality.motion_ranges(d, quality.window_lengths(fs, min_duration))
-    out = quality.relaxed_still(r, d, threshold, step, maximum)
-    return out.withColumn("t0", F.col("start") / fs).withColumn("t1", (F.col("start") + F.col("n") - 1) / fs)
+    d = materialise(with_rate(quality.prepare_still(d, root, markers=marker_set), fs), "still")
+    lengths = quality.window_lengths_of(F.col("fs"), min_duration)
+    out = quality.relaxed_still(quality.motion_ranges(d.where("fs > 0"), lengths), markers, threshold, step, maximum)
+    if isinstance(fs, DataFrame):
+        out = out.join(fs.select("trial", F.col("rate").cast("double").alias("_fs")), "trial", "left")
+    else:
+        out = out.withColumn("_fs", F.lit(float(fs)))
+    return out.withColumn("t0", F.col("start") / F.col("_fs")).withColumn("t1", (F.col("start") + F.col("n") - 1) / F.col("_fs")).drop("_fs")
 
 
 def model_readiness(tasks: DataFrame, pairs: DataFrame, model_markers: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import dims as D
 from kinespark.functions.dims import literal_table
-from kinespark.operators import names
+from kinespark.operators import names, quality
 from kinespark.plans import fixtures as X
 from kinespark.plans import jobs
 from kinespark.plans import q_geometry as Q
 from kinespark.plans import q_models as M
 from kinespark.plans import q_select as S
+from kinespark.plans import q_series as T
 from kinespark.plans.registry import query, r6
 from kinespark.session import scratch_path
 from kinespark.sources import jsonl
@@ -45,10 +46,37 @@ def _(spark, sf):
     return m.select("trial", "frame", "marker", *[(F.round(c, 5) + 0.0).alias(c) for c in "xz"])
 
 
-@query("job_2_metric_upsampled")
+def sql_resampled(rate):
+    """The metric joints at 100 Hz, averaged over seven samples; trials at 100 Hz or more as they are."""
+    grid = ("SELECT trial, marker, i, i/100.0::DOUBLE AS t FROM (SELECT trial, marker, max(t) t1 FROM s WHERE fs < 100 GROUP BY ALL), "
+            "LATERAL (SELECT unnest(range(round_even(t1*100.0::DOUBLE,0)::BIGINT+1)) AS i)")
+    return (f"WITH s AS (SELECT trial, k AS marker, frame, x*s AS x, {rate} AS fs, frame/({rate}) AS t FROM f1 JOIN sc USING (trial)), g AS ({grid}), "
+            f"u AS (SELECT g.trial, g.marker, g.i, {T.sql_lerp()} AS x FROM {T.asof('g', 's')}), a AS ("
+            + T.sql_moving_average("SELECT trial, marker, i, x FROM u", 3, "avg(f.x)") + " UNION ALL SELECT trial, marker, frame, x FROM s WHERE fs >= 100), "
+            "n AS (SELECT k, any_value(joint) joint FROM f1 GROUP BY k), j AS (SELECT trial, i, joint, x FROM a JOIN n ON k = marker WHERE k > 0 AND x IS NOT NULL) "
+            "SELECT trial, i AS frame, joint AS marker, round(x,4)+0.0 x FROM j UNION ALL "
+            "SELECT trial, i, CASE WHEN joint LIKE '%t_hip' THEN 'midHip' ELSE 'neck' END, round(avg(x),4)+0.0 FROM j WHERE joint LIKE '%t_hip' OR joint LIKE '%t_shoulder' GROUP BY ALL")
+
+
+FEET = ["left_heel", "right_heel", "left_big_toe", "right_big_toe", "left_small_toe", "right_small_toe", "left_ankle", "right_ankle"]
+
+
+def trial_rates(spark, sf, rates=T.RATES, of=None):
+    """(trial, rate): a rate per trial."""
+    d = (of if of is not None else X.vectors(spark, sf)).select("trial").distinct()
+    return d.select("trial", F.element_at(F.array(*[F.lit(r) for r in rates]), (F.col("trial") % 3 + 1).cast("int")).alias("rate"))
+
+
+@query("job_2_metric_upsampled", ["f1", "sc"], sql_resampled("60.0::DOUBLE"))
+def _(spark, sf):
+    _, m = jobs.metric_scaling(trial_frames(spark, sf), Q.heights(spark, sf), D.BODY20, ["nose", "neck"], FEET, target_rate=100.0)
+    return m.select("trial", "frame", "marker", (F.round("x", 4) + 0.0).alias("x"))
+
+
+@query("job_2_rate_per_trial", ["f1", "sc"], sql_resampled(T.SQL_RATE))
 def _(spark, sf):
-    _, m = jobs.metric_scaling(trial_frames(spark, sf), Q.heights(spark, sf), D.BODY20, ["neck"], ["left_heel", "right_heel"], target_rate=100.0)
-    return m.groupBy("trial", "marker").agg(F.count("x").alias("n"), F.max("frame").alias("last_frame"), r6(F.avg("x"), "mean_x"))
+    _, m = jobs.metric_scaling(trial_frames(spark, sf), Q.heights(spark, sf), D.BODY20, ["nose", "neck"], FEET, source_rate=trial_rates(spark, sf), target_rate=100.0)
+    return m.select("trial", "frame", "marker", (F.round("x", 4) + 0.0).alias("x"))
 
 
 def placed_points(spark, sf):
@@ -95,11 +123,27 @@ def _(spark, sf):
     return missing.select("trial", "label")
 
 
-@query("job_5_mocap_downsample")
+def sql_mocap(rate, cutoffs):
+    src = " UNION ALL ".join(f"SELECT trial, marker, '{c}' c, frame i, {c} v, {rate} fs FROM f8 WHERE marker IN (1, 2, 3, 4, 5, 7)" for c in "xyz")
+    # of two labels that differ in case the first column stays
+    chosen = "(SELECT * FROM (" + src + ") WHERE marker <> 4 OR trial NOT IN (SELECT trial FROM f8 WHERE marker = 3))"
+    name = "CASE marker WHEN 1 THEN 'RSHO' WHEN 2 THEN 'LSHO' WHEN 3 THEN 'LASI' WHEN 4 THEN 'LASI' WHEN 5 THEN 'RKNE' ELSE 'RANK' END"
+    inner = T.sql_downsampled("SELECT * FROM " + chosen, cutoffs, 100.0)
+    return (f"SELECT trial, i AS frame, round(t,6) t, {name} AS marker, " + ", ".join(f"round(max(y) FILTER (c='{c}'),4)+0.0 {c}" for c in "xyz") + f" FROM ({inner}) GROUP BY ALL")
+
+
+@query("job_5_mocap_downsample", ["f8"], sql_mocap("250.0::DOUBLE", {250.0: 6.0}))
 def _(spark, sf):
     d = labelled(spark, sf)
     m, _ = jobs.downsample_mocap(d, d.select("trial", "pos", "marker").distinct(), D.MOCAP_KEEP, 250.0, 100.0)
-    return m.select("trial", "frame", r6("t"), "marker", r6("x"), r6("y"), r6("z"))
+    return m.select("trial", "frame", r6("t"), "marker", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
+@query("job_5_rate_per_trial", ["f8"], sql_mocap(T.SQL_RATE, {r: 6.0 for r in T.RATES}))
+def _(spark, sf):
+    d = labelled(spark, sf)
+    m, _ = jobs.downsample_mocap(d, d.select("trial", "pos", "marker").distinct(), D.MOCAP_KEEP, trial_rates(spark, sf, of=d), 100.0)
+    return m.select("trial", "frame", r6("t"), "marker", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 
 def exact_pair(spark, sf):
@@ -151,17 +195,41 @@ def _(spark, sf):
     return t.select("trial", r6("s"), r6("mpjpe"), r6("rmse"))
 
 
-@query("job_9_still_phases", ["f12"],
-       "WITH w AS (SELECT trial, count(DISTINCT marker) m, min(c) c FROM (SELECT trial, marker, count(*) c FROM f12 GROUP BY ALL) GROUP BY trial) SELECT trial, CASE WHEN status THEN 'ok' END status FROM (SELECT trial, true status FROM w)")
+def still(spark, sf):
+    return X.markers_still(spark, sf).withColumn("marker", F.col("marker").cast("string"))
+
+
+def sql_still(fs, threshold, step, maximum, only="TRUE"):
+    """``fs``: rates by trial % 3."""
+    rates = sorted(set(fs))
+    pick = f"[{', '.join(f'{r}::DOUBLE' for r in fs)}][trial % {len(fs)} + 1]"
+    return (f"WITH v AS (SELECT *, {pick} fs FROM f12), " + M.sql_relaxed({r: quality.window_lengths(r, 0.1) for r in rates}, threshold, step, maximum, "v", only)
+            + " SELECT t.trial, start, n, steps, CASE WHEN n IS NULL THEN 'not found' ELSE 'ok' END status, round(start/fs,6) t0, round((start+n-1)/fs,6) t1 "
+              "FROM (SELECT DISTINCT trial FROM f12) t LEFT JOIN bs USING (trial)")
+
+
+#: Every trial of the view has values above 10, so its coordinates count as millimetres.
+_METRES = ("q AS (SELECT *", "q AS (SELECT trial, marker, frame, fs, x/1000 x, y/1000 y, z/1000 z")
+
+
+def windows(d):
+    return d.select("trial", "start", "n", "steps", "status", r6("t0"), r6("t1"))
+
+
+@query("job_9_still_phases", ["f12"], sql_still([30.0], 0.5, 0.001, 100.0, "marker IN (3, 4, 5)").replace(*_METRES, 1))
 def _(spark, sf):
-    d = jobs.still_phases(X.markers_still(spark, sf).withColumn("marker", F.col("marker").cast("string")), 30.0, root=None)
-    return d.select("trial", "status")
+    return windows(jobs.still_phases(still(spark, sf), 30.0, root=None, marker_set=["3", "4", "5"]))
 
 
-@query("job_9_still_phase_windows")
+@query("job_9_still_phase_windows", ["f12"], sql_still([30.0], 0.02, 0.003, 0.3).replace(*_METRES, 1))
 def _(spark, sf):
-    d = jobs.still_phases(X.markers_still(spark, sf).withColumn("marker", F.col("marker").cast("string")), 30.0, 0.02, 0.003, 0.3, 0.1, root=None)
-    return d.select("trial", "start", "n", "steps", "status", r6("t0"), r6("t1"))
+    return windows(jobs.still_phases(still(spark, sf), 30.0, 0.02, 0.003, 0.3, 0.1, root=None))
+
+
+@query("job_9_rate_per_trial", ["f12"], sql_still([20.0, 30.0, 40.0], 0.005, 0.001, 0.3).replace(*_METRES, 1))
+def _(spark, sf):
+    d = still(spark, sf)
+    return windows(jobs.still_phases(d, trial_rates(spark, sf, (20.0, 30.0, 40.0), d), 0.005, 0.001, 0.3, 0.1, root=None))
 
 
 @query("job_10_model_readiness", None,

@@ -176,10 +176,34 @@ def _ranges_view(src):
 X.VIEWS["rng"] = (["st0"], _ranges_view("st0"))
 
 
+def sql_relaxed(sizes, threshold, step, maximum, src="f12", only="TRUE"):
+    """(trial, fs, start, n, steps): ``sizes`` maps a rate to its window lengths, ``src`` has a column fs."""
+    parts = []
+    for fs, lengths in sizes.items():
+        for n in lengths:
+            w = f"(PARTITION BY trial, marker ORDER BY frame ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+            span = ", ".join(f"max({c}) OVER {w} - min({c}) OVER {w}" for c in "xyz")
+            parts.append(f"SELECT trial, fs, nm, frame AS start, {n} AS n, greatest({span}) r, count(*) OVER {w} c FROM q WHERE fs = {fs}")
+    return (f"q AS (SELECT *, (SELECT count(DISTINCT b.marker) FROM {src} b WHERE b.trial = a.trial AND {only}) nm FROM {src} a WHERE {only}), "
+            f"rg AS (SELECT trial, fs, start, n, max(r) needed FROM ({' UNION ALL '.join(parts)}) WHERE c = n GROUP BY trial, fs, start, n, nm HAVING count(*) = nm), "
+            f"st AS (SELECT *, CASE WHEN needed < {threshold} THEN 0 ELSE floor((needed-{threshold})/{step}+1e-9)::BIGINT+1 END steps FROM rg), "
+            f"bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY steps, n DESC, start) r FROM st WHERE {threshold}+steps*{step} <= {maximum}) WHERE r=1)")
+
+
 def ranges(spark, sf):
     return quality.motion_ranges(X.markers_still(spark, sf), _L)
 
 
+@query("win_17_rate_per_trial", ["f12"],
+       "WITH v AS (SELECT *, [20.0::DOUBLE, 30.0::DOUBLE, 40.0::DOUBLE][trial % 3 + 1] fs FROM f12), "
+       + sql_relaxed({r: quality.window_lengths(r, 0.1) for r in (20.0, 30.0, 40.0)}, 0.02, 0.003, 0.06, "v")
+       + " SELECT t.trial, start, n, steps, CASE WHEN n IS NULL THEN 'not found' ELSE 'ok' END status FROM (SELECT DISTINCT trial FROM f12) t LEFT JOIN bs USING (trial)")
+def _(spark, sf):
+    d = X.markers_still(spark, sf).withColumn("fs", F.element_at(F.array(F.lit(20.0), F.lit(30.0), F.lit(40.0)), (F.col("trial") % 3 + 1).cast("int")))
+    r = quality.motion_ranges(d, quality.window_lengths_of(F.col("fs"), 0.1))
+    return quality.relaxed_still(r, d, 0.02, 0.003, 0.06).select("trial", "start", "n", "steps", "status")
+
+
 @query("win_16_still_ranges", ["rng"], "SELECT trial, start, n, round(needed,6) needed FROM rng")
 def _(spark, sf):
     return ranges(spark, sf).select("trial", "start", "n", r6("needed"))
@@ -201,8 +225,10 @@ def _(spark, sf):
 
 
 @query("win_18_prepare_still", ["f8"],
-       "WITH m AS (SELECT b.trial, b.marker, b.frame, b.x-coalesce(a.x,0) x, b.y-coalesce(a.y,0) y, b.z-coalesce(a.z,0) z FROM f8 b LEFT JOIN f8 a ON a.trial=b.trial AND a.frame=b.frame AND a.marker=1), "
-       "g AS (SELECT trial, max(greatest(x,y,z)) mx FROM m GROUP BY trial) SELECT trial, marker, frame, round(CASE WHEN mx>10 THEN y/1000 ELSE y END,9) y FROM m JOIN g USING (trial)")
+       "WITH r AS (SELECT trial, frame, any_value(x) x, any_value(y) y, any_value(z) z FROM f8 WHERE marker=1 GROUP BY ALL), h AS (SELECT DISTINCT trial FROM r), "
+       "m AS (SELECT b.trial, b.marker, b.frame, CASE WHEN h.trial IS NULL THEN b.x ELSE b.x-r.x END x, CASE WHEN h.trial IS NULL THEN b.y ELSE b.y-r.y END y, "
+       "CASE WHEN h.trial IS NULL THEN b.z ELSE b.z-r.z END z FROM f8 b LEFT JOIN h USING (trial) LEFT JOIN r ON r.trial=b.trial AND r.frame=b.frame), "
+       "g AS (SELECT trial, max(greatest(x,y,z)) mx FROM m GROUP BY trial) SELECT trial, marker, frame, round(CASE WHEN mx>10 THEN y/1000 ELSE y END,9)+0.0 y FROM m JOIN g USING (trial)")
 def _(spark, sf):
     d = X.markers_big(spark, sf).withColumn("marker", F.col("marker").cast("string"))
     return quality.prepare_still(d, "1").select("trial", F.col("marker").cast("int").alias("marker"), "frame", (F.round("y", 9) + 0.0).alias("y"))

@@ -1,5 +1,6 @@
 """Queries: grids, interpolation, nearest joins, filters and time alignment."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
@@ -135,14 +136,14 @@ def gappy(spark, sf):
     return regular(spark, sf).select(*K2, "i", F.when(F.col("i") % 11 != 5, F.col("x")).alias("x"))
 
 
-def sql_moving_average(src, half):
+def sql_moving_average(src, half, value="round(avg(f.x),6)"):
     """Filled, mirrored and averaged; gaps restored."""
     return f"""WITH ms AS ({src}), w AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b pi, last_value(x IGNORE NULLS) OVER b px,
  first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER f ni, first_value(x IGNORE NULLS) OVER f nx FROM ms
  WINDOW b AS (PARTITION BY trial, marker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY trial, marker ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
  f AS (SELECT trial, marker, i, x AS raw, coalesce(x, px+(nx-px)*((i-pi)/(ni-pi)), px, nx) x, max(i) OVER (PARTITION BY trial, marker) m FROM w),
  q AS (SELECT f.trial, f.marker, f.i, f.raw, d, CASE WHEN m = 0 THEN 0 ELSE abs((((f.i+d) % (2*m)) + 3*m) % (2*m) - m) END j FROM f, range(-{half}, {half}+1) o(d))
- SELECT q.trial, q.marker, q.i, CASE WHEN q.raw IS NOT NULL THEN round(avg(f.x),6) END x FROM q JOIN f ON f.trial=q.trial AND f.marker=q.marker AND f.i=q.j GROUP BY q.trial, q.marker, q.i, q.raw"""
+ SELECT q.trial, q.marker, q.i, CASE WHEN q.raw IS NOT NULL THEN {value} END x FROM q JOIN f ON f.trial=q.trial AND f.marker=q.marker AND f.i=q.j GROUP BY q.trial, q.marker, q.i, q.raw"""
 
 
 @query("win_6_moving_average", ["f7"],
@@ -170,49 +171,145 @@ def _(spark, sf):
     return smooth.upsample(d, K2, "frame", ["x"], 60.0, 100.0, 6.0).select(*K2, "i", r6("x"))
 
 
-_A = kernels.smoothing_alpha(60.0, 6.0)
-_FOLD = ("SELECT trial, marker, i, round(y,6) x FROM (SELECT trial, marker, unnest(range(len(xs))) i, unnest(ys) y FROM (SELECT *, "
-         "list_transform(range(1, len(xs)+1), lambda n: list_reduce(xs[1:n], lambda a, b: a + {a}::DOUBLE*(b-a))) ys FROM "
-         "(SELECT trial, marker, list(x ORDER BY frame) xs FROM f8 WHERE trial IS NOT NULL GROUP BY ALL)))")
+def sql_upsampled(rate, target):
+    """Linear at ``target``, averaged over three samples; trials at or above the target keep their frames."""
+    n = f"SELECT trial, marker, i, i/{target}::DOUBLE AS t FROM (SELECT trial, marker, max(t) t1 FROM s WHERE fs < {target} GROUP BY ALL), LATERAL (SELECT unnest(range(round_even(t1*{target}::DOUBLE,0)::BIGINT+1)) AS i)"
+    return (f"WITH s AS (SELECT trial, k AS marker, frame, x, {rate} AS fs, frame/({rate}) AS t FROM f1), g AS ({n}), u AS (SELECT g.trial, g.marker, g.i, {sql_lerp()} AS x FROM {asof('g', 's')}), "
+            + sql_moving_average("SELECT trial, marker, i, x FROM u", 3)[5:] + f" UNION ALL SELECT trial, marker, frame, round(x,6) FROM s WHERE fs >= {target}")
 
 
-@query("win_9_first_order_lowpass", ["f8"], _FOLD.format(a=repr(_A)))
+@query("win_8_rate_per_trial", ["f1"], sql_upsampled("[60.0::DOUBLE, 100.0::DOUBLE, 250.0::DOUBLE][trial % 3 + 1]", 100.0))
+def _(spark, sf):
+    d = rated(X.pose_long(spark, sf).select("trial", F.col("k").alias("marker"), "frame", "x"))
+    return smooth.upsample(d, K2, "frame", ["x"], "fs", 100.0, 6.0).select(*K2, "i", r6("x"))
+
+
+_A = kernels.smoothing_alpha(60.0, 6.0)
+_FOLD = ("SELECT trial, marker, i, round(y,6) x FROM (SELECT trial, marker, unnest(range(len(xs))) i, unnest(ys) y FROM (SELECT *, "
+         "list_transform(range(1, len(xs)+1), lambda n: list_reduce(xs[1:n], lambda a, b: a + {a}*(b-a))) ys FROM "
+         "(SELECT trial, marker, {rate} AS fs, list(x ORDER BY frame) xs FROM f8 WHERE trial IS NOT NULL GROUP BY ALL)))")
+#: Rates of the trials by trial % 3.
+RATES = (60.0, 100.0, 250.0)
+SQL_RATE = f"[{', '.join(f'{r}::DOUBLE' for r in RATES)}][trial % 3 + 1]"
+
+
+def rated(d):
+    """``fs``: a rate per trial."""
+    return d.withColumn("fs", F.element_at(F.array(*[F.lit(r) for r in RATES]), (F.col("trial") % 3 + 1).cast("int")))
+
+
+def coefficients(fs, cutoff, order=4):
+    """b, a and the settled state of the difference equation, and the first-order coefficient."""
+    poles, gain = kernels.butterworth_poles(order, min(0.9999, cutoff / (fs * 0.5)))
+    a, b = np.real(np.poly(poles)), gain * np.poly(-np.ones(order))
+    step = np.zeros(order)
+    z = np.zeros(order)
+    settled = b.sum() / a.sum()  # output for a constant input of one
+    for i in range(order - 1, -1, -1):
+        z[i] = b[i + 1] - a[i + 1] * settled + (z[i + 1] if i + 1 < order else 0.0)
+    return [fs, *b, *a[1:], *z, kernels.smoothing_alpha(fs, cutoff)]
+
+
+def sql_zero_phase(src, cutoffs, pad=15):
+    """(trial, marker, c, i, y): the difference equation run sample by sample, forward and backward,
+    over ``src`` (trial, marker, c, i, v, fs) with odd extension; first order for series of up to ``pad`` rows."""
+    names = ["fs", *[f"b{i}" for i in range(5)], *[f"a{i}" for i in range(1, 5)], *[f"z{i}" for i in range(4)], "al"]
+    co = ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" for v in coefficients(fs, fc)) + ")" for fs, fc in cutoffs.items())
+    step = lambda x, y: f"{x} AS x, b1*{x} - a1*{y} + {{1}} AS w0, b2*{x} - a2*{y} + {{2}} AS w1, b3*{x} - a3*{y} + {{3}} AS w2, b4*{x} - a4*{y} AS w3"
+    first, later = step("xs[1]", "(b0*xs[1] + z0*xs[1])"), step("xs[j+2]", "(b0*xs[j+2] + w0)")
+
+    def run(lists, name):
+        start = first.format(0, *(f"z{i}*xs[1]" for i in range(1, 4)))
+        go = later.format(0, *(f"w{i}" for i in range(1, 4)))
+        return (f"{name} AS (SELECT k, 0 AS j, b0*xs[1] + z0*xs[1] AS y, {start} FROM {lists} UNION ALL "
+                f"SELECT r.k, j+1, b0*xs[j+2] + w0, {go} FROM {name} r JOIN {lists} l ON l.k=r.k WHERE j+1 < len(xs))")
+
+    return f"""WITH RECURSIVE co({', '.join(names)}) AS (VALUES {co}),
+ l0 AS (SELECT trial, marker, c, any_value(fs) fs, list(v ORDER BY i) v, row_number() OVER () k FROM ({src}) GROUP BY trial, marker, c),
+ l1 AS (SELECT k, v, len(v) n, co.*, list_concat(list_transform(range({pad}, 0, -1), lambda q: 2*v[1] - v[q+1]), v, list_transform(range(1, {pad}+1), lambda q: 2*v[len(v)] - v[len(v)-q])) xs
+        FROM l0 JOIN co USING (fs) WHERE len(v) > {pad}),
+ {run('l1', 'f')},
+ l2 AS (SELECT k, any_value(n) n, any_value(COLUMNS('^([abz][0-9])$')), list(y ORDER BY j DESC) xs FROM f JOIN (SELECT * EXCLUDE (xs, v) FROM l1) USING (k) GROUP BY k),
+ {run('l2', 'g')},
+ o AS (SELECT k, n + {pad} - 1 - j AS i, y FROM g JOIN (SELECT k, n FROM l2) USING (k) WHERE n + {pad} - 1 - j BETWEEN 0 AND n - 1
+       UNION ALL SELECT k, unnest(range(len(v))), unnest(list_transform(range(1, len(v)+1), lambda q: list_reduce(v[1:q], lambda a, b: a + al*(b-a)))) FROM l0 JOIN co USING (fs) WHERE len(v) <= {pad})
+ SELECT trial, marker, c, i, y FROM o JOIN (SELECT k, trial, marker, c FROM l0) USING (k)"""
+
+
+def sql_channels(src, rate, value="{c}"):
+    return " UNION ALL ".join(f"SELECT trial, marker, '{c}' c, frame i, {value.format(c=c)} v, {rate} fs FROM {src}" for c in "xyz")
+
+
+def sql_wide(inner, extra="", digits=6):
+    return (f"SELECT trial, marker, i{extra}, " + ", ".join(f"round(max(y) FILTER (c='{c}'),{digits})+0.0 {c}" for c in "xyz") + f" FROM ({inner}) GROUP BY ALL")
+
+
+def sql_downsampled(src, cutoffs, target):
+    """The filtered series on the floored grid; a rate at the target or below keeps the frames."""
+    grid = (f"SELECT trial, marker, c, i, i/{target}::DOUBLE AS t, fs FROM (SELECT trial, marker, c, fs, max(t) t1 FROM z GROUP BY ALL HAVING fs > {target}), "
+            f"LATERAL (SELECT unnest(range(floor(t1*{target}::DOUBLE)::BIGINT+1)) i)")
+    return (f"WITH r AS (SELECT DISTINCT trial, marker, c, fs FROM ({src})), z AS (SELECT trial, marker, c, i, i/fs AS t, y x, fs FROM ({sql_zero_phase(src, cutoffs)}) JOIN r USING (trial, marker, c)), "
+            f"g AS ({grid}) SELECT g.trial, g.marker, g.c, g.i, g.t, {sql_lerp('clamp')} y FROM {asof('g', 'z', ('trial', 'marker', 'c'))} "
+            f"UNION ALL SELECT trial, marker, c, i, t, x FROM z WHERE fs <= {target}")
+
+
+@query("win_9_first_order_lowpass", ["f8"], _FOLD.format(a=f"{_A!r}::DOUBLE", rate="1"))
 def _(spark, sf):
     d = X.markers_big(spark, sf).select("trial", "marker", "frame", "x")
     return smooth.first_order_lowpass(d, K2, "frame", ["x"], 60.0, 6.0).select(*K2, F.col("frame").alias("i"), r6("x"))
 
 
-@query("win_10_butterworth")
+@query("win_9_rate_per_trial", ["f8"],
+       _FOLD.format(a="CASE fs " + " ".join(f"WHEN {r} THEN {kernels.smoothing_alpha(r, 6.0)!r}::DOUBLE" for r in RATES) + " END", rate=SQL_RATE))
+def _(spark, sf):
+    d = rated(X.markers_big(spark, sf)).select("trial", "marker", "frame", "x", "fs")
+    return smooth.first_order_lowpass(d, K2, "frame", ["x"], "fs", 6.0).select(*K2, F.col("frame").alias("i"), r6("x"))
+
+
+@query("win_10_butterworth", ["f8"], sql_wide(sql_zero_phase(sql_channels("f8", "60.0::DOUBLE"), {60.0: 6.0})).replace("i, round", "i AS frame, round", 1))
 def _(spark, sf):
     d = X.markers_big(spark, sf)
     return smooth.butterworth(d, K2, "frame", ["x", "y", "z"], 60.0, 6.0).select(*K2, "frame", r6("x"), r6("y"), r6("z"))
 
 
+@query("win_10_rate_per_trial", ["f8"], sql_wide(sql_zero_phase(sql_channels("f8", SQL_RATE), {r: 6.0 for r in RATES}), digits=4))
+def _(spark, sf):
+    d = smooth.butterworth(rated(X.markers_big(spark, sf)), K2, "frame", ["x", "y", "z"], "fs", 6.0)
+    return d.select(*K2, F.col("frame").alias("i"), *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
 @query("udf_2_sequential_filter", ["f8"],
-       "SELECT trial, marker, count(*) n, 3.5::DOUBLE lo, 3.5::DOUBLE hi FROM f8 GROUP BY ALL")
+       f"SELECT trial, marker, count(y) n, round(min(y),6) lo, round(max(y),6) hi, round(avg(y),6) mean FROM ({sql_zero_phase(sql_channels('f8', '100.0::DOUBLE'), {100.0: 6.0})}) WHERE c='x' GROUP BY ALL")
 def _(spark, sf):
-    # a constant series must come out unchanged
-    d = X.markers_big(spark, sf).withColumn("x", F.lit(3.5))
-    d = smooth.butterworth(d, K2, "frame", ["x"], 100.0, 6.0)
-    return d.groupBy(*K2).agg(F.count(F.lit(1)).alias("n"), r6(F.min("x"), "lo"), r6(F.max("x"), "hi"))
+    d = smooth.butterworth(X.markers_big(spark, sf).select(*K2, "frame", "x"), K2, "frame", ["x"], 100.0, 6.0)
+    return d.groupBy(*K2).agg(F.count("x").alias("n"), r6(F.min("x"), "lo"), r6(F.max("x"), "hi"), r6(F.avg("x"), "mean"))
+
 
+# gaps in every ninth frame are filled before the filter
+X.VIEWS["f8g"] = (["f8"], "SELECT trial, marker, frame, x, CASE WHEN frame % 9 <> 4 OR m < 5 THEN x END AS gap FROM (SELECT *, max(frame) OVER (PARTITION BY trial, marker) m FROM f8)")
+X.VIEWS["f8f"] = (["f8g"], "SELECT trial, marker, frame, coalesce(gap, CASE WHEN n IS NULL THEN p ELSE (p+n)/2 END) AS x FROM (SELECT *, lag(x) OVER w p, lead(x) OVER w n FROM f8g WINDOW w AS (PARTITION BY trial, marker ORDER BY frame))")
 
-@query("win_11_downsample", ["f8"],
-       "SELECT trial, marker, i, round(i/25.0,6) t, 7.25::DOUBLE x FROM (SELECT trial, marker, count(*) n FROM f8 GROUP BY ALL), "
-       "LATERAL (SELECT unnest(range(floor((n-1)/100.0*25)::BIGINT+1)) i)")
+
+@query("win_11_downsample", ["f8f"],
+       "SELECT trial, marker, i, round(t,6) t, round(y,6) x FROM (" + sql_downsampled("SELECT trial, marker, 'x' c, frame i, x v, 100.0::DOUBLE fs FROM f8f", {100.0: 6.0}, 25.0) + ")")
 def _(spark, sf):
-    # a constant passes the zero-phase filter unchanged; the grid is the floored one
-    d = X.markers_big(spark, sf).withColumn("x", F.when(F.col("frame") % 9 != 4, 7.25))
-    d = smooth.downsample(d, K2, "frame", ["x"], 100.0, 25.0, 6.0)
-    return d.select(*K2, "i", r6("t"), r6("x"))
+    d = series.per_key(X.markers_big(spark, sf), K2, F.max("frame").alias("m"))
+    d = d.select(*K2, "frame", F.when((F.col("frame") % 9 != 4) | (F.col("m") < 5), F.col("x")).alias("x"))
+    return smooth.downsample(d, K2, "frame", ["x"], 100.0, 25.0, 6.0).select(*K2, "i", r6("t"), r6("x"))
 
 
-@query("win_11_downsample_values")
+@query("win_11_downsample_values", ["f8"], sql_wide(sql_downsampled(sql_channels("f8", "100.0::DOUBLE"), {100.0: 6.0}, 25.0)))
 def _(spark, sf):
     d = smooth.downsample(X.markers_big(spark, sf), K2, "frame", ["x", "y", "z"], 100.0, 25.0, 6.0)
     return d.select(*K2, "i", r6("x"), r6("y"), r6("z"))
 
 
+@query("win_11_rate_per_trial", ["f8"], sql_wide(sql_downsampled(sql_channels("f8", SQL_RATE), {r: 6.0 for r in RATES}, 100.0), ", round(t,6) t", 4))
+def _(spark, sf):
+    d = smooth.downsample(rated(X.markers_big(spark, sf)), K2, "frame", ["x", "y", "z"], "fs", 100.0, 6.0)
+    return d.select(*K2, "i", r6("t"), *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
 @query("win_12_ema", ["f3"],
        "WITH l AS (SELECT trial, k AS marker, list(rx ORDER BY frame) xs, list(frame ORDER BY frame) fs FROM f3 WHERE rx IS NOT NULL AND frame % 4 <> 1 GROUP BY ALL) "
        "SELECT trial, marker, f AS frame, round(y,6) x FROM (SELECT trial, marker, unnest(fs) f, unnest(list_transform(range(1, len(xs)+1), "

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
-from kinespark.operators import resample, series, smooth, stats
+from kinespark.operators import quality, recursive, resample, series, smooth, stats
 
 
 def wave(spark, n=500, keys=2):
@@ -99,3 +99,63 @@ def test_moving_average_keeps_constants_and_short_series(spark):
     out = smooth.moving_average(d, ["k"], "i", ["x"], 7)
     assert out.where("k = 1 and abs(x - 2.5) > 1e-12").count() == 0
     assert [r.x for r in out.where("k = 2").collect()] == [7.0]
+
+
+def sample_by_sample(x, spec):
+    """The filter's recursions one sample at a time in wide numbers, forward and backward."""
+    poles, weights = spec.poles.astype(np.clongdouble), spec.weights.astype(np.clongdouble)
+
+    def one_way(x):
+        w, y = x[0] / (1 - poles), np.empty_like(x)
+        for n, v in enumerate(x):
+            w = poles * w + v
+            y[n] = spec.direct * v + np.real(weights * w).sum()
+        return y
+
+    pad = 15
+    e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]]).astype(np.longdouble)
+    return one_way(one_way(e)[::-1])[::-1][pad:-pad]
+
+
+def test_low_cutoff_runs_over_many_blocks(spark, monkeypatch):
+    """The response at 0.05 Hz and 1 kHz is far longer than a block; states are carried through groups of blocks."""
+    monkeypatch.setattr(recursive, "GROUP", 4)
+    d = wave(spark, 3000, 2).withColumn("x", F.sin(F.col("i") / 90.0) + F.cos(F.col("i") * 1.7) + F.col("k"))
+    out = smooth.butterworth(d, ["k"], "i", ["x"], 1000.0, 0.05, width=128).orderBy("k", "i").toPandas()
+    src = d.orderBy("k", "i").toPandas()
+    for k in (0, 1):
+        want = sample_by_sample(src[src.k == k].x.to_numpy(), kernels.lowpass(1000.0, 0.05))
+        assert np.abs(out[out.k == k].x.to_numpy() - want).max() < 1e-9
+
+
+def test_each_key_has_its_own_rate(spark):
+    rates = {0: 60.0, 1: 100.0, 2: 250.0}
+    d = wave(spark, 400, 3).withColumn("x", F.sin(F.col("i") / 9.0) + F.cos(F.col("i") * 1.7))
+    rated = d.withColumn("fs", F.element_at(F.array(*[F.lit(r) for r in rates.values()]), (F.col("k") + 1).cast("int")))
+    for run in (smooth.butterworth, smooth.first_order_lowpass):
+        got = run(rated, ["k"], "i", ["x"], "fs", 6.0, width=64).select("k", "i", "x").toPandas().set_index(["k", "i"]).x
+        for k, fs in rates.items():
+            want = run(d.where(F.col("k") == k), ["k"], "i", ["x"], fs, 6.0).toPandas().set_index(["k", "i"]).x
+            assert np.abs(got[k] - want[k]).max() < 1e-10
+    # unfiltered where the cutoff is missing
+    same = smooth.butterworth(rated.withColumn("fc", F.when(F.col("k") > 0, 6.0)), ["k"], "i", ["x"], "fs", "fc").where("k = 0").select("i", "x")
+    assert same.exceptAll(d.where("k = 0").select("i", "x")).count() == 0
+
+
+def test_still_windows_equal_brute_force(spark):
+    g = np.random.default_rng(4)
+    rows, want = [], set()
+    for trial, (n, lengths) in enumerate([(700, [33, 16, 5]), (90, [7]), (40, [64])]):
+        data = np.cumsum(g.normal(size=(n, 3, 3)), axis=0)
+        data[min(50, n - 1), 1, 2] = np.nan
+        rows += [(trial, int(f), f"m{m}", *[None if np.isnan(v) else float(v) for v in data[f, m]], lengths) for f in range(n) for m in range(3) if (trial, f, m) != (0, 300, 2)]
+        if trial == 0:
+            data[300, 2] = np.nan
+        for k in lengths:
+            for s in range(n - k + 1):
+                r = (data[s:s + k].max(axis=0) - data[s:s + k].min(axis=0)).max()
+                if not np.isnan(r):
+                    want.add((trial, s, k, round(float(r), 9)))
+    d = spark.createDataFrame(rows, "trial int, frame long, marker string, x double, y double, z double, n array<int>")
+    got = {(r.trial, r.start, r.n, round(r.needed, 9)) for r in quality.motion_ranges(d, F.col("n"), width=64).collect()}
+    assert got == want
