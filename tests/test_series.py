@@ -159,3 +159,18 @@ def test_still_windows_equal_brute_force(spark):
     d = spark.createDataFrame(rows, "trial int, frame long, marker string, x double, y double, z double, n array<int>")
     got = {(r.trial, r.start, r.n, round(r.needed, 9)) for r in quality.motion_ranges(d, F.col("n"), width=64).collect()}
     assert got == want
+
+
+def test_percentiles_narrow_in_rounds(spark, monkeypatch):
+    """A key of a million values with heavy ties and a small one, over several rounds, equal to sorted lists."""
+    monkeypatch.setattr(stats, "LIMIT", 200)
+    d = spark.range(1_000_300).select(
+        F.when(F.col("id") < 1_000_000, 0).otherwise(F.lit(None).cast("int")).alias("k"),
+        F.when(F.col("id") % 3 == 0, 7.5).otherwise((F.col("id") * F.col("id")) % 999_983 / 1000.0 - 20).alias("v"))
+    wanted = {"p0": 0.0, "p5": 0.05, "third": 1 / 3, "med": 0.5, "p95": 0.95, "p1": 1.0}
+    got = {r["k"]: r for r in stats.exact_percentiles(d, ["k"], "v", wanted).collect()}
+    for k, rows in d.toPandas().groupby("k", dropna=False):
+        x = rows["v"].to_numpy()
+        r = got[None if k != k else k]
+        assert r["n"] == len(x) and all(abs(r[c] - np.quantile(x, p)) < 1e-9 for c, p in wanted.items())
+    assert stats.exact_percentiles(d.where("false"), ["k"], "v", wanted).collect() == []
