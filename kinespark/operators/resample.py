@@ -79,11 +79,13 @@ def bracket(
     t: str = "t",
     block_s: float = series.SECONDS_PER_BLOCK,
     whole_row: bool = False,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Targets with the last sample at or before and the first one after them:
     ``prev_<v>`` and ``next_<v>`` structs of (t, v), per channel, so that a
     channel's own gaps are skipped. ``whole_row`` brackets by row instead and
-    yields ``prev`` and ``next`` structs of (t, values)."""
+    yields ``prev`` and ``next`` structs of (t, values). ``totals`` counts expressions
+    over the samples (struct ``_s``) of a key."""
     keys = list(keys)
     extra = [c for c in targets.columns if c not in (*keys, t)]
     s = samples.select(
@@ -102,9 +104,9 @@ def bracket(
             one = F.when(F.col(f"_s.{v}").isNotNull(), F.struct(F.col("_s.t").alias("t"), F.col(f"_s.{v}").alias("v")))
             want[f"prev_{v}"], want[f"next_{v}"] = (one, True), (one, False)
     d = series.carry_many(
-        s.unionByName(g), keys, [F.col(t), F.col("_is")], series.block_of(t, block_s), want
+        s.unionByName(g), keys, [F.col(t), F.col("_is")], series.block_of(t, block_s), want, totals=totals
     ).where("_is = 1")
-    return d.select(*keys, t, *[F.col("_x")[c].alias(c) for c in extra], *want)
+    return d.select(*keys, t, *[F.col("_x")[c].alias(c) for c in extra], *want, *(totals or {}))
 
 
 def lerp(t: Column, prev: Column, nxt: Column, outside: str = "null") -> Column:
@@ -127,10 +129,8 @@ def interpolate(
     """Values of each channel at the target times. Outside a channel's range the
     result is NULL, or the end value with ``outside='clamp'``. Channels with
     fewer than ``min_samples`` known values stay NULL."""
-    d = bracket(samples, targets, keys, values, t, block_s)
-    if min_samples > 1:
-        n = samples.groupBy(*keys).agg(*[F.count(v).alias(f"_n_{v}") for v in values])
-        d = d.join(n, list(keys), "left")
+    counts = {f"_n_{v}": F.col(f"_s.{v}") for v in values} if min_samples > 1 else None
+    d = bracket(samples, targets, keys, values, t, block_s, totals=counts)
     out = []
     for v in values:
         c = lerp(F.col(t), F.col(f"prev_{v}"), F.col(f"next_{v}"), outside)
@@ -138,6 +138,40 @@ def interpolate(
     return d.select(*targets.columns, *out)
 
 
+def whole_frames(samples: DataFrame, items: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], t: str = "t") -> DataFrame:
+    """(keys, t, kp): one row per time with an array of value structs in the order of the
+    key's ``items`` (keys, items); NULL for an item that the frame lacks or has in part."""
+    keys = list(keys)
+    f = samples.groupBy(*keys, t).agg(F.collect_list(F.struct(item, *values)).alias("_kp")).join(items, keys)
+
+    def cell(j: Column) -> Column:
+        one = F.get(F.filter("_kp", lambda s: s[item] == j), F.lit(0))
+        whole = F.lit(True)
+        for v in values:
+            whole = whole & one[v].isNotNull()
+        return F.when(whole, F.struct(*[one[v].alias(v) for v in values]))
+
+    return f.select(*keys, t, F.transform("items", cell).alias("kp"))
+
+
+def interpolate_frames(
+    samples: DataFrame, targets: DataFrame, items: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], t: str = "t",
+    block_s: float = series.SECONDS_PER_BLOCK,
+) -> DataFrame:
+    """(targets, kp): interpolated value structs of all ``items`` at once. Frames are
+    bracketed, not items; an item that isn't known in both frames around a time is
+    NULL and needs :func:`interpolate` on its own series."""
+    frames = whole_frames(samples, items, keys, item, values, t)
+    b = bracket(frames, targets, keys, ["kp"], t, block_s, whole_row=True)
+    u, p, n = F.col(t), F.col("prev"), F.col("next")
+    share = (u - p["t"]) / (n["t"] - p["t"])
+
+    def between(x: Column, y: Column) -> Column:
+        return F.when(x.isNotNull() & y.isNotNull(), F.struct(*[F.when(p["t"] == u, x[v]).otherwise(x[v] + (y[v] - x[v]) * share).alias(v) for v in values]))
+
+    return b.select(*targets.columns, F.zip_with("prev.kp", "next.kp", between).alias("kp"))
+
+
 def nearest(
     samples: DataFrame,
     requests: DataFrame,

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinespark.session import materialise
+
 FRAMES_PER_BLOCK = 16384
 SECONDS_PER_BLOCK = 600.0
 
@@ -71,6 +73,10 @@ def carry(
     return carry_many(df, keys, order, block, {name: (value, forward)}, inclusive)
 
 
+#: Blocks whose summaries are scanned together.
+BLOCKS_PER_GROUP = 256
+
+
 def carry_many(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,56 +84,54 @@ def carry_many(
     block: Column,
     values: dict[str, tuple[Column, bool]],
     inclusive: bool = True,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Several :func:`carry` columns in one pass: one shuffle of the data, one
-    sort per direction, one summary row per block."""
-    keys = list(keys)
-    up = [c.asc() for c in order]
-    down = [c.desc() for c in order]
+    """Several :func:`carry` columns at once: one shuffle of the rows, one sort per
+    direction, one summary row per block. Summaries are scanned in groups of
+    blocks, then across the groups, so a key of many sparse blocks has no long
+    scan either. ``totals`` adds the number of non-null values of a key."""
+    keys, totals = list(keys), totals or {}
     d = df.withColumn("_blk", block)
-    for n, (v, _) in values.items():
+    for n, v in [(n, v) for n, (v, _) in values.items()] + list(totals.items()):
         d = d.withColumn(f"_v_{n}", v)
     end = 0 if inclusive else -1
     pos = F.struct(*order)
-
+    known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), pos)
     tails = d.groupBy(*keys, "_blk").agg(
-        *[
-            (F.max_by if fwd else F.min_by)(
-                F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), pos)
-            ).alias(f"_t_{n}")
-            for n, (_, fwd) in values.items()
-        ]
-    )
-    prev_blocks = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    next_blocks = (
-        W.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(W.unboundedPreceding, -1)
-    )
-    carried = tails.select(
-        *keys,
-        "_blk",
-        *[
-            F.last(f"_t_{n}", ignorenulls=True)
-            .over(prev_blocks if fwd else next_blocks)
-            .alias(f"_c_{n}")
-            for n, (_, fwd) in values.items()
-        ],
-    )
-    w_up = W.partitionBy(*keys, "_blk").orderBy(*up).rowsBetween(W.unboundedPreceding, end)
-    w_down = W.partitionBy(*keys, "_blk").orderBy(*down).rowsBetween(W.unboundedPreceding, end)
+        *[(F.max_by if fwd else F.min_by)(F.col(f"_v_{n}"), known(n)).alias(f"_t_{n}") for n, (_, fwd) in values.items()],
+        *[F.count(f"_v_{n}").alias(f"_t_{n}") for n in totals])
+    part = W.partitionBy(*keys, "_blk")
+    up, down = (part.orderBy(*o).rowsBetween(W.unboundedPreceding, end) for o in ([c.asc() for c in order], [c.desc() for c in order]))
     local = d.select(
-        *df.columns,
-        "_blk",
-        *[
-            F.last(f"_v_{n}", ignorenulls=True).over(w_up if fwd else w_down).alias(f"_l_{n}")
-            for n, (_, fwd) in values.items()
-        ],
+        *df.columns, "_blk",
+        *[F.last(f"_v_{n}", ignorenulls=True).over(up if fwd else down).alias(f"_l_{n}") for n, (_, fwd) in values.items()],
     )
-    return local.join(carried, [*keys, "_blk"]).select(
-        *df.columns,
-        *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values],
+    # a row per block, used three times
+    return local.join(_scan(materialise(tails, "tails"), keys, values, totals), [*keys, "_blk"]).select(
+        *df.columns, *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values], *[F.col(f"_c_{n}").alias(n) for n in totals],
     )
 
 
+def _scan(tails: DataFrame, keys: list[str], values: dict[str, tuple[Column, bool]], totals: dict[str, Column]) -> DataFrame:
+    """keys, _blk, _c_<name>: what reaches each block from the blocks before or behind it."""
+    group = F.floor(F.col("_blk") / BLOCKS_PER_GROUP)
+    d = tails.withColumn("_grp", group)
+    known = lambda n: F.when(F.col(f"_t_{n}").isNotNull(), F.col("_blk"))
+    groups = d.groupBy(*keys, "_grp").agg(
+        *[(F.max_by if fwd else F.min_by)(F.col(f"_t_{n}"), known(n)).alias(f"_t_{n}") for n, (_, fwd) in values.items()],
+        *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals])
+
+    def reach(partition: list[str], along: str, n: str, fwd: bool) -> Column:
+        w = W.partitionBy(*partition).orderBy(F.col(along).asc() if fwd else F.col(along).desc()).rowsBetween(W.unboundedPreceding, -1)
+        return F.last(f"_t_{n}", ignorenulls=True).over(w)
+
+    far = groups.select(*keys, "_grp", *[reach(keys, "_grp", n, fwd).alias(f"_g_{n}") for n, (_, fwd) in values.items()],
+                        *[F.sum(f"_t_{n}").over(W.partitionBy(*keys)).alias(f"_c_{n}") for n in totals])
+    near = d.select(*keys, "_blk", "_grp", *[reach([*keys, "_grp"], "_blk", n, fwd).alias(f"_n_{n}") for n, (_, fwd) in values.items()])
+    return near.join(far, [*keys, "_grp"]).select(
+        *keys, "_blk", *[F.coalesce(f"_n_{n}", f"_g_{n}").alias(f"_c_{n}") for n in values], *[f"_c_{n}" for n in totals])
+
+
 def with_halo(
     df: DataFrame, index: str, before: int | Column, after: int | Column, width: int
 ) -> DataFrame:

@@ -156,14 +156,30 @@ def _align_in_time(
     pred: DataFrame, ref: DataFrame, eval_on: str, rate: float, block_s: float
 ) -> DataFrame:
     """Both series at the evaluation times: trial, i, t, joint, x.., rx..."""
-    times = resample.evaluation_times(pred, ref, eval_on, rate, block_s=block_s)
-    times = materialise(times, "times")
-    joints = pred.select("trial", "joint").distinct().join(ref.select("trial", "joint").distinct(), ["trial", "joint"])
-    grid = times.join(joints, "trial").select("trial", "joint", "i", "t")
-    key = ["trial", "joint"]
-    p = resample.interpolate(pred, grid, key, list(XYZ), block_s=block_s)
-    r = resample.interpolate(ref, grid, key, list(XYZ), block_s=block_s)
-    return errors.pair_frames(p.select("trial", "i", "t", "joint", *XYZ), r.select("trial", "i", "joint", *XYZ), ["trial", "i", "joint"])
+    pred, ref = (d.select("trial", "t", "joint", *XYZ) for d in (pred, ref))
+    times = materialise(resample.evaluation_times(pred, ref, eval_on, rate, block_s=block_s), "times")
+    common = pred.select("trial", "joint").distinct().join(ref.select("trial", "joint").distinct(), ["trial", "joint"])
+    items = materialise(common.groupBy("trial").agg(F.sort_array(F.collect_list("joint")).alias("items")), "joints")
+    sides = [resample.interpolate_frames(d, times, items, ["trial"], "joint", XYZ, block_s=block_s) for d in (pred, ref)]
+    p, r = (d.select("trial", "i", "t", F.col("kp").alias(n)) for d, n in zip(sides, ("p", "r")))
+    empty = F.transform("items", lambda j: F.lit(None))
+    rows = p.join(r.drop("t"), ["trial", "i"]).join(items, "trial")
+    cells = F.arrays_zip("items", F.coalesce("p", empty.cast(p.schema["p"].dataType)).alias("p"), F.coalesce("r", empty.cast(r.schema["r"].dataType)).alias("r"))
+    rows = materialise(rows.select("trial", "i", "t", F.inline(cells).alias("joint", "p", "r")), "cells")
+    key = ["trial", "joint", "i"]
+    out = [*key[:1], "i", "t", "joint"]
+    done = rows.where("p is not null and r is not null").select(*out, "p.*", *[F.col(f"r.{c}").alias(f"r{c}") for c in XYZ])
+    gaps = rows.where("p is null or r is null")
+    if not gaps.take(1):
+        return done
+    # the neighbours of a gap are sought in the joint's own series
+    filled = []
+    for d, c in ((pred, "p"), (ref, "r")):
+        miss = gaps.where(F.col(c).isNull()).select("trial", "joint", "i", "t")
+        own = d.join(miss.select("trial", "joint").distinct(), ["trial", "joint"], "left_semi")
+        filled.append(resample.interpolate(own, miss, ["trial", "joint"], list(XYZ), block_s=block_s).select(*key, *[F.col(x).alias(f"_{c}{x}") for x in XYZ]))
+    gaps = gaps.join(filled[0], key, "left").join(filled[1], key, "left")
+    return done.unionByName(gaps.select(*out, *[F.coalesce(F.col(f"p.{x}"), F.col(f"_p{x}")).alias(x) for x in XYZ], *[F.coalesce(F.col(f"r.{x}"), F.col(f"_r{x}")).alias(f"r{x}") for x in XYZ]))
 
 
 def _transform_reference(d: DataFrame, extrinsics: DataFrame | None, translate: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
+from kinespark.plans import jobs
 from kinespark.operators import quality, recursive, resample, series, smooth, stats
 
 
@@ -174,3 +175,30 @@ def test_percentiles_narrow_in_rounds(spark, monkeypatch):
         r = got[None if k != k else k]
         assert r["n"] == len(x) and all(abs(r[c] - np.quantile(x, p)) < 1e-9 for c, p in wanted.items())
     assert stats.exact_percentiles(d.where("false"), ["k"], "v", wanted).collect() == []
+
+
+def test_whole_frames_equal_joint_by_joint(spark):
+    """Gaps of single joints, missing values and frames: the same as every joint's own series."""
+    r = np.random.default_rng(8)
+    rows = {s: [(t, f * step, j, *[None if r.random() < 0.05 else float(v) for v in r.normal(size=3)])
+                for t in range(2) for f in range(60) for j in ("a", "b", "c") if r.random() > 0.1 and (t, j) != (1, "c")]
+            for s, step in (("pred", 0.1), ("ref", 0.07))}
+    pred, ref = (spark.createDataFrame(rows[s], "trial int, t double, joint string, x double, y double, z double") for s in ("pred", "ref"))
+    for mode in ("grid", "pred"):
+        got = jobs._align_in_time(pred, ref, mode, 37.0, 1.3)
+        times = resample.evaluation_times(pred, ref, mode, 37.0)
+        grid = times.join(pred.select("trial", "joint").distinct(), "trial").select("trial", "joint", "i", "t")
+        p, q = (resample.interpolate(d, grid, ["trial", "joint"], ["x", "y", "z"]) for d in (pred, ref))
+        want = p.join(q.select("trial", "joint", "i", *[F.col(c).alias(f"r{c}") for c in "xyz"]), ["trial", "joint", "i"]).select(got.columns)
+        rnd = lambda d: sorted((x[0], x[1], x[3], *[None if v is None else round(v, 9) for v in x[4:]]) for x in map(tuple, d.collect()))
+        assert sorted(map(str, rnd(got))) == sorted(map(str, rnd(want)))
+
+
+def test_sparse_key_has_no_long_scan(spark, monkeypatch):
+    """Every row a block of its own, blocks in groups of three."""
+    monkeypatch.setattr(series, "BLOCKS_PER_GROUP", 3)
+    d = spark.range(200).select((F.col("id") % 2).alias("k"), (F.col("id") * 1e5).alias("t"), F.when(F.col("id") % 7 < 2, F.col("id")).alias("v"))
+    got = series.carry_many(d, ["k"], [F.col("t")], series.block_of("t", 600.0), {"p": (F.col("v"), True), "n": (F.col("v"), False)}, totals={"c": F.col("v")})
+    w = W.partitionBy("k").orderBy("t")
+    want = d.select("*", F.last("v", True).over(w).alias("p"), F.first("v", True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("n"), F.count("v").over(W.partitionBy("k")).alias("c"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 200
