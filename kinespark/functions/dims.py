@@ -311,6 +311,9 @@ STILL_KEYPOINTS = [
     "right_heel", "left_heel", "right_small_toe", "left_small_toe", "right_elbow", "left_elbow", "right_wrist", "left_wrist",
 ]
 
+# Places of shoulders and hips in whole-body layouts, for data without names.
+BODY_LAYOUT_INDEX = {"left_shoulder": 5, "right_shoulder": 6, "left_hip": 11, "right_hip": 12}
+
 MOCAP_KEEP = [
     "RSHO", "LSHO", "RASI", "LASI", "RKNE", "LKNE", "RANK", "LANK",
     "RHEE", "LHEE", "RTOE", "LTOE", "RELB", "LELB", "RWRB", "LWRB",

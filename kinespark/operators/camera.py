@@ -80,20 +80,21 @@ def place_with_rotation(
 
     Each point gives tx - a tz = p and ty - b tz = q with (a, b) its normalised
     image point; the normal equations are closed form in a few sums. Groups with
-    fewer than ``min_points`` complete points get NULL."""
-    whole = F.lit(True)
+    fewer than ``min_points`` complete points, or without a calibration, get NULL."""
+    whole = F.col("_K").isNotNull() & F.col("_R").isNotNull()
     for c in (*XYZ, "u", "v"):
         whole = whole & F.col(c).isNotNull()
-    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("R").alias("_R")), list(on))
+    d = df.join(calib.select(*on, F.col("K").alias("_K"), F.col("R").alias("_R")), list(on), "left")
     k = _k("_K")
     rx, ry, rz = G.mat_vec(G.elements(F.col("_R")), [F.col(c) for c in XYZ])
-    d = d.where(whole).select(
-        *keys, ((F.col("u") - k[2]) / k[0]).alias("a"), ((F.col("v") - k[5]) / k[4]).alias("b"),
-        rx.alias("rx"), ry.alias("ry"), rz.alias("rz"),
+    good = lambda c, n: F.when(whole, c).alias(n)
+    d = d.select(
+        *keys, good((F.col("u") - k[2]) / k[0], "a"), good((F.col("v") - k[5]) / k[4], "b"),
+        good(rx, "rx"), good(ry, "ry"), good(rz, "rz"),
     )
     d = d.withColumn("p", F.col("a") * F.col("rz") - F.col("rx")).withColumn("q", F.col("b") * F.col("rz") - F.col("ry"))
     s = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum("p").alias("sp"), F.sum("q").alias("sq"),
+        F.count("a").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum("p").alias("sp"), F.sum("q").alias("sq"),
         F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("saa"),
         F.sum(F.col("a") * F.col("p") + F.col("b") * F.col("q")).alias("sap"),
     )
@@ -173,8 +174,8 @@ def smooth_translation(df: DataFrame, keys: Sequence[str], frame: str, alpha: fl
 
 
 def out_of_image(df: DataFrame, calib: DataFrame) -> DataFrame:
-    """Trials with keypoints more than a pixel outside their image."""
-    d = df.join(calib.select("trial", "width", "height"), "trial")
+    """Trials with keypoints more than a pixel outside their image; NULL without an image size."""
+    d = df.join(calib.select("trial", "width", "height"), "trial", "left")
     u, v = F.col("u"), F.col("v")
     out = (u < -1) | (u > F.col("width") + 1) | (v < -1) | (v > F.col("height") + 1)
     return d.groupBy("trial").agg(F.bool_or(out).alias("out_of_image"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import text
 from kinespark.functions.dims import (
+    BODY_LAYOUT_INDEX,
     BODY20, NATIVE_SYNONYMS, STUDY_TO_MOCAP, alias_rows, literal_table,
 )
 
@@ -99,7 +100,9 @@ def apply_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
 def mean_targets(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """Joint as the mean of all its complete candidate markers in the frame."""
     a = aliases.select(F.col("target").alias("joint"), text.clean_name(F.col("candidate")).alias("_n")).distinct()
-    d = df.withColumn("_n", text.clean_name(F.col("marker"))).join(a, "_n")
+    # names are cleaned once each, not on every row
+    known = df.select("marker").distinct().withColumn("_n", text.clean_name(F.col("marker"))).join(a, "_n").select("marker", "joint")
+    d = df.join(known, "marker")
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     return d.groupBy("trial", "frame", "joint").agg(
         *[F.avg(F.when(ok, F.col(c))).alias(c) for c in "xyz"]
@@ -219,3 +222,13 @@ def side_index(names: DataFrame, side: str, joint: str, keys: Sequence[str] = ("
     )
     d = names.withColumn("_rank", rank).where("_rank is not null")
     return d.groupBy(*keys).agg(F.min_by("idx", F.struct("_rank", "idx")).alias("idx"))
+
+
+def side_index_or_guess(layouts: DataFrame, names: DataFrame, side: str, joint: str, keys: Sequence[str] = ("trial",)) -> DataFrame:
+    """(keys, idx, guessed) for each layout (keys, n_points): :func:`side_index` where the names tell,
+    else the body layout's place if it has 17 points or more, else NULL."""
+    keys = list(keys)
+    place = BODY_LAYOUT_INDEX.get(f"{side}_{joint}")
+    guess = F.when(F.col("n_points") >= 17, F.lit(place)).cast("long")
+    d = layouts.join(side_index(names, side, joint, keys).withColumnRenamed("idx", "_named"), keys, "left")
+    return d.select(*keys, F.coalesce(F.col("_named").cast("long"), guess).alias("idx"), (F.col("_named").isNull() & guess.isNotNull()).alias("guessed"))

@@ -196,3 +196,21 @@ def middle_frame(df: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
     """The frame at half the frame count of each trial."""
     d = series.per_key(df, keys, F.count(F.lit(1)).alias("_n"))
     return d.where(F.col(frame) == F.floor(F.col("_n") / 2)).drop("_n")
+
+
+def support_counts(df: DataFrame, keys: Sequence[str], frame: str, joint: str, valid: Column) -> DataFrame:
+    """keys, frames_in, frames_out (frames with a valid point), valid_points, joints: what a
+    conversion has read and kept."""
+    keys = list(keys)
+    frames = df.groupBy(*keys, frame).agg(F.count_if(valid).alias("_v"))
+    frames = frames.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames_in"), F.count_if(F.col("_v") > 0).alias("frames_out"), F.sum("_v").alias("valid_points"))
+    joints = df.select(*keys, joint).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("joints"))
+    return frames.join(joints, keys)
+
+
+def pad_to_longest(df: DataFrame, keys: Sequence[str], array: str, name: str) -> DataFrame:
+    """Arrays of a key brought to the length ``name`` of its longest one, NULL behind their own end."""
+    d = series.per_key(df, list(keys), F.max(F.size(array)).cast("long").alias(name))
+    places = F.when(F.col(name) > 0, F.sequence(F.lit(0), (F.col(name) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return d.withColumn(array, F.transform(places, lambda i: F.get(array, i)))

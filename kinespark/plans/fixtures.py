@@ -253,17 +253,17 @@ def manifest_vars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    """two boxes per frame around person 0: trial, frame, det, x1, y1, x2, y2, score, label."""
-    d = person_rows(spark, sf).where("person = 0")
+    """two boxes per frame around each person: trial, frame, det, x1, y1, x2, y2, score, label."""
+    d = person_rows(spark, sf)
     us = F.expr("transform(sequence(0,19), k -> 480+400*e[3*k])")
     vs = F.expr("transform(sequence(0,19), k -> 270+400*e[3*k+1])")
     d = d.select(
-        "trial", "frame", F.array_min(us).alias("u0"), F.array_max(us).alias("u1"),
+        "trial", "frame", "person", F.array_min(us).alias("u0"), F.array_max(us).alias("u1"),
         F.array_min(vs).alias("v0"), F.array_max(vs).alias("v1"),
         (0.5 + F.col("e")[61]).alias("score"), (F.col("frame") % 2).alias("label"),
     )
     box = lambda i, dx: F.struct(
-        F.lit(i).cast("long").alias("det"),
+        (F.col("person") * 2 + i).cast("long").alias("det"),
         (F.col("u0") + dx).alias("x1"), F.col("v0").alias("y1"),
         (F.col("u1") + dx * 0.5).alias("x2"), F.col("v1").alias("y2"),
     )
@@ -350,10 +350,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "f11": (
         ["f4"],
-        "SELECT trial, frame, 0.5+e[62] AS score, frame % 2 AS label, det, u0+dx AS x1, v0 AS y1, u1+dx*0.5 AS x2, v1 AS y2 "
+        "SELECT trial, frame, 0.5+e[62] AS score, frame % 2 AS label, person*2+b.det AS det, u0+dx AS x1, v0 AS y1, u1+dx*0.5 AS x2, v1 AS y2 "
         "FROM (SELECT *, list_min(us) u0, list_max(us) u1, list_min(vs) v0, list_max(vs) v1 FROM (SELECT *, "
         "list_transform(range(20), lambda k: 480+400*e[3*k+1]) us, list_transform(range(20), lambda k: 270+400*e[3*k+2]) vs "
-        "FROM f4 WHERE person = 0)), (VALUES (0::BIGINT, -40.0::DOUBLE), (1, 40.0)) AS b(det, dx)",
+        "FROM f4)), (VALUES (0::BIGINT, -40.0::DOUBLE), (1, 40.0)) AS b(det, dx)",
     ),
 }
 

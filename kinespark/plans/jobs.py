@@ -90,7 +90,9 @@ def absolute_placement(
 
     ``points``: trial, frame, person, k, x, y, z, u, v, score. Per frame and person
     the translation is fitted on the reliable joints, smoothed over time per
-    person, and applied to all joints; the reprojection error is reported."""
+    person, and applied to all joints; the reprojection error is reported. Every
+    point has a row; ``status`` tells those without a calibration or without a
+    placement, whose coordinates are NULL."""
     gk = [*person_keys, "frame"]
     d = points = materialise(points, "points")
     if undistort != "off":
@@ -110,16 +112,18 @@ def absolute_placement(
     fit = camera.place_with_rotation(d.where(reliable), calib, gk)
     every = d.select(*gk).distinct().join(fit, gk, "left")
     fit = camera.smooth_translation(every, list(person_keys), "frame", ema)
-    q = d.join(calib.select("trial", F.col("R").alias("_R")), "trial").join(fit.select(*gk, "tx", "ty", "tz"), gk)
+    q = d.join(calib.select("trial", F.col("R").alias("_R")), "trial", "left").join(fit.select(*gk, "tx", "ty", "tz"), gk, "left")
     r = G.mat_vec(G.elements(F.col("_R")), [F.col(c) for c in XYZ])
     q = q.select(*d.columns, "tx", "ty", "tz", *[(c + F.col(f"t{n}")).alias(f"c{n}") for c, n in zip(r, XYZ)])
     q = materialise(camera.project(q, calib, distortion=False), "placed")
     rmse = camera.reprojection_rmse(q.where(reliable), gk)
     cam = q.drop("pu", "pv").join(rmse, gk, "left")
     inv = camera.invert_calibration(calib).select("trial", F.col("R").alias("_R"), F.col("t").alias("_t"))
-    cam = cam.join(inv, "trial")
+    cam = cam.join(inv, "trial", "left")
     w = G.mat_vec(G.elements(F.col("_R")), [F.col(f"c{n}") for n in XYZ])
-    return cam.select(*[c for c in cam.columns if c not in ("_R", "_t")], *[(c + F.col("_t")[i]).alias(f"w{n}") for i, (c, n) in enumerate(zip(w, XYZ))])
+    status = F.when(F.col("_R").isNull(), "no calibration").when(F.col("tx").isNull(), "not placed").otherwise("ok")
+    return cam.select(*[c for c in cam.columns if c not in ("_R", "_t")], *[(c + F.col("_t")[i]).alias(f"w{n}") for i, (c, n) in enumerate(zip(w, XYZ))],
+                      status.alias("status"))
 
 
 def canonicalise(frames_df: DataFrame, joints: dict[str, int], mode: str = "first-frame") -> DataFrame:
@@ -343,7 +347,8 @@ def projection_audit(
     block_s: float = series.SECONDS_PER_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, trials): markers at the video times projected into the image, and
-    per trial the share inside it with depth diagnostics.
+    per trial the share inside it with depth diagnostics; every trial of ``markers``
+    has a row, with status and reason.
 
     ``markers``: trial, t, marker, x, y, z in millimetres; ``video_times``: trial,
     frame, t; ``to_video``: trial, R, t (identity where absent)."""
@@ -369,10 +374,14 @@ def projection_audit(
         k = k.drop("R", "t").join(camera.invert_calibration(k), "trial")
     k = k.withColumn("t", F.array(*[F.col("t")[i] + float(v) for i, v in enumerate(nudge_mm)]))
     q = camera.project(camera.to_camera(p, k), k, distortion=not ignore_distortion)
-    q = q.join(k.select("trial", "width", "height"), "trial")
+    q = q.join(k.select("trial", "width", "height"), "trial", "left")
     q = q.withColumn("inside", overlay.in_frame(F.col("pu"), F.col("pv"), F.col("width"), F.col("height"))).drop("width", "height")
     share = q.groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"))
-    return q, share.join(camera.depth_report(q, ["trial"]), "trial")
+    report = share.join(camera.depth_report(q.where("cz is not null"), ["trial"]), "trial", "left")
+    known = calib.select("trial").distinct().withColumn("_cal", F.lit(True))
+    report = markers.select("trial").distinct().join(report, "trial", "left").join(known, "trial", "left")
+    reason = F.when(F.col("_cal").isNull(), "no calibration").when(F.col("n").isNull(), "no video times").when(F.col("median_z").isNull(), "no marker at the video times")
+    return q, report.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed")).drop("_cal")
 
 
 def overlay_geometry(points: DataFrame, edges: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:

@@ -57,13 +57,13 @@ def _(spark, sf):
         "trial", "frame", "joint", r6("x"), r6("y"), r6("z"))
 
 
-@query("jon_8_pair_frames", ["f1", "f3"],
-       "SELECT p.trial, p.frame, p.joint, round(p.x,6) x, round(r.rx,6) rx FROM f1 p JOIN f3 r USING (trial, frame, joint)")
+@query("jon_8_pair_frames", ["f3"],
+       "SELECT trial, frame, k, round(x,6)+0.0 x, round(rx,6)+0.0 rx FROM f3")
 def _(spark, sf):
     ref = X.reference_near(spark, sf).select("trial", "frame", "joint", F.col("rx").alias("x"),
                                              F.col("ry").alias("y"), F.col("rz").alias("z"))
     return errors.pair_frames(X.pose_long(spark, sf), ref, ["trial", "frame", "joint"]).select(
-        "trial", "frame", "joint", r6("x"), r6("rx"))
+        "trial", "frame", F.col("k").cast("long").alias("k"), r6("x"), r6("rx"))
 
 
 @query("agg_10_mpjpe_micro", ["f3d"],

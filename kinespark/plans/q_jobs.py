@@ -11,7 +11,7 @@ from kinespark.plans import q_geometry as Q
 from kinespark.plans import q_models as M
 from kinespark.plans import q_select as S
 from kinespark.plans import q_series as T
-from kinespark.plans.registry import query, r6
+from kinespark.plans.registry import place, query, r6
 from kinespark.session import scratch_path
 from kinespark.sources import jsonl
 from kinespark.streaming import live
@@ -252,11 +252,10 @@ def _(spark, sf):
 
 
 @query("job_12_overlay_geometry", ["f5"],
-       f"SELECT p.trial, p.frame, e.a, e.b, round(sqrt(pow(p.u-q.u,2)+pow(p.v-q.v,2)),4) length FROM f5 p JOIN {M._EDGES} ON p.joint=e.a JOIN f5 q ON q.trial=p.trial AND q.frame=p.frame AND q.joint=e.b "
-       "WHERE (round(p.u) BETWEEN 0 AND 959 AND round(p.v) BETWEEN 0 AND 539) OR (round(q.u) BETWEEN 0 AND 959 AND round(q.v) BETWEEN 0 AND 539)")
+       M.sql_segments(959, 539, 4))
 def _(spark, sf):
     _, s = jobs.overlay_geometry(X.pixels(spark, sf), literal_table(spark, ["a", "b"], D.EDGES), 960, 540)
-    return s.select("trial", "frame", "a", "b", F.round("length", 4).alias("length"))
+    return s.select("trial", "frame", place(D.BODY20, F.col("a")).alias("a"), place(D.BODY20, F.col("b")).alias("b"), F.round("length", 4).alias("length"))
 
 
 @query("job_13_crop_plan", ["f11", "f5prev"],

@@ -8,7 +8,7 @@ from kinespark.functions.dims import literal_table
 from kinespark.operators import align, features, frames, overlay, quality
 from kinespark.plans import fixtures as X
 from kinespark.plans.q_select import values
-from kinespark.plans.registry import query, r6
+from kinespark.plans.registry import place, query, r6, sql_place
 
 KEY = ["trial", "frame"]
 FEAT = D.FEATURES_NEW_LOWER
@@ -41,15 +41,19 @@ def _(spark, sf):
     return matrix(spark, sf).select("trial", "frame", F.size("f").alias("n"), r6(F.col("f")[9], "x3"), r6(F.col("f")[44], "z14"))
 
 
+_SETS = values([tuple(r) for r in D.feature_rows()], "s", ["version", "part", "kind", "ord", "marker"])
+
+
 @query("fea_2_marker_sets", None,
-       "SELECT label, version, part, kind, markers FROM (SELECT DISTINCT label FROM embeddings), " + values(
-           [(v, p, k, sum(1 for r in D.feature_rows() if r[:3] == (v, p, k))) for v in ("0.1", "0.2", "0.3") for p in ("lower", "upper") for k in ("feature", "response")],
-           "s", ["version", "part", "kind", "markers"]))
+       "WITH mm AS (SELECT DISTINCT l_suppkey AS model, marker FROM lineitem JOIN " + values(list(enumerate(D.RESPONSES_NEW_LOWER)), "d", ["i", "marker"]) + " ON i = l_partkey % 41), "
+       f"n AS (SELECT version, part, kind, count(*) AS markers FROM {_SETS} GROUP BY ALL) "
+       f"SELECT model, version, part, kind, any_value(markers) AS markers, count(*) AS present, min(ord) AS first FROM mm JOIN {_SETS} USING (marker) JOIN n USING (version, part, kind) GROUP BY ALL")
 def _(spark, sf):
+    # how much of each marker set every model has
     dim = literal_table(spark, ["version", "part", "kind", "ord", "marker"], D.feature_rows())
     n = dim.groupBy("version", "part", "kind").agg(F.count(F.lit(1)).alias("markers"))
-    t = X.table(spark, sf, "embeddings").select("label").distinct()
-    return t.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").drop("one")
+    d = model_markers(spark, sf).join(dim, "marker").join(n, ["version", "part", "kind"])
+    return d.groupBy("model", "version", "part", "kind").agg(F.max("markers").alias("markers"), F.count(F.lit(1)).alias("present"), F.min("ord").alias("first"))
 
 
 @query("fea_3_reference_centering", ["feat"], "SELECT trial, frame, ord, round(x,6) x, round(y,6) y FROM feat")
@@ -107,10 +111,12 @@ def _(spark, sf):
 
 
 @query("fea_8_attach_markers", ["feat"],
-       "SELECT trial, frame, concat('m', ord) marker, round(x,6) x, round(z,6) z FROM feat UNION ALL SELECT trial, frame, CASE joint WHEN 'mid_hip' THEN 'midHip' ELSE joint END, round(x,6), round(z,6) FROM f1")
+       "SELECT trial, frame, 100 + ord::BIGINT AS marker, round(x,6)+0.0 x, round(z,6)+0.0 z FROM feat UNION ALL SELECT trial, frame, k + 1, round(x,6)+0.0, round(z,6)+0.0 FROM f1")
 def _(spark, sf):
     new = features.attach_markers(matrix(spark, sf), KEY, [f"m{i}" for i in range(15)], "f")
-    return new.unionByName(markers(spark, sf)).select("trial", "frame", "marker", r6("x"), r6("z"))
+    made = F.when(F.col("marker").rlike("^m[0-9]"), 100 + F.substring("marker", 2, 9).try_cast("long"))
+    names = _NAMES[-20:]
+    return new.unionByName(markers(spark, sf)).select("trial", "frame", F.coalesce(made, place(names, F.col("marker"))).alias("marker"), r6("x"), r6("z"))
 
 
 @query("set_2_union_outputs", ["f1"], "SELECT trial, joint AS marker, count(*) n FROM f1 WHERE k < 8 GROUP BY ALL UNION ALL SELECT trial, joint, count(*) FROM f1 WHERE k >= 6 GROUP BY ALL")
@@ -127,6 +133,9 @@ _ENH = ("WITH r AS (SELECT f.trial, f.frame, m.marker, f.x*0.5 AS dx, f.y*0.5 AS
         "al AS (SELECT * FROM resp UNION ALL SELECT trial, frame, CASE joint WHEN 'mid_hip' THEN 'midHip' ELSE joint END, x, y, z FROM f1) ")
 
 
+_NAMES = list(D.RESPONSES_NEW_LOWER) + ["midHip" if j == "mid_hip" else j for j in D.BODY20]
+
+
 def half_model():
     """Fifteen responses halfway to the features, the others on the reference."""
     m = np.zeros((47, 105))
@@ -135,10 +144,10 @@ def half_model():
 
 
 @query("fea_9_enhancement", ["feat", "f1"],
-       _ENH + "SELECT trial, frame, marker, round(x,5) x, round(y-(lo-10),5) y, round(z,5) z FROM al JOIN low USING (trial)")
+       _ENH + f"SELECT trial, frame, {sql_place(_NAMES, 'marker')} marker, round(x,5)+0.0 x, round(y-(lo-10),5)+0.0 y, round(z,5)+0.0 z FROM al JOIN low USING (trial)")
 def _(spark, sf):
     d = features.enhance(markers(spark, sf), subjects(spark, sf), half_model(), expected={"lower": 47}, gap=10.0)
-    return d.select("trial", "frame", "marker", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+    return d.select("trial", "frame", place(_NAMES, F.col("marker")).alias("marker"), *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
 
 
 @query("agg_22_floor_offset", ["f8"], "SELECT trial, marker, frame, round(y-(min(y) FILTER (marker IN (2,4)) OVER (PARTITION BY trial)-0.01),6) y FROM f8 WHERE trial IN (SELECT trial FROM f8 WHERE marker IN (2,4))")
@@ -271,15 +280,21 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------- overlay
-_EDGES = values(D.EDGES, "e", ["a", "b"])
+_EDGES = values([(D.BODY20.index(a) + 1, D.BODY20.index(b) + 1) for a, b in D.EDGES], "e", ["a", "b"])
+
+
+def sql_segments(right, bottom, digits):
+    """Lengths of the edges whose ends aren't both outside; joints by their place from 1, frames as lists."""
+    inside = lambda k: f"(round(us[{k}]) BETWEEN 0 AND {right} AND round(vs[{k}]) BETWEEN 0 AND {bottom})"
+    return ("WITH fr AS (SELECT trial, frame, list(u ORDER BY k) us, list(v ORDER BY k) vs FROM f5 GROUP BY ALL) "
+            f"SELECT trial, frame, a::BIGINT a, b::BIGINT b, round(sqrt(pow(us[a]-us[b],2)+pow(vs[a]-vs[b],2)),{digits}) length FROM fr, {_EDGES} WHERE {inside('a')} OR {inside('b')}")
 
 
 @query("jon_14_skeleton_segments", ["f5"],
-       f"SELECT p.trial, p.frame, e.a, e.b, round(sqrt(pow(p.u-q.u,2)+pow(p.v-q.v,2)),6) length FROM f5 p JOIN {_EDGES} ON p.joint=e.a JOIN f5 q ON q.trial=p.trial AND q.frame=p.frame AND q.joint=e.b "
-       "WHERE (round(p.u) BETWEEN 0 AND 499 AND round(p.v) BETWEEN 0 AND 279) OR (round(q.u) BETWEEN 0 AND 499 AND round(q.v) BETWEEN 0 AND 279)")
+       sql_segments(499, 279, 6))
 def _(spark, sf):
     e = literal_table(spark, ["a", "b"], D.EDGES)
-    return overlay.segments(X.pixels(spark, sf), e, KEY, 500, 280).select("trial", "frame", "a", "b", r6("length"))
+    return overlay.segments(X.pixels(spark, sf), e, KEY, 500, 280).select("trial", "frame", place(D.BODY20, F.col("a")).alias("a"), place(D.BODY20, F.col("b")).alias("b"), r6("length"))
 
 
 X.VIEWS["pd"] = (["f1"], "SELECT a.trial, a.frame, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) d FROM f1 a JOIN f1 b ON a.trial=b.trial AND a.frame=b.frame AND a.k < b.k")

@@ -279,11 +279,11 @@ def _(spark, sf):
 
 
 @query("flt_21_overlap", ["f6"],
-       "WITH r AS (SELECT trial, min(t) t0, max(t) t1 FROM f6 WHERE marker='view' GROUP BY trial) "
-       "SELECT trial, event_id, round(t,6) t FROM f6 JOIN r USING (trial) WHERE marker='click' AND t BETWEEN t0 AND t1")
+       "WITH r AS (SELECT trial, min(t) t0, max(t) t1 FROM f6 WHERE event_id % 2 = 0 GROUP BY trial) "
+       "SELECT trial, event_id, round(t,6) t FROM f6 JOIN r USING (trial) WHERE event_id % 2 = 1 AND t BETWEEN t0 AND t1")
 def _(spark, sf):
     d = X.irregular(spark, sf)
-    return select.overlap(d.where("marker = 'click'"), d.where("marker = 'view'"), ["trial"]).select(
+    return select.overlap(d.where("event_id % 2 = 1"), d.where("event_id % 2 = 0"), ["trial"]).select(
         "trial", "event_id", r6("t"))
 
 
@@ -351,13 +351,7 @@ def _(spark, sf):
        "SELECT trial, count(DISTINCT frame) frames_in, count(DISTINCT frame) FILTER (rx IS NOT NULL) frames_out, "
        "count(rx) valid_points, count(DISTINCT joint) joints FROM f3 GROUP BY trial")
 def _(spark, sf):
-    d = X.reference_near(spark, sf)
-    ok = F.col("rx").isNotNull()
-    f = d.groupBy("trial", "frame").agg(F.count_if(ok).alias("v"), F.count(F.lit(1)).alias("n"))
-    f = f.groupBy("trial").agg(F.count(F.lit(1)).alias("frames_in"), F.count_if(F.col("v") > 0).alias("frames_out"),
-                               F.sum("v").alias("valid_points"))
-    j = d.select("trial", "joint").distinct().groupBy("trial").agg(F.count(F.lit(1)).alias("joints"))
-    return f.join(j, "trial")
+    return select.support_counts(X.reference_near(spark, sf), ["trial"], "frame", "joint", F.col("rx").isNotNull())
 
 
 @query("agg_32_pad_to_k", ["f4"],
@@ -368,10 +362,7 @@ def _(spark, sf):
     d = X.person_rows(spark, sf)
     d = d.withColumn("kp", F.slice(F.expr("transform(sequence(0,19), k -> 1000*e[3*k])"), F.lit(1),
                                    (12 + (F.col("frame") * 3 + F.col("person")) % 7).cast("int")))
-    d = series.per_key(d, ["trial"], F.max(F.size("kp")).alias("kmax"))
-    # beyond the array's end the value is NULL; longer arrays are cut to kmax
-    d = d.select("trial", "frame", "person", F.col("kmax").cast("long").alias("kmax"),
-                 F.posexplode(F.transform(F.expr("sequence(0, kmax - 1)"), lambda i: F.get("kp", i))).alias("k", "x"))
+    d = select.pad_to_longest(d, ["trial"], "kp", "kmax").select("trial", "frame", "person", "kmax", F.posexplode("kp").alias("k", "x"))
     return d.select("trial", "frame", "person", "kmax", F.col("k").cast("long").alias("k"), r6("x"))
 
 
@@ -649,6 +640,16 @@ def _(spark, sf):
         text.native_name(s).alias("native_n"), text.label_name(s).alias("label_n"))
 
 
+@query("sca_7_index_guess", ["f1"],
+       "SELECT trial, CASE WHEN trial % 3 = 0 THEN max(k) FILTER (joint='right_hip') WHEN trial % 3 = 1 THEN 12 END AS idx, trial % 3 = 1 AS guessed FROM f1 GROUP BY trial")
+def _(spark, sf):
+    # names in every third trial; of the others, every second layout is too short for a guess
+    d = X.pose_long(spark, sf)
+    named = d.where("trial % 3 = 0").select("trial", F.col("k").alias("idx"), F.col("joint").alias("name")).distinct()
+    layouts = d.groupBy("trial").agg(F.max("k").alias("k")).select("trial", F.when(F.col("trial") % 3 == 2, 16).otherwise(F.col("k") + 1).alias("n_points"))
+    return names.side_index_or_guess(layouts, named, "right", "hip")
+
+
 @query("sca_7_side_index", ["f1"],
        "SELECT trial, min(k) FILTER (joint='left_hip') AS idx FROM f1 GROUP BY trial")
 def _(spark, sf):

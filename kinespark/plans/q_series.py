@@ -85,14 +85,14 @@ def _(spark, sf):
     return resample.interpolate(d, g, K2, ["x"], outside="clamp", min_samples=1, block_s=X.DAY).select("event_id", r6("x"))
 
 
-_PR = ("WITH a AS (SELECT trial, t, x FROM f6 WHERE marker='view'), b AS (SELECT trial, t, x FROM f6 WHERE marker='click'), "
+_PR = ("WITH a AS (SELECT trial, t, x FROM f6 WHERE event_id % 2 = 0), b AS (SELECT trial, t, x FROM f6 WHERE event_id % 2 = 1), "
        "o AS (SELECT * FROM (SELECT trial, greatest(a0,b0) t0, least(a1,b1) t1 FROM (SELECT trial, min(t) a0, max(t) a1 FROM a GROUP BY 1) "
        "JOIN (SELECT trial, min(t) b0, max(t) b1 FROM b GROUP BY 1) USING (trial)) WHERE t1 > t0) ")
 
 
 def two_series(spark, sf):
     d = X.irregular(spark, sf)
-    return d.where("marker = 'view'").select("trial", "t", "x"), d.where("marker = 'click'").select("trial", "t", "x")
+    return d.where("event_id % 2 = 0").select("trial", "t", "x"), d.where("event_id % 2 = 1").select("trial", "t", "x")
 
 
 @query("win_4_eval_times_grid", ["f6"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,15 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
     return wrap
 
 
+def place(names: Sequence[str], c: str | Column) -> Column:
+    """Place of a name in a list, from 1, for results keyed by whole numbers."""
+    return F.array_position(F.array(*[F.lit(n) for n in names]), c).cast("long")
+
+
+def sql_place(names: Sequence[str], c: str) -> str:
+    return f"list_position([{', '.join(repr(n) for n in names)}], {c})::BIGINT"
+
+
 def r6(c: str | Column, name: str | None = None) -> Column:
     """Round to 6 decimals for comparison; negative zero becomes zero."""
     col = F.col(c) if isinstance(c, str) else c

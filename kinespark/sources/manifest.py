@@ -39,9 +39,7 @@ def resolve_columns(
     """Resolve placeholders in string columns. ``root`` names the column that
     defines ``paths.root`` per row and is resolved first. Adds ``unresolved``
     with the columns that could not be resolved; ``strict`` raises instead."""
-    # the variables join every row by a constant key: one tiny row on one side
-    v = variable_map(variables).withColumn("_one", F.lit(1))
-    d = df.withColumn("_one", F.lit(1)).join(v, "_one").drop("_one")
+    d = df.withColumn("_vars", variable_map(variables).scalar())  # one row
     if root:
         d = d.withColumn("_root", resolve(F.col(root), F.col("_vars")))
         d = d.withColumn("_vars", F.when(
