@@ -47,6 +47,31 @@ def center_on_pelvis(
     return d.select(*keep)
 
 
+def center_by_support(
+    df: DataFrame, keys: Sequence[str], frame_keys: Sequence[str], pairs: Sequence[tuple[str, str]], sides: Sequence[Sequence[str]] = (("x", "y", "z"),)
+) -> DataFrame:
+    """Centre every frame on the midpoint of a joint pair chosen per key: the pair that is
+    complete in most frames, earlier pairs winning ties; keys in which no pair ever is
+    are centred on the mean of the frame's points. Frames without the chosen pair
+    become NULL."""
+    keys, cols = list(keys), [c for side in sides for c in side]
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    seen = [F.bool_or(whole & (F.col("joint") == j)).alias(f"_{k}{i}") for k, pair in enumerate(pairs) for i, j in enumerate(pair)]
+    per_frame = df.groupBy(*frame_keys).agg(*seen)
+    counts = per_frame.groupBy(*keys).agg(*[F.count_if(F.col(f"_{k}0") & F.col(f"_{k}1")).alias(f"_n{k}") for k in range(len(pairs))])
+    most = F.greatest(F.lit(0), *[F.col(f"_n{k}") for k in range(len(pairs))])
+    anchor = F.lit(len(pairs))
+    for k in reversed(range(len(pairs))):
+        anchor = F.when((F.col(f"_n{k}") == most) & (most > 0), k).otherwise(anchor)
+    d = df.join(counts.select(*keys, anchor.alias("_anchor")), keys)
+    out = center_on_centroid(d.where(F.col("_anchor") == len(pairs)), frame_keys, cols)
+    for k, (left, right) in enumerate(pairs):
+        out = out.unionByName(center_on_pelvis(d.where(F.col("_anchor") == k), frame_keys, sides, left, right))
+    return out.drop("_anchor")
+
+
 def center_on_marker(
     df: DataFrame, frame_keys: Sequence[str], marker: str, coords: Sequence[str] = ("x", "y", "z")
 ) -> DataFrame:

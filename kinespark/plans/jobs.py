@@ -17,6 +17,7 @@ from kinespark.operators import (
     align, camera, errors, frames, names, overlay, quality, resample, scale, select, series, smooth, timealign, tracking,
 )
 from kinespark.session import materialise
+from kinespark.sources import tables, trc
 
 XYZ = ("x", "y", "z")
 
@@ -255,15 +256,22 @@ def frame_accuracy(
     pred: DataFrame, ref: DataFrame, resample_to: str = "pred", target_hz: float = 100.0, time_shift: float = 0.0,
     pred_axes: str = "none", ref_axes: str = "none", root_center: bool = True, procrustes: str = "none",
     hips: tuple[str, str] = ("left_hip", "right_hip"), block_s: float = series.SECONDS_PER_BLOCK,
+    fallbacks: Sequence[tuple[str, str]] = (("l.asis", "r.asis"),), missing: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(trials, joints) with frame-wise Procrustes: ``none``, ``rigid`` or
     ``similarity``. The trial value is the mean over frames of the frame means;
-    every trial of ``pred`` has a row with status and reason."""
+    every trial of ``pred`` has a row with status and reason.
+
+    Root centring takes the hips, in trials without them one of the ``fallbacks`` and
+    in trials without any of these the centroid (:func:`frames.center_by_support`).
+    ``missing`` reads zeros as missing: ``triplet`` or ``cell``."""
+    if missing:
+        pred, ref = (select.zero_as_missing(d, mode=missing) for d in (pred, ref))
     turn = lambda d, e: d.select(*[c for c in d.columns if c not in XYZ], *[c.alias(n) for c, n in zip(G.remap_axes([F.col(c) for c in XYZ], e), XYZ)])
     d = _align_in_time(turn(pred, pred_axes), timealign.shift_time(turn(ref, ref_axes), time_shift), resample_to, target_hz, block_s)
     fk = ["trial", "i"]
     if root_center:
-        d = frames.center_on_pelvis(d, fk, (XYZ, ("rx", "ry", "rz")), *hips)
+        d = frames.center_by_support(materialise(d, "aligned"), ["trial"], fk, [hips, *fallbacks], (XYZ, ("rx", "ry", "rz")))
     if procrustes != "none":
         d = materialise(d, "paired")
         f = align.fit(d, fk, procrustes)
@@ -309,6 +317,23 @@ def enhanced_accuracy(
     return _every_trial(pred, out, "s", "too few pairs, overlap or complete frames"), errors.per_joint(e, ["trial"])
 
 
+def write_markers(markers: DataFrame, path: str, rate: float, units: str = "m", source_rate: float | None = None) -> None:
+    """The file end of the marker jobs: (trial, frame, marker, x, y, z) as TRC, see :func:`trc.write_trc`."""
+    trc.write_trc(markers.select("trial", "frame", "marker", *XYZ), path, rate, units=units, source_rate=source_rate)
+
+
+def write_accuracy(trials: DataFrame, joints: DataFrame, path: str, aligned: DataFrame | None = None) -> None:
+    """The file end of the accuracy jobs: one report record per trial in ``report``, and the
+    aligned series in ``series`` by trial."""
+    scalars = trials.select(*[F.col(c) for c, t in trials.dtypes if t in ("string", "boolean", "int", "bigint", "double") or c == "trial"])
+    per_joint = joints.select(*[c for c in joints.columns if c != "n"])
+    reported = tables.report_records(per_joint, scalars).select("*")
+    silent = scalars.join(per_joint.select("trial").distinct(), "trial", "left_anti")  # trials that failed
+    tables.write_report(reported.unionByName(silent, allowMissingColumns=True), f"{path}/report")
+    if aligned is not None:
+        tables.write_series(aligned, f"{path}/series")
+
+
 # ------------------------------------------------------------------ still phases, readiness
 def still_phases(
     markers: DataFrame, fs: float | DataFrame, threshold: float = 0.5, step: float = 0.001, maximum: float = 100.0, min_duration: float = 0.1,
@@ -418,5 +443,5 @@ def plan_crops(
 __all__ = [
     "harmonise_subjects", "metric_scaling", "absolute_placement", "canonicalise", "downsample_mocap", "trial_accuracy",
     "frame_accuracy", "enhanced_accuracy", "still_phases", "model_readiness", "projection_audit", "overlay_geometry",
-    "plan_crops",
+    "plan_crops", "write_markers", "write_accuracy", "with_rate",
 ]

@@ -13,7 +13,7 @@ from kinespark.plans import q_select as S
 from kinespark.plans import q_series as T
 from kinespark.plans.registry import place, query, r6
 from kinespark.session import scratch_path
-from kinespark.sources import jsonl
+from kinespark.sources import jsonl, trc
 from kinespark.streaming import live
 
 
@@ -184,6 +184,57 @@ def _(spark, sf):
     return j.select("trial", "joint", "n", r6("mpjpe"))
 
 
+@query("job_7_anchor_per_trial", ["f1"],
+       "WITH q AS (SELECT * FROM f1 WHERE NOT (k = 4 AND trial % 3 = 1)), p AS (SELECT trial, frame, "
+       + ", ".join(f"CASE WHEN trial % 3 = 2 THEN avg({c}) ELSE (max({c}) FILTER (joint='left_hip')+max({c}) FILTER (joint='right_hip'))*0.5 END p{c}" for c in "xyz")
+       + " FROM q GROUP BY trial, frame) SELECT trial, count(*) n_frames, round(avg(m),6)+0.0 mpjpe, 'ok' status FROM "
+       "(SELECT trial, frame, avg(trial/10.0*sqrt(pow(x-px,2)+pow(y-py,2)+pow(z-pz,2))) m FROM q JOIN p USING (trial, frame) GROUP BY trial, frame) GROUP BY trial")
+def _(spark, sf):
+    # hips in the first third of the trials; spine points instead in the second, one joint all zeros there; neither in the last
+    hip = F.col("joint").isin("left_hip", "right_hip")
+    other = F.when(F.col("trial") % 3 == 1, F.concat(F.substring("joint", 1, 1), F.lit(".asis"))).otherwise(F.concat(F.lit("pelvis_"), "joint"))
+    renamed = lambda d: d.withColumn("joint", F.when(hip & (F.col("trial") % 3 > 0), other).otherwise(F.col("joint")))
+    pred, ref = (renamed(d) for d in exact_pair(spark, sf))
+    lost = (F.col("joint") == D.BODY20[4]) & (F.col("trial") % 3 == 1)
+    pred = pred.select("trial", "t", "joint", *[F.when(lost, 0.0).otherwise(F.col(c)).alias(c) for c in "xyz"])
+    t, _ = jobs.frame_accuracy(pred, ref, pred_axes="forward_left_up", missing="triplet")
+    return t.select("trial", "n_frames", r6("mpjpe"), "status")
+
+
+@query("job_2_trc_file", ["f1", "sc"],
+       f"WITH m AS (SELECT trial, frame, joint marker, x, z FROM f1 WHERE k > 0 UNION ALL {_MID}) SELECT trial::VARCHAR trial, frame, marker, round(frame/60.0,6) t, round(x*s,5)+0.0 x, round(z*s,5)+0.0 z FROM m JOIN sc USING (trial)")
+def _(spark, sf):
+    _, m = jobs.metric_scaling(trial_frames(spark, sf), Q.heights(spark, sf), D.BODY20, ["nose", "neck"], FEET)
+    path = scratch_path(spark, "trc")
+    jobs.write_markers(m, path, 60.0)
+    _, rows, _ = trc.read_trc(spark, path)
+    return rows.select("trial", "frame", "marker", r6("t"), (F.col("x") + 0.0).alias("x"), (F.col("z") + 0.0).alias("z"))
+
+
+@query("job_5_trc_file", ["f8"], sql_mocap("250.0::DOUBLE", {250.0: 6.0}).replace("SELECT trial,", "SELECT trial::VARCHAR AS trial,", 1))
+def _(spark, sf):
+    d = labelled(spark, sf)
+    m, _ = jobs.downsample_mocap(d, d.select("trial", "pos", "marker").distinct(), D.MOCAP_KEEP, 250.0, 100.0)
+    path = scratch_path(spark, "trc")
+    # four digits in the file's millimetres
+    trc.write_trc(m, path, 100.0, source_rate=250.0, digits=4)
+    _, rows, _ = trc.read_trc(spark, path)
+    return rows.where("x is not null").select("trial", "frame", r6("t"), "marker", *[(F.col(c) + 0.0).alias(c) for c in "xyz"])
+
+
+@query("job_6_report_files", ["f1"],
+       "SELECT trial, n_frames, 20::BIGINT n_joints, 20*n_frames n_rows, round(1+trial/10.0,6) s, 0.0::DOUBLE pa_mpjpe, 'ok' status FROM "
+       "(SELECT trial, ceil((count(DISTINCT frame)-1)/60.0*100 - 1e-9)::BIGINT n_frames FROM f1 GROUP BY trial)")
+def _(spark, sf):
+    path = scratch_path(spark, "accuracy")
+    trials, joints, aligned = jobs.trial_accuracy(*exact_pair(spark, sf), 20)
+    jobs.write_accuracy(trials, joints, path, aligned)
+    rows = spark.read.parquet(f"{path}/series").groupBy(F.col("trial").cast("long").alias("trial")).agg(F.count(F.lit(1)).alias("n_rows"))
+    report = spark.read.json(f"{path}/report")
+    n = sum((F.col(f"per_joint_mpjpe.{j}").isNotNull().cast("long") for j in D.BODY20), F.lit(0).cast("long"))
+    return report.join(rows, "trial").select("trial", "n_frames", n.alias("n_joints"), "n_rows", r6("s"), r6("pa_mpjpe"), "status")
+
+
 @query("job_8_enhanced_accuracy", ["f1"],
        "SELECT trial, round(1+trial/10.0,6) s, 0.0::DOUBLE mpjpe, 0.0::DOUBLE rmse FROM f1 GROUP BY trial")
 def _(spark, sf):
@@ -290,16 +341,29 @@ def _(spark, sf):
     return d.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_2_quality_windows", ["f4"],
+_WINDOWS = (
        "WITH f AS (SELECT trial, frame, count(*) n, sum(mean_score) s FROM f4 GROUP BY ALL), c AS (SELECT trial, frame, n, s FROM f) "
        "SELECT (epoch_us(TIMESTAMP '2024-01-01') + (frame // 60) * 1000000)//1000000 AS start_s, trial::VARCHAR trial_id, count(*) frames, sum(n)::BIGINT persons, round(sum(s)/sum(n),6) mean_score, 0.0::DOUBLE empty_share FROM c GROUP BY frame // 60, trial")
-def _(spark, sf):
-    # the batch twin of the streaming aggregate over the same records
-    d = live.with_event_time(X.persons(spark, sf), "2024-01-01 00:00:00")
-    w = live.quality_windows(d, "1 second")
+
+
+def window_columns(w):
     return w.select(F.unix_seconds("start").alias("start_s"), "trial_id", "frames", "persons", r6("mean_score"), r6("empty_share"))
 
 
+@query("str_2_quality_windows", ["f4"], _WINDOWS)
+def _(spark, sf):
+    # a drained stream: repeated frames are dropped, windows are emitted as they close
+    path = frame_folder(spark, sf)
+    live.write_end_of_session(spark, path)
+    return window_columns(drained(spark, live.closed_windows(live.live_frames(spark, path, lateness="1 hour"), "1 second")))
+
+
+@query("str_2_windows_of_table", ["f4"], _WINDOWS)
+def _(spark, sf):
+    # the same aggregate over a table
+    return window_columns(live.quality_windows(live.with_event_time(X.persons(spark, sf), "2024-01-01 00:00:00"), "1 second"))
+
+
 @query("str_3_keyed_smoothing", ["f4"],
        "WITH l AS (SELECT trial, person, list(1000*e[1] ORDER BY frame) xs, list(e[11] ORDER BY frame) bs, list(frame ORDER BY frame) fs FROM f4 GROUP BY ALL) "
        "SELECT trial, person, f AS frame, round(y,6)+0.0 tx, round(b,6)+0.0 x1 FROM (SELECT trial, person, unnest(fs) f, unnest(bs) b, unnest(list_transform(range(1, len(xs)+1), "

@@ -167,6 +167,19 @@ def _(spark, sf):
     return d.select("trial", r6("subject.height_m", "height_m"), F.size("missing").alias("n_missing"))
 
 
+@query("src_10_meta_documents", None,
+       "SELECT n_nationkey::VARCHAR trial, CASE WHEN n_nationkey%7<>0 THEN round(1.5+n_nationkey/100.0,6) END height_m, CASE WHEN n_nationkey%7=0 THEN 'height_m,mass_kg' ELSE 'mass_kg' END missing FROM nation")
+def _(spark, sf):
+    # one indented document per file
+    k = F.col("n_nationkey")
+    doc = F.struct(k.cast("string").alias("trial"), F.array("n_name").alias("keypoint_names"), F.struct(
+        k.cast("string").alias("id"), F.when(k % 7 != 0, 1.5 + k / 100.0).alias("height_m"), F.lit(-1.0).alias("mass_kg")).alias("subject"))
+    path = scratch_path(spark, "documents")
+    X.table(spark, sf, "nation").select(k, F.to_json(doc, {"pretty": "true"}).alias("value")).write.partitionBy("n_nationkey").text(path)
+    d = tables.check_meta(tables.read_meta(spark, path))
+    return d.select("trial", r6("subject.height_m", "height_m"), F.array_join("missing", ",").alias("missing"))
+
+
 @query("src_18_meta_once", None, "SELECT concat('cam', c_custkey%3) calibration, 1::BIGINT n FROM customer GROUP BY 1")
 def _(spark, sf):
     path = scratch_path(spark, "meta")

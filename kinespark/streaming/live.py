@@ -41,6 +41,21 @@ def quality_windows(d: DataFrame, length: str = "10 seconds") -> DataFrame:
                     F.when(F.col("persons") > 0, F.col("_s") / F.col("persons")).alias("mean_score"), share.alias("empty_share"))
 
 
+def closed_windows(frames: DataFrame, length: str = "10 seconds") -> DataFrame:
+    """:func:`quality_windows` of a stream of :func:`live_frames`: each window comes out once,
+    when the watermark has passed it; frames behind the watermark are left out and counted
+    (see :func:`run_to_table`). The window of the record that ends a session stays open."""
+    return quality_windows(frames, length)
+
+
+def write_end_of_session(spark: SparkSession, path: str) -> None:
+    """A last record without a trial, later than any other, in a folder of frame records: it
+    moves the watermark past all of them."""
+    seconds = F.unix_seconds(F.lit(END).cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    row = spark.range(1).select(F.lit("").alias("trial_id"), F.lit(-1).cast("long").alias("frame_index"), seconds.cast("double").alias("time_sec"))
+    row.write.mode("append").json(path)
+
+
 OUTPUT = "person long, frame long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double"
 STATE = "seen long, tx double, ty double, tz double, x1 double, y1 double, x2 double, y2 double, held binary"
 #: Event time of the row that ends a session: later than any record.

@@ -1,9 +1,11 @@
 """Trials without calibration stay in the results of the jobs, with a status."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from kinespark.operators import names, select
+from kinespark.operators import frames, names, select
 from kinespark.plans import jobs
+from kinespark.streaming import live
 
 EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -43,3 +45,30 @@ def test_support_counts_padding_and_guess(spark):
     named = spark.createDataFrame([("a", 4, "Left-Hip")], "trial string, idx int, name string")
     got = {tuple(r) for r in names.side_index_or_guess(layouts, named, "left", "hip").collect()}
     assert got == {("a", 4, False), ("b", 11, True), ("c", None, False)}
+
+
+def test_anchor_by_support(spark):
+    rows = []
+    for f in range(4):
+        rows += [("a", f, "left_hip", 1.0 if f else None), ("a", f, "right_hip", 3.0), ("a", f, "l.asis", 0.0), ("a", f, "r.asis", 4.0 if f > 2 else None), ("a", f, "k", 5.0)]
+        rows += [("b", f, "l.asis", 1.0), ("b", f, "r.asis", 2.0), ("b", f, "k", 5.0), ("c", f, "k", 5.0), ("c", f, "m", 6.0)]
+    d = spark.createDataFrame([(*r, r[3], r[3]) for r in rows], "trial string, i int, joint string, x double, y double, z double")
+    out = frames.center_by_support(d, ["trial"], ["trial", "i"], [("left_hip", "right_hip"), ("l.asis", "r.asis")])
+    got = {(r.trial, r.i): r.x for r in out.where("joint = 'k'").collect()}
+    assert got == {**{("a", f): 3.0 if f else None for f in range(4)}, **{("b", f): 3.5 for f in range(4)}, **{("c", f): -0.5 for f in range(4)}}
+    assert out.count() == len(rows)
+
+
+@pytest.mark.parametrize("files", [1, 8])
+def test_windows_close_alike(spark, tmp_path, files):
+    """The same windows whatever the number of files a trigger takes; the last one is closed by the end record."""
+    d = spark.range(240).select(F.concat(F.lit("t"), F.col("id") % 2).alias("trial_id"), F.col("id").alias("frame_index"), (F.col("id") / 60).alias("time_sec"),
+                                F.array(F.struct((F.col("id") % 5).cast("double").alias("mean_score"))).alias("persons"))
+    path = str(tmp_path / "in")
+    d.unionByName(d.where("id % 10 = 0") if "id" in d.columns else d.where("frame_index % 10 = 0")).repartition(8, "frame_index").write.json(path)
+    live.write_end_of_session(spark, path)
+    s = live.closed_windows(live.live_frames(spark, path, lateness="1 hour", max_files=files), "1 second")
+    live.run_to_table(s, str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = sorted((r.trial_id, r.frames, round(r.mean_score, 9), r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    whole = live.quality_windows(live.with_event_time(d, "2024-01-01 00:00:00"), "1 second").collect()
+    assert got == sorted((r.trial_id, r.frames, round(r.mean_score, 9), r.start) for r in whole) and len(got) == 8
