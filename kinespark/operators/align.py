@@ -143,19 +143,25 @@ def affine_3d_to_2d(
     df: DataFrame, keys: Sequence[str], a: Sequence[str] = PRED, b: Sequence[str] = ("u", "v")
 ) -> DataFrame:
     """Least-squares affine map of 3D points to pixels: M (4x2, row order);
-    needs four complete points."""
+    needs four complete points. The normal equations are set up in covariances, which
+    Spark merges centred, so that points far from the origin lose no digits."""
     whole = F.lit(True)
     for c in [*a, *b]:
         whole = whole & F.col(c).isNotNull()
-    one = [*[F.col(c) for c in a], F.lit(1.0)]
+    x = [F.col(c) for c in a]
     sums = df.where(whole).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(one[i] * one[j]).alias(f"s{i}{j}") for i in range(4) for j in range(i, 4)],
-        *[F.sum(one[i] * F.col(q)).alias(f"r{i}{j}") for i in range(4) for j, q in enumerate(b)],
+        *[F.covar_pop(x[i], x[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)],
+        *[F.covar_pop(x[i], F.col(q)).alias(f"r{i}{j}") for i in range(3) for j, q in enumerate(b)],
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.avg(q).alias(f"q{j}") for j, q in enumerate(b)],
     ).where("n >= 4")
-    lhs = [F.col(f"s{min(i, j)}{max(i, j)}") for i in range(4) for j in range(4)]
-    rhs = [F.col(f"r{i}{j}") for i in range(4) for j in range(2)]
-    return sums.select(*keys, "n", solve_normal_4x2(F.array(*lhs, *rhs)).alias("M"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    lhs = [F.col(f"s{min(i, j)}{max(i, j)}") if max(i, j) < 3 else (one if i == j else zero) for i in range(4) for j in range(4)]
+    rhs = [F.col(f"r{i}{j}") if i < 3 else zero for i in range(4) for j in range(2)]
+    fit = sums.withColumn("_M", solve_normal_4x2(F.array(*lhs, *rhs)))
+    # the last row puts the centre of the points onto the centre of the pixels
+    shift = [F.col(f"q{j}") - sum((F.col(f"m{i}") * F.col("_M")[2 * i + j] for i in range(3)), F.lit(0.0)) for j in range(2)]
+    return fit.select(*keys, "n", F.when(F.col("_M").isNotNull(), F.concat(F.slice("_M", 1, 6), F.array(*shift))).alias("M"))
 
 
 def apply_affine(df: DataFrame, fits: DataFrame, keys: Sequence[str], coords: Sequence[str] = PRED) -> DataFrame:

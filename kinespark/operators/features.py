@@ -31,7 +31,7 @@ def marker_names(version: str, part: str, kind: str) -> list[str]:
 def wide_matrix(df: DataFrame, keys: Sequence[str], order: DataFrame) -> DataFrame:
     """Long (keys, marker, x, y, z) to one row per frame with a flat ``f`` array
     in the given order; frames that lack a marker are dropped."""
-    n = order.count()
+    n = order.agg(F.count(F.lit(1))).scalar()
     d = df.join(order, "marker")
     pts = F.array_sort(F.collect_list(F.struct("ord", "x", "y", "z")))
     d = d.groupBy(*keys).agg(pts.alias("_p")).where(F.size("_p") == n)

@@ -85,12 +85,17 @@ def _(spark, sf):
                     r6(F.col("xyz")[19][2], "z19"), r6("mean_score", "s"))
 
 
-@query("sca_28_point_forms", ["f4"], "SELECT trial, count(*) n FROM f4 WHERE frame%4 IN (1,2) GROUP BY trial")
+@query("sca_28_point_forms", ["f4i"],
+       "SELECT trial, frame AS frame_index, idx::INTEGER person, k, round(480+400*e[3*k+1],6) u, round(270+400*e[3*k+2],6) v, CASE WHEN frame%4<3 THEN round(1000*e[3*k+1],6)+0.0 END x, "
+       "CASE WHEN frame%4<3 THEN round(1000*e[3*k+3],6)+0.0 END z FROM f4i, range(20) r(k) WHERE frame%4<3 OR idx=0")
 def _(spark, sf):
     path = scratch_path(spark, "variants")
     variant_lines(spark, sf).write.text(path)
-    d = jsonl.read_any_frames(spark, path).where("frame_index % 4 in (1, 2) and size(xyz) = 20")
-    return d.groupBy(F.col("trial_id").cast("long").alias("trial")).agg(F.count(F.lit(1)).alias("n"))
+    # pairs and triples, objects of lists, flat lists, and frames with 2D points only
+    d = jsonl.read_any_frames(spark, path)
+    d = d.select(F.col("trial_id").cast("long").alias("trial"), "frame_index", "person", F.posexplode(F.arrays_zip("xy", F.coalesce("xyz", F.array().cast("array<array<double>>")).alias("xyz"))).alias("k", "p"))
+    return d.select("trial", "frame_index", "person", F.col("k").cast("long").alias("k"), r6(F.col("p.xy")[0], "u"), r6(F.col("p.xy")[1], "v"),
+                    r6(F.col("p.xyz")[0], "x"), r6(F.col("p.xyz")[2], "z"))
 
 
 def trc_rows(spark, sf):
@@ -141,10 +146,13 @@ def _(spark, sf):
 
 
 @query("src_9_trc_lines", ["f1"],
-       "SELECT trial, frame + 6 pos, concat(frame+1, chr(9), printf('%.8f', frame/60.0), chr(9), string_agg(CASE WHEN " + _GAP +
+       "WITH n AS (SELECT trial, (max(frame)+1)::VARCHAR f FROM f1 GROUP BY trial), h AS (SELECT trial, unnest(range(6)) pos, unnest([concat('PathFileType', chr(9), '4', chr(9), '(X/Y/Z)', chr(9), trial, '.trc'), "
+       "'" + "\t".join(trc.HEADER_FIELDS) + "', concat('60.0', chr(9), '60.0', chr(9), f, chr(9), '20', chr(9), 'mm', chr(9), '60.0', chr(9), '1', chr(9), f), "
+       "'Frame#\tTime\t" + "\t\t\t".join(D.BODY20) + "\t\t\t', '\t" + "\t".join(f"{c}{i}" for i in range(1, 21) for c in "XYZ") + "', '']) line FROM n) "
+       "SELECT trial, pos, line FROM h UNION ALL SELECT trial, frame + 6 pos, concat(frame+1, chr(9), printf('%.8f', frame/60.0), chr(9), string_agg(CASE WHEN " + _GAP +
        " THEN concat(printf('%.5f',x), chr(9), printf('%.5f',y), chr(9), printf('%.5f',z)) ELSE concat(chr(9), chr(9)) END, chr(9) ORDER BY k)) line FROM f1 GROUP BY trial, frame")
 def _(spark, sf):
-    return trc.trc_lines(trc_rows(spark, sf), 60.0, D.BODY20).where("pos >= 6")
+    return trc.trc_lines(trc_rows(spark, sf), 60.0, D.BODY20)
 
 
 def meta_rows(spark, sf):
