@@ -1,13 +1,14 @@
 """Marker trajectories as TRC text.
 
 Files are read line by line, so a file may be split over many tasks. A line's
-place is (file, split offset, running id); the header lies in the first split of
-a trial's first file. A trial may be one file or a folder of ordered parts.
+place is (file, split offset, running id). The strict scan finds the header in the
+first split of a trial's first file, the tolerant one anywhere. A trial may be one file or a folder of ordered parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,15 +72,20 @@ def trc_lines(
     return head.select("trial", F.col("pos").cast("long").alias("pos"), "line").unionByName(d)
 
 
-def _numbered(spark: SparkSession, path: str, trial: str) -> DataFrame:
-    """trial, value, pos (order of the line), no (line number in the first split)."""
+def _lines(spark: SparkSession, path: str, trial: str) -> DataFrame:
+    """trial, value, pos (order of the line: file, split offset, running id)."""
     raw = spark.read.text(path)
     name = F.col(trial).cast("string") if trial in raw.columns else F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1)
-    raw = raw.select(
+    return raw.select(
         name.alias("trial"), "value",
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("id")).alias("pos"),
     )
+
+
+def _numbered(spark: SparkSession, path: str, trial: str) -> DataFrame:
+    """trial, value, pos, no (line number in the first split)."""
+    raw = _lines(spark, path, trial)
     first = raw.groupBy("trial").agg(F.min("pos").alias("_first"))
     same = (F.col("pos.file") == F.col("_first.file")) & (F.col("pos.block") == F.col("_first.block"))
     return raw.join(first, "trial").select("trial", "value", "pos", F.when(same, F.col("pos.id") - F.col("_first.id")).alias("no"))
@@ -126,29 +132,28 @@ def read_trc(spark: SparkSession, path: str, trial: str = "trial") -> tuple[Data
 def read_any_trc(
     spark: SparkSession, path: str, trial: str = "trial", zero_as_missing: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Tolerant scan: (header, markers in metres). The name line is the first of the
-    file's first split with Frame and Time fields, units and rate go by column name
-    above it; unreadable cells are missing and data end at the first line that is
-    not numeric. The header has a row for every trial: ``status`` is ``no names``
-    for one without a name line, which has no markers."""
-    d = _numbered(spark, path, trial)
-    is_names = F.col("value").rlike(r"(?i)\bFrame\b") & F.col("value").rlike(r"(?i)\bTime\b")
-    where = d.groupBy("trial").agg(F.min(F.when(is_names, F.col("no"))).alias("_h"))
-    lost = where.where("_h is null").select("trial", F.lit("no names").alias("status"))
-    d = d.join(where.where("_h is not null"), "trial")
-    lines = d.where("no <= _h").groupBy("trial").agg(
-        F.max("_h").alias("_h"), F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda s: s["value"]).alias("_l"))
+    """Tolerant scan: (header, markers in metres). The name line is the first line with
+    Frame and Time fields, on whatever line and in whatever split; units and rate go
+    by column name in the first Units line above it; unreadable cells are missing and
+    data end at the first line that is not numeric. The header has a row for every
+    trial: ``status`` is ``no names`` for one without a name line, which has no markers."""
+    d = _lines(spark, path, trial)
+    has = lambda *words: reduce(lambda x, y: x & y, [F.col("value").rlike(rf"(?i)\b{w}\b") for w in words])
+    at = d.groupBy("trial").agg(F.min(F.when(has("Frame", "Time"), F.col("pos"))).alias("_h"), F.min(F.when(has("Units"), F.col("pos"))).alias("_u"))
+    lost = at.where("_h is null").select("trial", F.lit("no names").alias("status"))
+    d = d.join(at.where("_h is not null").select("trial", "_h", F.when(F.col("_u") < F.col("_h"), F.col("_u")).alias("_u")), "trial")
+    # the lines themselves, and the ones right behind them
+    line = lambda c: F.max(F.when(F.col("pos") == F.col(c), F.col("value")))
+    after = lambda c: F.min(F.when(F.col("pos") > F.col(c), F.struct("pos", "value")))
+    lines = d.groupBy("trial").agg(line("_h").alias("_names"), line("_u").alias("_fields"), after("_u")["value"].alias("_values"), after("_h")["pos"].alias("_s"))
     cols = lambda c: F.filter(F.split(c, "[\\s,]+"), lambda s: s != "")
-    i = F.array_position(F.transform("_l", lambda s: s.rlike(r"(?i)\bUnits\b")), True).cast("int")
-    lines = lines.withColumn("_i", i)
-    keys = F.transform(cols(F.get("_l", F.col("_i") - 1)), lambda s: F.lower(s))
-    lines = lines.select("trial", "_h", "_l", keys.alias("_k"), cols(F.get("_l", F.col("_i"))).alias("_v"))
+    lines = lines.select("trial", "_names", "_s", F.transform(cols(F.col("_fields")), lambda s: F.lower(s)).alias("_k"), cols(F.col("_values")).alias("_v"))
     field = lambda n: F.when(F.array_position("_k", n) > 0, F.get("_v", (F.array_position("_k", n) - 1).cast("int")))
     header = lines.select(
-        "trial", "_h", F.lower(F.coalesce(field("units"), F.lit("m"))).alias("units"),
-        field("datarate").try_cast("double").alias("data_rate"), _names(F.element_at("_l", -1)).alias("markers"),
+        "trial", "_s", F.lower(F.coalesce(field("units"), F.lit("m"))).alias("units"),
+        field("datarate").try_cast("double").alias("data_rate"), _names(F.col("_names")).alias("markers"),
     )
-    body = d.drop("_h").join(header, "trial").where("no is null or no > _h + 1").where(F.trim("value") != "")
+    body = d.drop("_h", "_u").join(header, "trial").where(F.col("pos") > F.col("_s")).where(F.trim("value") != "")
     tabbed = F.split("value", "\t")
     body = body.withColumn("cells", F.when(F.col("value").contains("\t"), tabbed).otherwise(cols(F.col("value"))))
     num = lambda k: F.get("cells", F.lit(k)).try_cast("double")
@@ -163,7 +168,7 @@ def read_any_trc(
         rows = drop_zeros(rows, mode=zero_as_missing)
     mm = F.col("units").contains("mm")
     rows = rows.select("trial", "frame", "t", "marker", *[F.when(mm, F.col(c) * (1.0 / 1000.0)).otherwise(F.col(c)).alias(c) for c in "xyz"])
-    found = header.drop("_h").withColumn("status", F.lit("ok"))
+    found = header.drop("_s").withColumn("status", F.lit("ok"))
     return found.unionByName(lost, allowMissingColumns=True), rows
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kinespark.operators import frames, names, select
 from kinespark.plans import jobs
+from kinespark.sources import trc
 from kinespark.streaming import live
 
 EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
@@ -72,3 +73,23 @@ def test_windows_close_alike(spark, tmp_path, files):
     got = sorted((r.trial_id, r.frames, round(r.mean_score, 9), r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     whole = live.quality_windows(live.with_event_time(d, "2024-01-01 00:00:00"), "1 second").collect()
     assert got == sorted((r.trial_id, r.frames, round(r.mean_score, 9), r.start) for r in whole) and len(got) == 8
+
+
+def test_trc_names_beyond_the_first_split(spark, tmp_path):
+    """A long preamble: the name line lies in a later split than the file's first line."""
+    head = [f"note {i} " + "x" * 90 for i in range(30)] + ["DataRate\tUnits", "60\tmm", "Frame#\tTime\tA\t\t\tB", "\tX1\tY1\tZ1\tX2\tY2\tZ2", ""]
+    body = [f"{i + 1}\t{i / 60}\t{i}\t2\t3\t4\t5\t6" for i in range(40)]
+    (tmp_path / "long.trc").write_text("\n".join(head + body + ["end of data", "99\t1\t1\t1\t1\t1\t1\t1"]))
+    (tmp_path / "none.trc").write_text("nothing here\n1\t2\t3")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        header, rows = trc.read_any_trc(spark, str(tmp_path))
+        got = {r.trial: (r.status, r.units, r.data_rate, r.markers) for r in header.collect()}
+        assert got == {"long": ("ok", "mm", 60.0, ["A", "B"]), "none": ("no names", None, None, None)}
+        out = sorted((r.frame, r.marker, round(r.x, 9)) for r in rows.collect())
+        assert out == sorted((i + 1, m, i / 1000 if m == "a" else 0.004) for i in range(40) for m in ("a", "b"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
