@@ -150,6 +150,16 @@ def synthetic_intrinsics(width: Column, height: Column, focal: Column | None = N
     return F.array(f, z, width * 0.5, z, f, height * 0.5, z, z, one)
 
 
+def synthetic_calibration(sizes: DataFrame, focal: float | None = None) -> DataFrame:
+    """A calibration for trials that have none: (trial, width, height) with a centred camera of
+    the given focal length in pixels (the longer side by default), no distortion, and
+    identity extrinsics."""
+    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
+    eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    k = synthetic_intrinsics(F.col("width"), F.col("height"), None if focal is None else F.lit(float(focal)))
+    return sizes.select("trial", k.alias("K"), zeros(5).alias("dist"), eye.alias("R"), zeros(3).alias("t"), "width", "height")
+
+
 def translation_mm(t: Column, unit: Column | None = None, below: float = 5.0) -> Column:
     """Translation in millimetres: by its unit when known, else metres are
     assumed for norms under ``below``."""

@@ -369,14 +369,18 @@ def projection_audit(
     markers: DataFrame, video_times: DataFrame, calib: DataFrame, to_video: DataFrame | None = None, time_offset: float = 0.0,
     yaw_deg: float = 0.0, rotation_only: bool = False, invert_to_video: bool = False, ignore_distortion: bool = False,
     translation_is_center: bool = False, invert_camera: bool = False, nudge_mm: Sequence[float] = (0.0, 0.0, 0.0),
-    block_s: float = series.SECONDS_PER_BLOCK,
+    mode: str = "perspective", block_s: float = series.SECONDS_PER_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, trials): markers at the video times projected into the image, and
     per trial the share inside it with depth diagnostics; every trial of ``markers``
     has a row, with status and reason.
 
     ``markers``: trial, t, marker, x, y, z in millimetres; ``video_times``: trial,
-    frame, t; ``to_video``: trial, R, t (identity where absent)."""
+    frame, t; ``to_video``: trial, R, t (identity where absent). ``mode`` may be
+    ``orthographic``: x and y about the frame's centroid, with the camera left out.
+    Trials without a calibration can get one from :func:`camera.synthetic_calibration`."""
+    if mode not in ("perspective", "orthographic"):
+        raise ValueError(f"unknown mode {mode!r}")
     who = markers.select("trial", "marker").distinct()
     grid = video_times.join(who, "trial").select("trial", "marker", "frame", (F.col("t") + time_offset).alias("t"))
     p = resample.interpolate(markers, grid, ["trial", "marker"], list(XYZ), outside="clamp", min_samples=1, block_s=block_s)
@@ -398,14 +402,18 @@ def projection_audit(
     if invert_camera:
         k = k.drop("R", "t").join(camera.invert_calibration(k), "trial")
     k = k.withColumn("t", F.array(*[F.col("t")[i] + float(v) for i, v in enumerate(nudge_mm)]))
-    q = camera.project(camera.to_camera(p, k), k, distortion=not ignore_distortion)
+    if mode == "perspective":
+        q = camera.project(camera.to_camera(p, k), k, distortion=not ignore_distortion)
+    else:
+        flat = frames.center_on_centroid(p.select("*", *[F.col(c).alias(f"_{c}") for c in "xy"]), ["trial", "frame"], ("_x", "_y"))
+        q = flat.withColumns({f"c{c}": F.lit(None).cast("double") for c in XYZ}).withColumnsRenamed({"_x": "pu", "_y": "pv"})
     q = q.join(k.select("trial", "width", "height"), "trial", "left")
     q = q.withColumn("inside", overlay.in_frame(F.col("pu"), F.col("pv"), F.col("width"), F.col("height"))).drop("width", "height")
     share = q.groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"))
     report = share.join(camera.depth_report(q.where("cz is not null"), ["trial"]), "trial", "left")
     known = calib.select("trial").distinct().withColumn("_cal", F.lit(True))
     report = markers.select("trial").distinct().join(report, "trial", "left").join(known, "trial", "left")
-    reason = F.when(F.col("_cal").isNull(), "no calibration").when(F.col("n").isNull(), "no video times").when(F.col("median_z").isNull(), "no marker at the video times")
+    reason = F.when(F.col("_cal").isNull(), "no calibration").when(F.col("n").isNull(), "no video times").when(F.lit(mode == "perspective") & F.col("median_z").isNull(), "no marker at the video times")
     return q, report.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed")).drop("_cal")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import dims as D
 from kinespark.functions.dims import literal_table
-from kinespark.operators import names, quality
+from kinespark.operators import camera, names, quality
 from kinespark.plans import fixtures as X
 from kinespark.plans import jobs
 from kinespark.plans import q_geometry as Q
@@ -82,7 +82,6 @@ def _(spark, sf):
 def placed_points(spark, sf):
     cal = Q.calibrations(spark, sf)
     d = Q.in_camera(spark, sf)
-    from kinespark.operators import camera
     d = camera.project(d, cal, distortion=False)
     return d.select("trial", "frame", F.lit(0).alias("person"), "k", "x", "y", "z", F.col("pu").alias("u"), F.col("pv").alias("v"),
                     F.when(F.col("k") % 5 == 4, 0.1).otherwise(0.9).alias("score"))
@@ -302,6 +301,30 @@ def _(spark, sf):
     return t.select("trial", "n", "n_inside", r6("median_z"), r6("min_pu"), r6("max_pv"))
 
 
+def audit_inputs(spark, sf):
+    d = X.pose_long(spark, sf).select("trial", "t", F.col("joint").alias("marker"), "x", "y", "z")
+    return d, X.vectors(spark, sf).select("trial", "frame", (F.col("frame") / 60.0).alias("t"))
+
+
+@query("job_11_orthographic", ["f1"],
+       "SELECT trial, count(*) n, count(*) FILTER (u>=0 AND u<960 AND v>=0 AND v<540) n_inside, round(min(u),6) min_pu, round(max(v),6) max_pv, 'ok' status FROM "
+       "(SELECT trial, x - avg(x) OVER w u, y - avg(y) OVER w v FROM f1 WINDOW w AS (PARTITION BY trial, frame)) GROUP BY trial")
+def _(spark, sf):
+    q, t = jobs.projection_audit(*audit_inputs(spark, sf), Q.calibrations(spark, sf), mode="orthographic")
+    ends = q.groupBy("trial").agg(r6(F.min("pu"), "min_pu"), r6(F.max("pv"), "max_pv"))
+    return t.select("trial", "n", "n_inside", "status").join(ends, "trial")
+
+
+@query("job_11_given_focal", ["f1"],
+       "SELECT trial, count(*) n, count(*) FILTER (u>=0 AND u<960 AND v>=0 AND v<540) n_inside, round(median(d),6) median_z, round(min(u),6) min_pu, round(max(v),6) max_pv, 'ok' status FROM "
+       "(SELECT trial, z+3000 d, 700*x/(z+3000)+480 u, 700*y/(z+3000)+270 v FROM f1) GROUP BY trial")
+def _(spark, sf):
+    # no calibration: a centred camera of 700 pixels, three metres away
+    sizes = X.vectors(spark, sf).select("trial").distinct().withColumns({"width": F.lit(960), "height": F.lit(540)})
+    _, t = jobs.projection_audit(*audit_inputs(spark, sf), camera.synthetic_calibration(sizes, 700.0), nudge_mm=(0.0, 0.0, 3000.0))
+    return t.select("trial", "n", "n_inside", r6("median_z"), r6("min_pu"), r6("max_pv"), "status")
+
+
 @query("job_12_overlay_geometry", ["f5"],
        M.sql_segments(959, 539, 4))
 def _(spark, sf):
