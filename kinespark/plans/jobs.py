@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinespark.functions import dims, text
 from kinespark.functions import geometry as G
-from kinespark.functions import text
 from kinespark.operators import (
     align, camera, errors, frames, names, overlay, quality, resample, scale, select, series, smooth, timealign, tracking,
 )
@@ -157,6 +157,46 @@ def downsample_mocap(
 
 
 # ------------------------------------------------------------------ accuracy
+def predicted_joints(
+    frames_df: DataFrame, joint_names: Sequence[str], joint_set: str = "basic", person_index: int = 0, min_mean_score: float = 0.0,
+    allow_raw: bool = False, prefer_raw: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(joints, sources): trial, t, joint, x, y, z of the chosen person, and how many frames of
+    each trial came from which source.
+
+    ``frames_df``: trial, frame, t, persons (keypoints_xyz, keypoints_xyz_mm,
+    keypoints_xyz_units, mean_score). Points come from the best accepted source
+    (:func:`select.pick_source`); frames without one, with a malformed one or a low
+    score count as source ``none`` and give no joints. ``joint_set`` is ``basic`` or
+    ``body20`` (with neck and mid_hip made from the sides)."""
+    p = select.choose_person(F.col("persons"), person_index)
+    d = frames_df.select("trial", "frame", "t", p.alias("p")).withColumn("s", select.pick_source(F.col("p"), allow_raw, prefer_raw))
+    good = (F.coalesce(F.col("p.mean_score"), F.lit(1.0)) >= min_mean_score) & select.well_formed(F.col("s.kp"), len(joint_names))
+    d = materialise(d.select("trial", "frame", "t", F.when(good, F.col("s")).alias("s")), "sources")
+    sources = d.groupBy("trial", F.coalesce("s.source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("frames"))
+    labels = F.array(*[F.lit(j) for j in joint_names])
+    kp = F.zip_with("s.kp", labels, lambda q, j: F.struct(j.alias("joint"), *[q[i].alias(c) for i, c in enumerate(XYZ)]))
+    long = d.where("s is not null").select("trial", "frame", "t", F.inline(kp))
+    return _joint_set(long, joint_set, names.body20_from_keypoints, lambda x: x.where(F.col("joint").isin(list(dims.BASIC_ALIASES)))), sources
+
+
+def mocap_joints(markers: DataFrame, joint_set: str = "basic", joint_centers: bool = False) -> DataFrame:
+    """trial, t, joint, x, y, z from markers (trial, frame, t, marker, x, y, z). With
+    ``joint_centers`` knees and ankles are midpoints of their medial and lateral
+    markers in trials that have both."""
+    centers = dims.MEDIAL_LATERAL if joint_centers else None
+    return _joint_set(markers, joint_set, lambda m: names.assemble_body20(m, dims.BODY20_SINGLE, dims.BODY20_PAIRS),
+                      lambda m: names.basic_joints(m, dims.BASIC_ALIASES, centers))
+
+
+def _joint_set(d: DataFrame, joint_set: str, body20, basic) -> DataFrame:
+    if joint_set not in ("basic", "body20"):
+        raise ValueError(f"unknown joint set {joint_set!r}")
+    times = d.groupBy("trial", "frame").agg(F.min("t").alias("t"))
+    made = (basic if joint_set == "basic" else body20)(d.drop("t"))
+    return made.join(times, ["trial", "frame"]).select("trial", "t", "joint", *XYZ)
+
+
 def _align_in_time(
     pred: DataFrame, ref: DataFrame, eval_on: str, rate: float, block_s: float
 ) -> DataFrame:
@@ -450,6 +490,6 @@ def plan_crops(
 
 __all__ = [
     "harmonise_subjects", "metric_scaling", "absolute_placement", "canonicalise", "downsample_mocap", "trial_accuracy",
-    "frame_accuracy", "enhanced_accuracy", "still_phases", "model_readiness", "projection_audit", "overlay_geometry",
+    "frame_accuracy", "predicted_joints", "mocap_joints", "enhanced_accuracy", "still_phases", "model_readiness", "projection_audit", "overlay_geometry",
     "plan_crops", "write_markers", "write_accuracy", "with_rate",
 ]

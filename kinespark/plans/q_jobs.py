@@ -221,6 +221,39 @@ def _(spark, sf):
     return rows.where("x is not null").select("trial", "frame", r6("t"), "marker", *[(F.col(c) + 0.0).alias(c) for c in "xyz"])
 
 
+def sourced_frames(spark, sf):
+    """F1 as frames of two persons; the points are metric in even frames, tagged as millimetres in the others."""
+    xyz = F.transform("kp", lambda p: F.array(p["x"], p["y"], p["z"]))
+    even = F.col("frame") % 2 == 0
+    person = lambda pts, s: F.struct(F.when(~even, pts).alias("keypoints_xyz"), F.when(even, pts).alias("keypoints_xyz_mm"),
+                                     F.when(~even, "mm").alias("keypoints_xyz_units"), F.lit(s).alias("mean_score"))
+    worse = F.transform(xyz, lambda p: F.transform(p, lambda c: c * 3.0))
+    return X.pose_frames(spark, sf).select("trial", "frame", "t", F.array(person(worse, 0.2), person(xyz, 0.9)).alias("persons"))
+
+
+#: Mocap names of the basic joints; the left knee is seen by a medial and a lateral marker.
+_MOCAP = {"left_hip": "L_HJC", "right_hip": "R_HJC", "right_knee": "r_knee", "left_ankle": "L_ankle", "right_ankle": "r_ankle", "left_heel": "L_calc",
+          "right_heel": "r_calc", "left_big_toe": "L_toe", "right_big_toe": "r_toe"}
+
+
+def sourced_markers(spark, sf):
+    d = X.reference_exact(spark, sf).select("trial", "frame", "t", "joint", *[F.col(f"r{c}").alias(c) for c in "xyz"])
+    d = d.join(literal_table(spark, ["joint", "marker", "dx"], [(j, m, 0.0) for j, m in _MOCAP.items()] + [("left_knee", "L_knee_med", 40.0), ("left_knee", "L_knee_lat", -40.0)]), "joint")
+    return d.select("trial", "frame", "t", "marker", (F.col("x") + F.col("dx")).alias("x"), "y", "z")
+
+
+@query("job_6_from_frames", ["f1"],
+       "SELECT trial, ceil((n-1)/60.0*100 - 1e-9)::BIGINT n_frames, round(1+trial/10.0,6) s, 0.0::DOUBLE pa_mpjpe, 'ok' status, 10::BIGINT n_joints, ceil(n/2)::BIGINT metric, n//2 tagged "
+       "FROM (SELECT trial, count(DISTINCT frame) n FROM f1 GROUP BY trial)")
+def _(spark, sf):
+    pred, sources = jobs.predicted_joints(sourced_frames(spark, sf), D.BODY20, person_index=-1, min_mean_score=0.5)
+    t, j, _ = jobs.trial_accuracy(pred, jobs.mocap_joints(sourced_markers(spark, sf), joint_centers=True), 10)
+    n = j.where("mpjpe is not null").groupBy("trial").agg(F.count(F.lit(1)).alias("n_joints"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("source") == s, F.col("frames"))), F.lit(0))
+    seen = sources.groupBy("trial").agg(of("keypoints_xyz_mm").alias("metric"), of("keypoints_xyz (units=mm)").alias("tagged"))
+    return t.select("trial", "n_frames", r6("s"), r6("pa_mpjpe"), "status").join(n, "trial").join(seen, "trial")
+
+
 @query("job_6_report_files", ["f1"],
        "SELECT trial, n_frames, 20::BIGINT n_joints, 20*n_frames n_rows, round(1+trial/10.0,6) s, 0.0::DOUBLE pa_mpjpe, 'ok' status FROM "
        "(SELECT trial, ceil((count(DISTINCT frame)-1)/60.0*100 - 1e-9)::BIGINT n_frames FROM f1 GROUP BY trial)")
