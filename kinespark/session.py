@@ -56,9 +56,13 @@ def materialise(df, label: str):
 
 
 def discard(*frames) -> None:
-    """Remove the folders of materialised frames that nothing reads any more."""
+    """Remove the folders of materialised frames that nothing reads any more. Folders
+    outside the shared folder are left alone."""
     for df in frames:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path
+        home = jpath(shared_dir(spark)).toUri().getPath()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            if path.toString().startswith(shared_dir(df.sparkSession)) or path.toUri().getPath().startswith(shared_dir(df.sparkSession).removeprefix("file:").replace("//", "/")):
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            path = jpath(folder)
+            if path.toUri().getPath().startswith(home + "/"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

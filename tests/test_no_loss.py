@@ -1,8 +1,11 @@
 """Trials without calibration stay in the results of the jobs, with a status."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from kinespark import session
 from kinespark.operators import frames, names, select
 from kinespark.plans import jobs
 from kinespark.sources import trc
@@ -93,3 +96,11 @@ def test_trc_names_beyond_the_first_split(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_discard_removes_own_tables_only(spark, tmp_path):
+    d = session.materialise(spark.range(5), "gone")
+    folder = d.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    spark.range(5).write.parquet(str(tmp_path / "kept"))
+    session.discard(d, spark.read.parquet(str(tmp_path / "kept")))
+    assert not os.path.exists(folder) and os.path.exists(tmp_path / "kept")
