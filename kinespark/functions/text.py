@@ -94,9 +94,30 @@ def split_list(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int = 5) -> Column:
-    """Fixed-point text; empty when missing or not finite."""
+    """Fixed-point text; empty when missing or not finite.
+
+    The exact binary value is rounded, a tie to the even digit, as C and Python do;
+    ``format_string`` rounds the shortest decimal text, ties up. The fraction times the power
+    of ten is kept exactly, as a product and its error."""
+    split = lambda v: 134217729.0 * v - (134217729.0 * v - v)
+    ten = 10.0**digits
+    th = split(ten)
     bad = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    return F.when(bad, F.lit("")).otherwise(F.format_string(f"%.{digits}f", c))
+    size = F.abs(c)
+    whole = F.floor(size)
+    part = size - whole
+    ph = split(part)
+    p = part * ten
+    err = ((ph * th - p) + ph * (ten - th) + (part - ph) * th) + (part - ph) * (ten - th)
+    n = F.floor(p)
+    rest = p - n
+    up = (rest > 0.5) | ((rest == 0.5) & ((err > 0) | ((err == 0) & ((n if digits else whole) % 2 == 1))))
+    n = n + up.cast("long")
+    over = (n >= int(ten)).cast("long")
+    point = F.concat(F.lit("."), F.lpad((n - over * int(ten)).cast("string"), digits, "0")) if digits else F.lit("")
+    plain = F.concat(F.when(c.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")), (whole + over).cast("string"), point)
+    # from 2^53 on there is no fraction
+    return F.when(bad, F.lit("")).when(size >= 2.0**53, F.format_string(f"%.{digits}f", c)).otherwise(plain)
 
 
 def reshape3(flat: Column) -> Column:

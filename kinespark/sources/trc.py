@@ -53,7 +53,7 @@ def trc_lines(
         F.array(*[F.try_element_at(F.col("_m"), n)[c] for c in "xyz"]), lambda v: text.fixed(v, digits)
     )
     row = F.concat(
-        F.array((F.col("frame") + 1).cast("string"), F.format_string("%.8f", F.col("frame") / rate)),
+        F.array((F.col("frame") + 1).cast("string"), text.fixed(F.col("frame") / rate, 8)),
         F.flatten(F.transform("_names", one)),
     )
     d = d.select("trial", (F.col("frame") + HEADER_LINES).alias("pos"), F.array_join(row, "\t").alias("line"))
