@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinespark.operators import series
 from kinespark.operators.stats import exact_percentiles
+from kinespark.session import materialise
 
 
 def grid_length(span: Column, rate: Column, rule: str) -> Column:
@@ -138,6 +139,74 @@ def interpolate(
     return d.select(*targets.columns, *out)
 
 
+def on_grid(
+    samples: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    rate: Column | float,
+    rule: str,
+    t: str = "t",
+    outside: str = "null",
+    min_samples: int = 2,
+    block_s: float = series.SECONDS_PER_BLOCK,
+    width: int = series.FRAMES_PER_BLOCK,
+) -> DataFrame:
+    """:func:`interpolate` at the grid times of ``spans`` (keys, t0, t1, columns that stay): rows
+    (spans without t0 and t1, i, t, values). Only samples are shuffled: each one makes the grid rows
+    up to the next one, the first one also those before it. Keys without samples have no rows."""
+    keys, values = list(keys), list(values)
+    r = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
+    spans = spans.withColumns({"_r": r, "_n": grid_length(F.col("t1") - F.col("t0"), r, rule)}).where("_n > 0")
+    d = samples.select(*keys, F.col(t).alias("t"), *values).where("t is not null").withColumn("_blk", series.block_of("t", block_s))
+    channels = {**{v: F.col(v) for v in values}, "_row": F.col("t")}
+    aggs = []
+    for n, v in channels.items():
+        at = F.when(v.isNotNull(), F.col("t"))
+        for side, end, by in (("p", F.max, F.max_by), ("n", F.min, F.min_by)):
+            aggs += [end(at).alias(f"_{side}t_{n}"), by(v, at).alias(f"_{side}v_{n}")]
+    # plain columns aggregate by hash; the pairs are made afterwards
+    tails = d.groupBy(*keys, "_blk").agg(*aggs, *[F.count(v).alias(f"_t__n_{v}") for v in values])
+    pair = lambda side, n: F.when(F.col(f"_{side}t_{n}").isNotNull(), F.struct(F.col(f"_{side}t_{n}").alias("t"), F.col(f"_{side}v_{n}").alias("v"))).alias(f"_t_{side}_{n}")
+    tails = tails.select(*keys, "_blk", *[pair(s, n) for n in channels for s in "pn"], *[f"_t__n_{v}" for v in values])
+    reach = {f"{s}_{n}": (F.lit(None), s == "p") for n in channels for s in "pn"}
+    ends = series._scan(materialise(tails, "tails"), keys, reach, {f"_n_{v}": F.lit(None) for v in values}).join(spans, keys)
+
+    for n, v in channels.items():
+        d = d.withColumn(f"_k_{n}", F.when(v.isNotNull(), F.struct(F.col("t").alias("t"), v.alias("v"))))
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY t)"
+    d = d.select(*keys, "_blk", "t", *[f"_k_{n}" for n in channels], *[
+        F.expr(f"{fn}(`_k_{n}`, 1) IGNORE NULLS {over}").alias(f"_l_{s}_{n}") for n in channels for s, fn in (("p", "lag"), ("n", "lead"))])
+    d = d.join(ends, [*keys, "_blk"])
+    near = lambda s, n: F.coalesce(F.col(f"_l_{s}_{n}"), F.col(f"_c_{s}_{n}"))
+
+    def place(c: Column) -> Column:
+        """First grid index at or after a time."""
+        time = lambda i: F.col("t0") + i / F.col("_r")
+        i = F.ceil((c - F.col("t0")) * F.col("_r")).cast("long")
+        i = F.when(time(i - 1) >= c, i - 1).when(time(i) < c, i + 1).otherwise(i)
+        return F.least(F.greatest(i, F.lit(0)), F.col("_n"))
+
+    more = [c for c in spans.columns if c not in (*keys, "t0", "t1", "_r", "_n")]
+    d = d.select(
+        *keys, *more, "t0", "_r", place(F.col("t")).alias("_lo"), F.when(near("n", "_row").isNull(), F.col("_n")).otherwise(place(near("n", "_row")["t"])).alias("_hi"),
+        near("p", "_row").isNull().alias("_first"), *[f"_c__n_{v}" for v in values],
+        *[c for v in values for c in (F.coalesce(F.col(f"_k_{v}"), near("p", v)).alias(f"_p_{v}"), near("n", v).alias(f"_n_{v}"), F.col(f"_k_{v}"))])
+    part = lambda lo, hi, early: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(early).alias("early"))
+    own, early = part(F.col("_lo"), F.col("_hi"), False), part(F.lit(0).cast("long"), F.col("_lo"), True)
+    d = d.withColumn("_part", F.explode(F.when(F.col("_first"), F.array(early, own)).otherwise(F.array(own)))).where("_part.lo < _part.hi")
+    lo, hi = F.col("_part.lo"), F.col("_part.hi")
+    d = d.withColumn("_b", F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))))
+    d = d.withColumn("i", F.explode(F.sequence(F.greatest(lo, F.col("_b") * width), F.least(hi, F.col("_b") * width + width) - 1)))
+    d = d.withColumn("t", F.col("t0") + F.col("i") / F.col("_r"))
+    out = []
+    for v in values:
+        before = F.col("_part.early")
+        c = lerp(F.col("t"), F.when(~before, F.col(f"_p_{v}")), F.when(before, F.coalesce(F.col(f"_k_{v}"), F.col(f"_n_{v}"))).otherwise(F.col(f"_n_{v}")), outside)
+        out.append((F.when(F.col(f"_c__n_{v}") >= min_samples, c) if min_samples > 1 else c).alias(v))
+    return d.select(*keys, *more, "i", "t", *out)
+
+
 def whole_frames(samples: DataFrame, items: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], t: str = "t") -> DataFrame:
     """(keys, t, kp): one row per time with an array of value structs in the order of the
     key's ``items`` (keys, items); NULL for an item that the frame lacks or has in part."""
