@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
@@ -35,8 +36,10 @@ def moving_average(
     differ per row group: the window is one unit of index / half wide, so one
     range window serves every length. Lengths below 3 leave the data alone."""
     keys = list(keys)
-    n_col = F.lit(length) if isinstance(length, int) else length
-    n_col = F.when(n_col % 2 == 0, n_col + 1).otherwise(n_col)
+    if isinstance(length, int):
+        half = (length + 1 - length % 2) // 2 if length >= 3 else 0
+        return _averaged(df, keys, index, list(values), half, width) if half else df
+    n_col = F.when(length % 2 == 0, length + 1).otherwise(length)
     d = df.withColumn("_half", F.when(n_col >= 3, F.floor(n_col / 2)).otherwise(F.lit(0)).cast("long"))
     gaps = F.struct(*[F.col(v).isNull().alias(v) for v in values])
     d = materialise(resample.fill_gaps(d.withColumn("_gap", gaps), keys, index, values, width), "filled")
@@ -68,6 +71,60 @@ def moving_average(
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def _averaged(df: DataFrame, keys: list[str], index: str, values: list[str], half: int, width: int) -> DataFrame:
+    """:func:`moving_average` of one length. The rows are shuffled once: a block gets its own rows and
+    those ``half`` away, fills gaps among them and mirrors them at the ends of the series; what lies
+    beyond them comes from one summary row per block."""
+    i, skip, rest = F.col(index), half // width + 1, half % width
+    d = df.withColumn("_blk", series.block_of(i, width))
+    inside = i - F.col("_blk") * width
+    aggs = [F.max(index).alias("_top")]
+    for v in values:
+        known = F.col(v).isNotNull()
+        for name, where, end, by in (
+            ("last", known, F.max, F.max_by), ("early", known & (inside < width - rest), F.max, F.max_by),
+            ("first", known, F.min, F.min_by), ("late", known & (inside >= rest), F.min, F.min_by),
+        ):
+            at = F.when(where, i)
+            aggs += [end(at).alias(f"_t_{name}_{v}"), by(v, at).alias(f"_v_{name}_{v}")]
+    ends = d.groupBy(*keys, "_blk").agg(*aggs)
+    pair = lambda name, v: F.when(F.col(f"_t_{name}_{v}").isNotNull(), F.struct(F.col(f"_t_{name}_{v}").alias("t"), F.col(f"_v_{name}_{v}").alias("v")))
+    ends = ends.select(*keys, "_blk", "_top", *[pair(n, v).alias(f"_{n}_{v}") for v in values for n in ("last", "early", "first", "late")])
+    along = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY _blk)"
+    # the last known value before a block's rows and the first one behind them
+    ends = ends.select(
+        *keys, "_blk", (F.max("_top").over(W.partitionBy(*keys)) + 1).alias("_n"),
+        *[F.coalesce(f"_early_{v}", F.expr(f"lag(`_last_{v}`, 1) IGNORE NULLS {along}")).alias(f"_early_{v}") for v in values],
+        *[F.coalesce(f"_late_{v}", F.expr(f"lead(`_first_{v}`, 1) IGNORE NULLS {along}")).alias(f"_late_{v}") for v in values])
+    ends = ends.select(
+        *keys, "_blk", "_n", *[F.expr(f"lag(`_early_{v}`, {skip}) {along}").alias(f"_before_{v}") for v in values],
+        *[F.expr(f"lead(`_late_{v}`, {skip}) {along}").alias(f"_behind_{v}") for v in values])
+
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY `{index}`)"
+    d = series.with_halo(df, index, half, half, width)
+    known = lambda v: f"if(`{v}` IS NULL, NULL, named_struct('t', `{index}`, 'v', `{v}`))"
+    d = d.select("*", *[F.expr(f"{fn}({known(v)}, 1) IGNORE NULLS {over}").alias(f"_{fn}_{v}") for v in values for fn in ("lag", "lead")])
+    d = d.join(ends, [*keys, "_blk"])
+    near = lambda v: (F.coalesce(f"_lag_{v}", f"_before_{v}"), F.coalesce(f"_lead_{v}", f"_behind_{v}"))
+    fill = [F.coalesce(F.col(v), resample.lerp(i, *near(v), "clamp")).alias(f"_f_{v}") for v in values]
+    d = d.select(*df.columns, "_blk", "_own", "_n", *fill)
+    # positions of the block's span that reflect onto the row
+    n = F.col("_n")
+    period = 2 * (n - 1)
+    turns = F.when(period > 0, F.ceil(F.lit(half) / period)).otherwise(F.lit(0)).cast("long")
+    k = F.sequence(-turns - 1, turns + 1)
+    seen = F.when(n == 1, F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long"))).otherwise(
+        F.array_distinct(F.concat(F.transform(k, lambda m: i + period * m), F.transform(k, lambda m: -i + period * m))))
+    first = F.col("_blk") * width - half
+    seen = F.filter(seen, lambda p: (p >= F.greatest(first, F.lit(-half))) & (p <= F.least(first + width + 2 * half, n + half) - 1))
+    near_end = (i <= half) | (i >= n - 1 - half)
+    d = d.withColumn("_p", F.explode(F.when(near_end, seen).otherwise(F.array(i))))
+    window = W.partitionBy(*keys, "_blk").orderBy("_p").rangeBetween(-half, half)
+    d = d.select("*", *[F.avg(f"_f_{v}").over(window).alias(f"_m_{v}") for v in values]).where(F.col("_own") & (F.col("_p") == i))
+    new = {v: F.when(F.col(v).isNotNull(), F.col(f"_m_{v}")) for v in values}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+
+
 def _param(value: float | str | Column | None) -> Column:
     """A number for all rows, or the column that holds each key's own."""
     if isinstance(value, str):
@@ -87,8 +144,7 @@ def upsample(
     kept = src.where(F.col("_rate") >= target_rate).select(*keys, "i", "t", *values)
     src = src.where(F.col("_rate") < target_rate)
     span = src.groupBy(*keys).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"))
-    grid = resample.time_grid(span, target_rate, "rounded").select(*keys, "i", "t")
-    d = resample.interpolate(src.select(*keys, "t", *values), grid, keys, values, block_s=width / target_rate)
+    d = resample.on_grid(src.select(*keys, "t", *values), span, keys, values, target_rate, "rounded", block_s=width / target_rate)
     if cutoff is not None:
         # the length depends on the job's rate and cutoff only
         n = max(3, min(int(round(0.443 * target_rate / max(0.1, cutoff))), int(2 * target_rate) + 1))
@@ -183,5 +239,6 @@ def downsample(
     kept = d.where(~thin).select(*keys, F.col(index).alias("i"), "t", *values)
     d = d.where(thin)
     span = d.groupBy(*keys).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"))
-    grid = resample.time_grid(span, target, "floored").select(*keys, "i", "t")
-    return resample.interpolate(d.select(*keys, "t", *values), grid, keys, values, outside="clamp", min_samples=1, block_s=width / target if target > 0 else width).unionByName(kept)
+    d = resample.on_grid(
+        d.select(*keys, "t", *values), span, keys, values, target, "floored", outside="clamp", min_samples=1, block_s=width / target if target > 0 else width)
+    return d.unionByName(kept)

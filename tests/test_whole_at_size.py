@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinespark.functions import text
+from kinespark.operators import resample, smooth
 
 
 def test_fixed_point_text_rounds_the_exact_value(spark):
@@ -12,3 +13,37 @@ def test_fixed_point_text_rounds_the_exact_value(spark):
     d = spark.createDataFrame([(float(x),) for x in v], "x double")
     for digits in (0, 2, 5, 8):
         assert [t for (t,) in d.select(text.fixed(F.col("x"), digits)).collect()] == [f"{x:.{digits}f}" for x in v]
+
+
+def test_moving_average_shuffles_rows_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(smooth, "materialise", lambda df, label: written.append(label) or df)
+    rng = np.random.default_rng(3)
+    series = {1: np.where(rng.random(97) < 0.7, np.nan, rng.normal(size=97)), 2: np.array([4.0]), 3: np.array([1.0, np.nan, 5.0]), 4: np.full(20, np.nan)}
+    rows = [(k, i, None if np.isnan(x) else float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "k int, i long, x double")
+    for width, length in ((8, 7), (8, 17), (4, 40), (16, 1), (64, 4)):
+        got = {(r["k"], r["i"]): r["x"] for r in smooth.moving_average(d, ["k"], "i", ["x"], length, width).collect()}
+        half = (length + 1 - length % 2) // 2 if length >= 3 else 0
+        assert len(got) == len(rows)
+        for k, v in series.items():
+            n, known = len(v), np.flatnonzero(~np.isnan(v))
+            full = np.interp(np.arange(n), known, v[known]) if len(known) else v
+            at = lambda p: 0 if n == 1 else min(p % (2 * (n - 1)), -p % (2 * (n - 1)))
+            for i in range(n):
+                want = None if np.isnan(v[i]) else np.mean([full[at(p)] for p in range(i - half, i + half + 1)])
+                assert (got[k, i] is None) == (want is None) and (want is None or abs(got[k, i] - want) < 1e-9)
+    assert not written
+
+
+def test_grid_values_come_from_the_samples(spark):
+    s = spark.createDataFrame(
+        [(1, 0.0, 1.0, None), (1, 0.5, None, 2.0), (1, 7.25, 3.0, None), (1, 7.5, 4.0, 6.0), (2, 3.0, 5.0, 1.0), (3, 1.0, None, None), (3, 9.0, None, 2.0)],
+        "k int, t double, x double, y double")
+    spans = spark.createDataFrame([(1, -1.0, 9.0, "a"), (2, 3.0, 3.0, "b"), (3, 0.0, 12.0, "c")], "k int, t0 double, t1 double, note string")
+    for rule, rate in (("floored", 4.0), ("half_open", 3.0), ("rounded", 0.7)):
+        for outside, least in (("null", 2), ("clamp", 1)):
+            got = resample.on_grid(s, spans, ["k"], ["x", "y"], rate, rule, outside=outside, min_samples=least, block_s=0.6, width=5)
+            grid = resample.time_grid(spans, rate, rule).select("k", "note", "i", "t")
+            want = resample.interpolate(s, grid, ["k"], ["x", "y"], outside=outside, min_samples=least, block_s=0.6)
+            assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
