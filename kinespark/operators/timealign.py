@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from kinespark.operators import blocks, resample, series
 from kinespark.session import materialise
@@ -43,42 +43,44 @@ def time_offset(
     Too little overlap gives 0."""
     keys = list(keys)
     r = resample.overlap_range(a, b, keys)
-    long_enough = r.where(F.col("t1") - F.col("t0") >= min_overlap)
-    grid = resample.time_grid(long_enough, fs, "half_open").select(*keys, "i", "t")
-    clamp = dict(outside="clamp", min_samples=1, block_s=block_s)
-    ga = resample.interpolate(a, grid, keys, ["signal"], **clamp).select(*keys, "i", F.col("signal").alias("a"))
-    gb = resample.interpolate(b, grid, keys, ["signal"], **clamp).select(*keys, "i", F.col("signal").alias("b"))
-    both = d = materialise(ga.join(gb, [*keys, "i"]), "signals")
-    d = series.per_key(
-        d, keys, *[f(c).alias(n + c) for c in "ab" for n, f in (("_m", F.avg), ("_s", F.stddev_pop))]
-    )
-    z = lambda c: ((F.col(c) - F.col(f"_m{c}")) / (F.col(f"_s{c}") + 1e-8)).alias(c)
+    spans = materialise(r.where(F.col("t1") - F.col("t0") >= min_overlap), "overlaps")
+    on_grid = lambda side, spans: resample.on_grid(
+        side.select(*keys, "t", "signal"), spans, keys, ["signal"], fs, "half_open", outside="clamp", min_samples=1, block_s=block_s)
+    level = lambda side: on_grid(side, spans).groupBy(*keys).agg(
+        F.avg("signal").alias("_m"), F.stddev_pop("signal").alias("_s"), F.count(F.lit(1)).alias("_n"))
     lag = int(round(max_offset * fs))
-    d = series.with_halo(d.select(*keys, "i", z("a"), z("b")), "i", lag, lag, max(width, 2 * lag))
-    out = StructType([f for f in d.schema if f.name in keys] + [StructField("lag", LongType()), StructField("c", DoubleType())])
+    width = max(width, 2 * lag, 1)
+    levels = [materialise(level(side), "levels") for side in (a, b)]
+
+    def standard(side: DataFrame, levels: DataFrame) -> DataFrame:
+        d = on_grid(side, spans.join(levels.drop("_n"), keys))
+        return d.select(*keys, "i", ((F.col("signal") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("z"))
+
+    # one shuffle: rows of b in their block, rows of a in every block that they reach
+    za = series.with_halo(standard(a, levels[0]), "i", lag, lag, width).drop("_own").withColumn("_b", F.lit(False))
+    zb = standard(b, levels[1]).withColumns({"_blk": series.block_of("i", width), "_b": F.lit(True)})
+    out = StructType([f for f in za.schema if f.name in keys] + [StructField("c", ArrayType(DoubleType()))])
 
     def products(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        own, pos = pdf["_own"].to_numpy(), pdf["i"].to_numpy()
-        va, vb = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-        rows = []
-        for s, e in zip(starts, [*starts[1:], len(pdf)]):
-            mine = own[s:e]
-            if not mine.any():
-                continue
-            i = pos[s:e]
-            n = int(mine.sum())
-            wide = np.zeros(n + 2 * lag)
-            wide[i - i[mine][0] + lag] = va[s:e]
-            res = pd.DataFrame({k: pdf[k].iloc[s] for k in keys}, index=range(2 * lag + 1))
-            res["lag"] = np.arange(-lag, lag + 1)
-            res["c"] = np.correlate(wide, vb[s:e][mine], mode="valid")
-            rows.append(res)
-        names = [f.name for f in out]
-        return pd.concat(rows)[names] if rows else pd.DataFrame({n: [] for n in names})
+        """Lagged products of all blocks at once: each block has its stretch of two long rows."""
+        side, pos = pdf["_b"].to_numpy(dtype=bool), pdf["i"].to_numpy()
+        z = pdf["z"].to_numpy(dtype=float)
+        size = np.diff(np.append(starts, len(pdf)))
+        first, last = np.minimum.reduceat(pos, starts), np.maximum.reduceat(pos, starts)
+        length = last - first + 1
+        begin = lag + np.cumsum(length + 2 * lag) - (length + 2 * lag)
+        at = np.repeat(begin - first, size) + pos
+        wide = np.zeros(int(begin[-1] + length[-1]) + lag)
+        wide[at[~side]] = z[~side]
+        block = np.repeat(np.arange(len(starts)), size)[side]
+        mine, own = at[side], z[side]
+        c = np.stack([np.bincount(block, wide[mine + k] * own, len(starts)) for k in range(-lag, lag + 1)], axis=1)
+        rows = pdf[keys].iloc[starts].reset_index(drop=True)
+        return rows.assign(c=list(c))
 
-    sums = blocks.map_blocks(d, keys, "i", products, out).groupBy(*keys, "lag").agg(F.sum("c").alias("c"))
-    n = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sums = sums.join(n, keys).where(F.abs("lag") < F.col("_n"))
+    sums = blocks.map_blocks(za.unionByName(zb), keys, "i", products, out).select(*keys, F.posexplode("c").alias("lag", "c"))
+    sums = sums.groupBy(*keys, (F.col("lag") - lag).cast("long").alias("lag")).agg(F.sum("c").alias("c"))
+    sums = sums.join(levels[0].select(*keys, "_n"), keys).where(F.abs("lag") < F.col("_n"))
     best = sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
     every = a.select(*keys).distinct()
     return every.join(best, keys, "left").select(
