@@ -63,7 +63,7 @@ def overlap_range(a: DataFrame, b: DataFrame, keys: Sequence[str], t: str = "t",
 
 def sampling_rate(df: DataFrame, keys: Sequence[str], t: str = "t", block_s: float = series.SECONDS_PER_BLOCK) -> DataFrame:
     """Two estimates per key: 1 / median step and 1 / mean step (4 decimals)."""
-    d = series.carry(df.select(*keys, t), keys, [F.col(t)], series.block_of(t, block_s), F.col(t), "_p", inclusive=False)
+    d = series.carry(df.select(*keys, t), keys, [t], series.block_of(t, block_s), F.col(t), "_p", inclusive=False)
     d = d.select(*keys, (F.col(t) - F.col("_p")).alias("dt")).where("dt is not null")
     med = exact_percentiles(d, keys, "dt", {"med": 0.5})
     mean = d.groupBy(*keys).agg(F.avg("dt").alias("mean_dt"))
@@ -99,13 +99,14 @@ def bracket(
     )
     want: dict[str, tuple[Column, bool]] = {}
     if whole_row:
-        want = {"prev": (F.col("_s"), True), "next": (F.col("_s"), False)}
+        row = F.col("_s")
+        want = {"prev": (row, True), "next": (row, False)}
     else:
         for v in values:
             one = F.when(F.col(f"_s.{v}").isNotNull(), F.struct(F.col("_s.t").alias("t"), F.col(f"_s.{v}").alias("v")))
             want[f"prev_{v}"], want[f"next_{v}"] = (one, True), (one, False)
     d = series.carry_many(
-        s.unionByName(g), keys, [F.col(t), F.col("_is")], series.block_of(t, block_s), want, totals=totals
+        s.unionByName(g), keys, [t, "_is"], series.block_of(t, block_s), want, totals=totals, place=t
     ).where("_is = 1")
     return d.select(*keys, t, *[F.col("_x")[c].alias(c) for c in extra], *want, *(totals or {}))
 
@@ -270,7 +271,7 @@ def fill_gaps(
     for v in values:
         one = F.when(F.col(v).isNotNull(), F.struct(F.col(index).alias("t"), F.col(v).alias("v")))
         want[f"_p_{v}"], want[f"_n_{v}"] = (one, True), (one, False)
-    d = series.carry_many(df, keys, [F.col(index)], series.block_of(index, width), want)
+    d = series.carry_many(df, keys, [index], series.block_of(index, width), want, place=index)
     new = {
         v: F.coalesce(F.col(v), lerp(F.col(index), F.col(f"_p_{v}"), F.col(f"_n_{v}"), "clamp")) for v in values
     }

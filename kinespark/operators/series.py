@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinespark.session import materialise
 
@@ -60,7 +61,7 @@ def add_running_index(
 def carry(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str | Column],
     block: Column,
     value: Column,
     name: str,
@@ -80,38 +81,60 @@ BLOCKS_PER_GROUP = 256
 def carry_many(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str | Column],
     block: Column,
     values: dict[str, tuple[Column, bool]],
     inclusive: bool = True,
     totals: dict[str, Column] | None = None,
+    place: str | None = None,
 ) -> DataFrame:
-    """Several :func:`carry` columns at once: one shuffle of the rows, one sort per
-    direction, one summary row per block. Summaries are scanned in groups of
-    blocks, then across the groups, so a key of many sparse blocks has no long
-    scan either. ``totals`` adds the number of non-null values of a key."""
+    """Several :func:`carry` columns at once: one shuffle and one sort of the rows, one
+    summary row per block. Summaries are scanned in groups of blocks, then across the
+    groups, so a key of many sparse blocks has no long scan either. ``totals`` adds the
+    number of non-null values of a key. ``place`` names a number that orders the rows that
+    have a value; summaries of plain or struct values then aggregate by hash."""
     keys, totals = list(keys), totals or {}
     d = df.withColumn("_blk", block)
-    for n, v in [(n, v) for n, (v, _) in values.items()] + list(totals.items()):
-        d = d.withColumn(f"_v_{n}", v)
-    end = 0 if inclusive else -1
-    pos = F.struct(*order)
-    known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), pos)
+    names = [c if isinstance(c, str) else f"_o{k}" for k, c in enumerate(order)]
+    own: dict[int, str] = {}  # a value carried both ways is kept once
+    col_of = {}
+    for n, (v, _) in values.items():
+        if id(v) not in own:
+            own[id(v)] = f"_v_{n}"
+            d = d.withColumn(f"_v_{n}", v)
+        col_of[n] = own[id(v)]
+    d = d.withColumns({f"_v_{n}": v for n, v in totals.items()} | {n: c for n, c in zip(names, order) if not isinstance(c, str)})
+    pos = F.col(place) if place else F.struct(*names)
     tails = d.groupBy(*keys, "_blk").agg(
-        *[(F.max_by if fwd else F.min_by)(F.col(f"_v_{n}"), known(n)).alias(f"_t_{n}") for n, (_, fwd) in values.items()],
+        *[a for n, (_, fwd) in values.items() for a in _tail(d, col_of[n], n, fwd, pos, place is not None)],
         *[F.count(f"_v_{n}").alias(f"_t_{n}") for n in totals])
-    part = W.partitionBy(*keys, "_blk")
-    up, down = (part.orderBy(*o).rowsBetween(W.unboundedPreceding, end) for o in ([c.asc() for c in order], [c.desc() for c in order]))
-    local = d.select(
-        *df.columns, "_blk",
-        *[F.last(f"_v_{n}", ignorenulls=True).over(up if fwd else down).alias(f"_l_{n}") for n, (_, fwd) in values.items()],
-    )
+    tails = tails.select(*keys, "_blk", *[_whole_tail(d, col_of[n], n, place is not None).alias(f"_t_{n}") for n in values], *[f"_t_{n}" for n in totals])
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY {', '.join(f'`{n}`' for n in names)})"
+    near = {n: F.expr(f"{'lag' if fwd else 'lead'}(`{col_of[n]}`, 1) IGNORE NULLS {over}") for n, (_, fwd) in values.items()}
+    local = d.select(*df.columns, "_blk", *[(F.coalesce(F.col(col_of[n]), c) if inclusive else c).alias(f"_l_{n}") for n, c in near.items()])
     # a row per block, used three times
     return local.join(_scan(materialise(tails, "tails"), keys, values, totals), [*keys, "_blk"]).select(
         *df.columns, *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values], *[F.col(f"_c_{n}").alias(n) for n in totals],
     )
 
 
+def _tail(d: DataFrame, c: str, n: str, fwd: bool, pos: Column, plain: bool) -> list[Column]:
+    """Aggregates of a block's last (``fwd``) or first known value; field by field if ``plain``."""
+    at = F.when(F.col(c).isNotNull(), pos)
+    by, end = (F.max_by, F.max) if fwd else (F.min_by, F.min)
+    kind = d.schema[c].dataType
+    if plain and isinstance(kind, StructType):
+        return [end(at).alias(f"_at_{n}"), *[by(F.col(c)[f], at).alias(f"_t_{n}_{k}") for k, f in enumerate(kind.names)]]
+    return [by(F.col(c), at).alias(f"_t_{n}")]
+
+
+def _whole_tail(d: DataFrame, c: str, n: str, plain: bool) -> Column:
+    kind = d.schema[c].dataType
+    if plain and isinstance(kind, StructType):
+        return F.when(F.col(f"_at_{n}").isNotNull(), F.struct(*[F.col(f"_t_{n}_{k}").alias(f) for k, f in enumerate(kind.names)]))
+    return F.col(f"_t_{n}")
+
+
 def _scan(tails: DataFrame, keys: list[str], values: dict[str, tuple[Column, bool]], totals: dict[str, Column]) -> DataFrame:
     """keys, _blk, _c_<name>: what reaches each block from the blocks before or behind it."""
     group = F.floor(F.col("_blk") / BLOCKS_PER_GROUP)
