@@ -13,7 +13,7 @@ length of the trial.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,9 +41,11 @@ def add_running_index(
     """0-based position of each row inside its key, in ``order``.
 
     ``bucket`` must not decrease along ``order``. Positions are counted inside
-    each bucket and shifted by the sizes of the earlier buckets."""
+    each bucket and shifted by the sizes of the earlier buckets; rows without a key or
+    bucket are left out. Every bucket has one size, so where a plan doesn't use the
+    positions (say, the distinct keys), Spark drops the left join and the window with it."""
     keys = list(keys)
-    d = df.withColumn("_bk", bucket)
+    d = df.withColumn("_bk", bucket).where(" and ".join(f"`{k}` is not null" for k in [*keys, "_bk"]))
     sizes = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(
@@ -52,7 +54,7 @@ def add_running_index(
     local = F.row_number().over(W.partitionBy(*keys, "_bk").orderBy(*order))
     return (
         d.withColumn("_rn", local)
-        .join(sizes, [*keys, "_bk"])
+        .join(sizes, [*keys, "_bk"], "left")
         .withColumn(name, (F.col("_rn") + F.col("_off") - 1).cast("long"))
         .drop("_bk", "_rn", "_off")
     )
@@ -87,13 +89,15 @@ def carry_many(
     inclusive: bool = True,
     totals: dict[str, Column] | None = None,
     place: str | None = None,
+    extent: str | None = None,
 ) -> DataFrame:
     """Several :func:`carry` columns at once: one shuffle and one sort of the rows, one
     summary row per block. Summaries are scanned in groups of blocks, then across the
     groups, so a key of many sparse blocks has no long scan either. ``totals`` adds the
     number of non-null values of a key. ``place`` names a number that orders the rows that
-    have a value; summaries of plain or struct values then aggregate by hash."""
-    keys, totals = list(keys), totals or {}
+    have a value; summaries of plain or struct values then aggregate by hash. ``extent`` adds
+    the least and largest value of a column in a key, ``_lo`` and ``_hi``."""
+    keys, totals, ends = list(keys), totals or {}, {"_lo": F.min, "_hi": F.max} if extent else {}
     d = df.withColumn("_blk", block)
     names = [c if isinstance(c, str) else f"_o{k}" for k, c in enumerate(order)]
     own: dict[int, str] = {}  # a value carried both ways is kept once
@@ -107,14 +111,14 @@ def carry_many(
     pos = F.col(place) if place else F.struct(*names)
     tails = d.groupBy(*keys, "_blk").agg(
         *[a for n, (_, fwd) in values.items() for a in _tail(d, col_of[n], n, fwd, pos, place is not None)],
-        *[F.count(f"_v_{n}").alias(f"_t_{n}") for n in totals])
-    tails = tails.select(*keys, "_blk", *[_whole_tail(d, col_of[n], n, place is not None).alias(f"_t_{n}") for n in values], *[f"_t_{n}" for n in totals])
+        *[F.count(f"_v_{n}").alias(f"_t_{n}") for n in totals], *[f(extent).alias(f"_t_{n}") for n, f in ends.items()])
+    tails = tails.select(*keys, "_blk", *[_whole_tail(d, col_of[n], n, place is not None).alias(f"_t_{n}") for n in values], *[f"_t_{n}" for n in (*totals, *ends)])
     over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY {', '.join(f'`{n}`' for n in names)})"
     near = {n: F.expr(f"{'lag' if fwd else 'lead'}(`{col_of[n]}`, 1) IGNORE NULLS {over}") for n, (_, fwd) in values.items()}
     local = d.select(*df.columns, "_blk", *[(F.coalesce(F.col(col_of[n]), c) if inclusive else c).alias(f"_l_{n}") for n, c in near.items()])
     # a row per block, used three times
-    return local.join(_scan(materialise(tails, "tails"), keys, values, totals), [*keys, "_blk"]).select(
-        *df.columns, *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values], *[F.col(f"_c_{n}").alias(n) for n in totals],
+    return local.join(_scan(materialise(tails, "tails"), keys, values, totals, ends), [*keys, "_blk"]).select(
+        *df.columns, *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values], *[F.col(f"_c_{n}").alias(n) for n in (*totals, *ends)],
     )
 
 
@@ -135,24 +139,28 @@ def _whole_tail(d: DataFrame, c: str, n: str, plain: bool) -> Column:
     return F.col(f"_t_{n}")
 
 
-def _scan(tails: DataFrame, keys: list[str], values: dict[str, tuple[Column, bool]], totals: dict[str, Column]) -> DataFrame:
-    """keys, _blk, _c_<name>: what reaches each block from the blocks before or behind it."""
+def _scan(
+    tails: DataFrame, keys: list[str], values: dict[str, tuple[Column, bool]], totals: dict[str, Column], ends: dict[str, Callable] | None = None,
+) -> DataFrame:
+    """keys, _blk, _c_<name>: what reaches each block from the blocks before or behind it, and what
+    ``totals`` (added up) and ``ends`` (by their function) make of all blocks of the key."""
+    whole = {n: F.sum for n in totals} | (ends or {})
     group = F.floor(F.col("_blk") / BLOCKS_PER_GROUP)
     d = tails.withColumn("_grp", group)
     known = lambda n: F.when(F.col(f"_t_{n}").isNotNull(), F.col("_blk"))
     groups = d.groupBy(*keys, "_grp").agg(
         *[(F.max_by if fwd else F.min_by)(F.col(f"_t_{n}"), known(n)).alias(f"_t_{n}") for n, (_, fwd) in values.items()],
-        *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals])
+        *[f(f"_t_{n}").alias(f"_t_{n}") for n, f in whole.items()])
 
     def reach(partition: list[str], along: str, n: str, fwd: bool) -> Column:
         w = W.partitionBy(*partition).orderBy(F.col(along).asc() if fwd else F.col(along).desc()).rowsBetween(W.unboundedPreceding, -1)
         return F.last(f"_t_{n}", ignorenulls=True).over(w)
 
     far = groups.select(*keys, "_grp", *[reach(keys, "_grp", n, fwd).alias(f"_g_{n}") for n, (_, fwd) in values.items()],
-                        *[F.sum(f"_t_{n}").over(W.partitionBy(*keys)).alias(f"_c_{n}") for n in totals])
+                        *[f(f"_t_{n}").over(W.partitionBy(*keys)).alias(f"_c_{n}") for n, f in whole.items()])
     near = d.select(*keys, "_blk", "_grp", *[reach([*keys, "_grp"], "_blk", n, fwd).alias(f"_n_{n}") for n, (_, fwd) in values.items()])
     return near.join(far, [*keys, "_grp"]).select(
-        *keys, "_blk", *[F.coalesce(f"_n_{n}", f"_g_{n}").alias(f"_c_{n}") for n in values], *[f"_c_{n}" for n in totals])
+        *keys, "_blk", *[F.coalesce(f"_n_{n}", f"_g_{n}").alias(f"_c_{n}") for n in values], *[f"_c_{n}" for n in whole])
 
 
 def with_halo(
@@ -204,7 +212,10 @@ def shift(
     return d.where("_own").drop("_blk", "_own")
 
 
-def per_key(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+def per_key(df: DataFrame, keys: Sequence[str], *aggs: Column, written: bool = False) -> DataFrame:
     """Join per-key aggregates back to the rows. The aggregate is combined map
-    side first, so a hot key costs one small row per task, not one big window."""
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+    side first, so a hot key costs one small row per task, not one big window.
+    ``written`` writes the aggregates first, so that the join knows their size and
+    rows are not shuffled to a small table."""
+    found = df.groupBy(*keys).agg(*aggs)
+    return df.join(materialise(found, "keys") if written else found, list(keys))

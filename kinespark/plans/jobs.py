@@ -147,13 +147,23 @@ def downsample_mocap(
 
     ``labels``: trial, pos, marker; ``markers``: trial, frame, marker, x, y, z."""
     first = names.keep_first_label(labels, ["trial"], "marker", "pos").withColumn("label", text.label_name(F.col("marker")))
-    want = F.array(*[F.lit(k) for k in keep])
-    asked = labels.select("trial").distinct().select("trial", F.explode(want).alias("label"))
-    chosen = first.join(asked, ["trial", "label"], "left_semi").select("trial", "marker", "label")
+    # written, so that the join knows their size
+    chosen = materialise(first.join(_asked(labels, keep), ["trial", "label"], "left_semi").select("trial", "marker", "label"), "labels")
     d = markers.join(chosen, ["trial", "marker"]).select("trial", F.col("label").alias("marker"), "frame", *XYZ)
     d = with_rate(d, fs).withColumn("fs", F.coalesce("fs", F.lit(float(target))))
     d = smooth.downsample(d, ["trial", "marker"], "frame", list(XYZ), "fs", target, cutoff)
-    return d.select("trial", F.col("i").alias("frame"), "t", "marker", *XYZ), asked.join(first, ["trial", "label"], "left_anti")
+    return d.select("trial", F.col("i").alias("frame"), "t", "marker", *XYZ), missing_labels(labels, keep)
+
+
+def _asked(labels: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return labels.select("trial").distinct().select("trial", F.explode(F.array(*[F.lit(k) for k in keep])).alias("label"))
+
+
+def missing_labels(labels: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(trial, label): the labels of ``keep`` that a trial of ``labels`` (trial, pos, marker) lacks.
+    No marker row is read."""
+    held = labels.select("trial", text.label_name(F.col("marker")).alias("label")).distinct()
+    return _asked(labels, keep).join(held, ["trial", "label"], "left_anti")
 
 
 # ------------------------------------------------------------------ accuracy
@@ -385,9 +395,9 @@ def still_phases(
     its own rate. With ``marker_set`` (see :func:`quality.still_markers`) only those
     markers must be still; the root is removed from them first."""
     d = markers.withColumn("marker", names.study_to_mocap(F.col("marker"))) if rename else markers
-    d = materialise(with_rate(quality.prepare_still(d, root, markers=marker_set), fs), "still")
+    d = with_rate(quality.prepare_still(d, root, markers=marker_set), fs)
     lengths = quality.window_lengths_of(F.col("fs"), min_duration)
-    out = quality.relaxed_still(quality.motion_ranges(d.where("fs > 0"), lengths), markers, threshold, step, maximum)
+    out = quality.relaxed_still(quality.motion_ranges(d.where("fs > 0"), lengths, of=["fs"]), markers, threshold, step, maximum)
     if isinstance(fs, DataFrame):
         out = out.join(fs.select("trial", F.col("rate").cast("double").alias("_fs")), "trial", "left")
     else:

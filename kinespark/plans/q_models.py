@@ -209,7 +209,7 @@ def ranges(spark, sf):
        + " SELECT t.trial, start, n, steps, CASE WHEN n IS NULL THEN 'not found' ELSE 'ok' END status FROM (SELECT DISTINCT trial FROM f12) t LEFT JOIN bs USING (trial)")
 def _(spark, sf):
     d = X.markers_still(spark, sf).withColumn("fs", F.element_at(F.array(F.lit(20.0), F.lit(30.0), F.lit(40.0)), (F.col("trial") % 3 + 1).cast("int")))
-    r = quality.motion_ranges(d, quality.window_lengths_of(F.col("fs"), 0.1))
+    r = quality.motion_ranges(d, quality.window_lengths_of(F.col("fs"), 0.1), of=["fs"])
     return quality.relaxed_still(r, d, 0.02, 0.003, 0.06).select("trial", "start", "n", "steps", "status")
 
 

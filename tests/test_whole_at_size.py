@@ -3,8 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from kinespark import session
 from kinespark.functions import text
-from kinespark.operators import resample, smooth
+from kinespark.operators import quality, resample, series, smooth
+from kinespark.plans import catalog, jobs, q_jobs
+from kinespark.sources import trc
 
 
 def test_fixed_point_text_rounds_the_exact_value(spark):
@@ -47,3 +50,94 @@ def test_grid_values_come_from_the_samples(spark):
             grid = resample.time_grid(spans, rate, rule).select("k", "note", "i", "t")
             want = resample.interpolate(s, grid, ["k"], ["x", "y"], outside=outside, min_samples=least, block_s=0.6)
             assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_an_index_need_no_window(spark, sf):
+    d = q_jobs.labelled(spark, sf)
+    assert "Window" in plan(d)
+    assert "Window" not in plan(d.select("trial", "pos", "marker").distinct())
+    odd = spark.createDataFrame([(1, 5), (1, 3), (None, 4), (2, 9), (2, None)], "k int, o int")
+    got = series.add_running_index(odd, ["k"], ["o"], series.block_of("o", 4), "i").collect()
+    assert sorted((r.k, r.o, r.i) for r in got) == [(1, 3, 0), (1, 5, 1), (2, 9, 0)]
+
+
+def test_missing_labels_reads_no_marker_rows(spark):
+    labels = spark.createDataFrame([(1, 1, "a"), (1, 2, " B "), (2, 1, "c"), (2, 2, "C"), (3, 1, "x")], "trial int, pos int, marker string")
+    got = jobs.missing_labels(labels, ["A", "B", "C"])
+    assert sorted(map(tuple, got.collect())) == [(1, "C"), (2, "A"), (2, "B"), (3, "A"), (3, "B"), (3, "C")]
+
+
+def test_downsampling_joins_no_bounds_to_its_rows(spark, monkeypatch):
+    rows = [(k, i, float(np.sin(i / 3 + k)) if i % 7 else None) for k, n in ((1, 90), (2, 5), (3, 1), (4, 200)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k int, i long, x double")
+    want = smooth.butterworth(resample.fill_gaps(d, ["k"], "i", ["x"]), ["k"], "i", ["x"], 60.0, 6.0)
+    want = {(r.k, r.i): r.x for r in want.collect()}
+
+    def none(*args, **kw):
+        raise AssertionError("rows are joined by key")
+
+    monkeypatch.setattr(series, "per_key", none)
+    for width in (16384, 64):
+        got = {(r.k, r.i): r.x for r in smooth.downsample(d, ["k"], "i", ["x"], 60.0, 60.0, 6.0, width=width).collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+
+
+def test_still_windows_make_no_empty_rows(spark, monkeypatch):
+    made, kept = [], {}
+    monkeypatch.setattr(quality.blocks, "map_blocks", lambda d, keys, order, run, schema: kept.update(d=d, run=run) or d)
+    rng = np.random.default_rng(5)
+    rows = [(t, m, f, *map(float, rng.normal(size=3))) for t in range(6) for m in range(1 + t % 3) for f in range(3 * t, 40) if rng.random() < 0.98]
+    d = spark.createDataFrame([r if rng.random() < 0.98 else (*r[:3], None, *r[4:]) for r in rows], "trial int, marker int, frame long, x double, y double, z double")
+    at = {(t, m, f): p for t, m, f, *p in map(tuple, d.collect())}
+    whole = quality.window_ranges
+    monkeypatch.setattr(quality, "window_ranges", lambda table, lengths: made.append(len(table)) or whole(table, lengths))
+    want = set()
+    for t in range(6):
+        ms = {m for k, m, _ in at if k == t}
+        for n in (3, 5, 8):
+            for s in range(40):
+                cells = [[at.get((t, m, f)) for f in range(s, s + n)] for m in ms]
+                if all(c is not None and None not in c for row in cells for c in row):
+                    want.add((t, s, n, round(float(max(np.ptp(np.array(row), axis=0).max() for row in cells)), 9)))
+    for width, cells in ((4096, 1 << 20), (8, 1 << 20), (8, 60)):
+        monkeypatch.setattr(quality, "CELLS", cells)
+        made.clear()
+        quality.motion_ranges(d, [3, 5, 8], width=width)
+        pdf = kept["d"].toPandas().sort_values(["trial", "_blk", "frame"]).reset_index(drop=True)
+        starts = np.flatnonzero((pdf[["trial", "_blk"]] != pdf[["trial", "_blk"]].shift()).any(axis=1))
+        got = kept["run"](pdf, starts)
+        assert {(r.trial, r.start, r.n, round(r.needed, 9)) for r in got.itertuples()} == want and len(got) == len(want)
+        assert sum(made) <= len(pdf)
+
+
+def test_still_coordinates_are_not_shuffled_by_trial(spark):
+    d = spark.createDataFrame([(t, str(m), f, 1.0 * f, 20.0 * t, 0.0) for t in range(3) for m in range(2) for f in range(4)],
+                              "trial int, marker string, frame long, x double, y double, z double")
+    out = quality.prepare_still(d, None)
+    assert "Exchange hashpartitioning" not in plan(out)
+    assert {(r.trial, r.y) for r in out.collect()} == {(0, 0.0), (1, 0.02), (2, 0.04)}
+
+
+def test_trc_lines_are_read_once(spark, sf):
+    path = session.scratch_path(spark, "trc")
+    d = spark.createDataFrame([(t, f, m, 1.0, 2.0, 3.0) for t in (1, 2) for f in range(3) for m in "ab"], "trial int, frame long, marker string, x double, y double, z double")
+    trc.write_trc(d, path, 60.0)
+    header, rows, errors = trc.read_trc(spark, path)
+    assert "FileScan text" not in plan(rows) + plan(header) + plan(errors)
+    assert rows.count() == 12 and header.count() == 2 and errors.count() == 0
+
+
+def test_queries_shuffle_into_small_parts(spark, sf):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    catalog.QUERIES["win_16_still_ranges"](spark, sf)
+    assert int(spark.conf.get(name)) == session.PARTS
+    spark.conf.set(name, "7")
+    catalog.QUERIES["win_16_still_ranges"](spark, sf)
+    assert spark.conf.get(name) == "7"
+    spark.conf.set(name, before) if before else spark.conf.unset(name)
