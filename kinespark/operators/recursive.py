@@ -38,18 +38,20 @@ def _complex(rows: Sequence, n: int) -> np.ndarray:
 
 def apply(
     df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], params: Sequence[str], design: Design, both_ways: bool, pad: int = 0,
-    short: Design | None = None, width: int = series.FRAMES_PER_BLOCK,
+    short: Design | None = None, width: int = series.FRAMES_PER_BLOCK, reused: bool = False,
 ) -> DataFrame:
     """Filter ``values`` along a gap-free ``index``; ``design`` makes the filter from a row's ``params``
     (columns that are constant in a key, dropped from the result).
 
     The series is taken as constant before its first and after its last sample.
     ``both_ways`` filters forward, then backward over the series extended oddly by
-    ``pad`` samples; keys with at most ``pad`` rows get the forward filter ``short``."""
+    ``pad`` samples; keys with at most ``pad`` rows get the forward filter ``short``. Columns
+    ``_lo`` and ``_hi``, if there, are the key's first and last index and are dropped too.
+    ``reused``: the result is read more than once, so all of it is written."""
     keys, values, params = list(keys), list(values), list(params)
-    out_cols = [c for c in df.columns if c not in params]
+    out_cols = [c for c in df.columns if c not in (*params, "_lo", "_hi")]
     width = max(width, 4 * pad, 8)
-    d = series.per_key(df, keys, F.min(index).alias("_lo"), F.max(index).alias("_hi"))
+    d = df if {"_lo", "_hi"} <= set(df.columns) else series.per_key(df, keys, F.min(index).alias("_lo"), F.max(index).alias("_hi"))
     n = F.col("_hi") - F.col("_lo") + 1
     last = F.greatest(F.floor(n / width) - 1, F.lit(0)).cast("long")  # a short rest belongs to the block before it
     d = d.withColumn("_last", last).withColumn("_blk", F.least(series.block_of(F.col(index) - F.col("_lo"), width), F.col("_last")))
@@ -109,6 +111,7 @@ def apply(
             yield out
 
     fixed = fixed.mapInPandas(correct, df.select(*out_cols).schema)
+    fixed = materialise(fixed, "filtered") if reused else fixed
     return done.where("not _more").select(*out_cols).unionByName(fixed)
 
 

@@ -264,18 +264,19 @@ def nearest(
 
 
 def fill_gaps(
-    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], width: int = series.FRAMES_PER_BLOCK
+    df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], width: int = series.FRAMES_PER_BLOCK, extent: bool = False
 ) -> DataFrame:
-    """Fill NULLs by row position: linear inside, end values outside."""
+    """Fill NULLs by row position: linear inside, end values outside. ``extent`` adds the key's
+    first and last index, ``_lo`` and ``_hi``."""
     want: dict[str, tuple[Column, bool]] = {}
     for v in values:
         one = F.when(F.col(v).isNotNull(), F.struct(F.col(index).alias("t"), F.col(v).alias("v")))
         want[f"_p_{v}"], want[f"_n_{v}"] = (one, True), (one, False)
-    d = series.carry_many(df, keys, [index], series.block_of(index, width), want, place=index)
+    d = series.carry_many(df, keys, [index], series.block_of(index, width), want, place=index, extent=index if extent else None)
     new = {
         v: F.coalesce(F.col(v), lerp(F.col(index), F.col(f"_p_{v}"), F.col(f"_n_{v}"), "clamp")) for v in values
     }
-    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns], *(("_lo", "_hi") if extent else ()))
 
 
 def evaluation_times(

@@ -168,7 +168,7 @@ def _filtered(df: DataFrame, fs: float | str | Column, cutoff: float | str | Col
     if isinstance(cutoff, (int, float)):
         return run(d)
     asked = F.coalesce(F.col("_fc") > 0, F.lit(False))
-    return run(d.where(asked)).unionByName(d.where(~asked).drop("_fs", "_fc"))
+    return run(d.where(asked)).unionByName(d.where(~asked).drop("_fs", "_fc", "_lo", "_hi"))
 
 
 def exponential(
@@ -199,15 +199,15 @@ def exponential_over_solved(
 
 def butterworth(
     df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], fs: float | str | Column, cutoff: float | str | Column | None,
-    order: int = 4, width: int = series.FRAMES_PER_BLOCK,
+    order: int = 4, width: int = series.FRAMES_PER_BLOCK, reused: bool = False,
 ) -> DataFrame:
     """Zero-phase Butterworth low-pass on a gap-free index: forward and backward
     over the oddly extended series. Series too short for the extension get the
     first-order filter. Rates and cutoffs may be columns that are constant in a key;
-    keys without a positive cutoff stay as they are."""
+    keys without a positive cutoff stay as they are. ``reused`` as in :func:`recursive.apply`."""
     design = partial(kernels.lowpass, order=order)
     return _filtered(df, fs, cutoff, lambda d: recursive.apply(
-        d, keys, index, values, ["_fs", "_fc"], design, True, 3 * (order + 1), kernels.first_order, width))
+        d, keys, index, values, ["_fs", "_fc"], design, True, 3 * (order + 1), kernels.first_order, width, reused))
 
 
 def antialias_cutoff(fs: float | Column, target: float | None, cutoff: float | None) -> float | Column | None:
@@ -230,11 +230,12 @@ def downsample(
     (a number, or a column that is constant in a key) is the target or less keep
     their frames. Gaps are filled first."""
     keys = list(keys)
-    d = df.select(*keys, index, *values, _param(fs).alias("_rate"))
-    d = materialise(resample.fill_gaps(d, keys, index, values, width), "filled")
+    # the fill reads its rows twice
+    d = materialise(df.select(*keys, index, *values, _param(fs).alias("_rate")), "rows")
+    d = materialise(resample.fill_gaps(d, keys, index, values, width, extent=True), "filled")
     rate = F.col("_rate") if not isinstance(fs, (int, float)) else float(fs)
-    d = butterworth(d, keys, index, values, "_rate", antialias_cutoff(rate, target, cutoff), width=width)
-    d = materialise(d, "filtered").withColumn("t", F.col(index) / F.col("_rate"))
+    d = butterworth(d, keys, index, values, "_rate", antialias_cutoff(rate, target, cutoff), width=width, reused=True)
+    d = d.withColumn("t", F.col(index) / F.col("_rate"))
     thin = (F.col("_rate") > target) & F.lit(target > 0)
     kept = d.where(~thin).select(*keys, F.col(index).alias("i"), "t", *values)
     d = d.where(thin)

@@ -117,9 +117,7 @@ def labelled(spark, sf):
        "WITH h AS (SELECT DISTINCT trial, CASE marker WHEN 1 THEN 'RSHO' WHEN 2 THEN 'LSHO' WHEN 3 THEN 'LASI' WHEN 4 THEN 'LASI' WHEN 5 THEN 'RKNE' WHEN 7 THEN 'RANK' END l FROM f8) "
        f"SELECT trial, label FROM (SELECT DISTINCT trial FROM f8), {S.values([(k,) for k in D.MOCAP_KEEP], 'k', ['label'])} WHERE (trial, label) NOT IN (SELECT (trial, l) FROM h WHERE l IS NOT NULL)")
 def _(spark, sf):
-    d = labelled(spark, sf)
-    _, missing = jobs.downsample_mocap(d, d.select("trial", "pos", "marker").distinct(), D.MOCAP_KEEP, 250.0)
-    return missing.select("trial", "label")
+    return jobs.missing_labels(labelled(spark, sf).select("trial", "pos", "marker").distinct(), D.MOCAP_KEEP).select("trial", "label")
 
 
 def sql_mocap(rate, cutoffs):
