@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.functions import text
+from kinespark.session import materialise
 
 HEADER_LINES = 6
 # Second header line.
@@ -29,7 +30,9 @@ def write_trc(
     Frames count from 0 here and from 1 in the file; times are frame / rate;
     missing values are empty cells. The parts of a trial, in name order, are one
     TRC text, so a long trial is written by many tasks."""
-    trc_lines(df, rate, order, units, source_rate, digits).repartitionByRange("trial", "pos").sortWithinPartitions(
+    # markers are read more than once, lines once more to find the ranges
+    lines = materialise(trc_lines(materialise(df, "markers"), rate, order, units, source_rate, digits), "lines")
+    lines.repartitionByRange("trial", "pos").sortWithinPartitions(
         "trial", "pos"
     ).select("trial", F.col("line").alias("value")).write.mode("overwrite").partitionBy("trial").text(path)
 
@@ -42,12 +45,8 @@ def trc_lines(
     src = rate if source_rate is None else source_rate
     cells = F.map_from_entries(F.collect_list(F.struct("marker", F.struct("x", "y", "z"))))
     body = df.groupBy("trial", "frame").agg(cells.alias("_m"))
-    stats = body.groupBy("trial").agg((F.max("frame") + 1).alias("_f"))
-    if order is None:
-        names = df.select("trial", "marker").distinct().groupBy("trial").agg(F.array_sort(F.collect_list("marker")).alias("_names"))
-        stats = stats.join(names, "trial")
-    else:
-        stats = stats.withColumn("_names", F.array(*[F.lit(m) for m in order]))
+    names = F.array_sort(F.collect_set("marker")) if order is None else F.array(*[F.lit(m) for m in order])
+    stats = df.groupBy("trial").agg((F.max("frame") + 1).alias("_f"), names.alias("_names"))
     d = body.join(stats.select("trial", "_names"), "trial")
     one = lambda n: F.transform(
         F.array(*[F.try_element_at(F.col("_m"), n)[c] for c in "xyz"]), lambda v: text.fixed(v, digits)
@@ -73,14 +72,15 @@ def trc_lines(
 
 
 def _lines(spark: SparkSession, path: str, trial: str) -> DataFrame:
-    """trial, value, pos (order of the line: file, split offset, running id)."""
+    """trial, value, pos (order of the line: file, split offset, running id), written once: the
+    scans read them several times, and opening many small files is what takes the time."""
     raw = spark.read.text(path)
     name = F.col(trial).cast("string") if trial in raw.columns else F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return raw.select(
+    return materialise(raw.select(
         name.alias("trial"), "value",
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("id")).alias("pos"),
-    )
+    ), "lines")
 
 
 def _numbered(spark: SparkSession, path: str, trial: str) -> DataFrame:
