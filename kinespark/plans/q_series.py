@@ -7,6 +7,7 @@ from kinespark.functions import kernels
 from kinespark.operators import resample, series, smooth, stats, timealign
 from kinespark.plans import fixtures as X
 from kinespark.plans.registry import query, r6
+from kinespark.session import materialise
 
 HOUR = 3600.0
 K2 = ["trial", "marker"]
@@ -69,10 +70,9 @@ def _(spark, sf):
        f"q AS (SELECT g.trial, g.marker, {sql_lerp(v='x')} AS x, {sql_lerp(v='y')} AS y, {sql_lerp(v='z')} AS z FROM {asof('g', 's')}) "
        "SELECT trial, marker, count(x) n, round(avg(x),6) mx, round(avg(y),6) my, round(avg(z),6) mz FROM q GROUP BY ALL")
 def _(spark, sf):
-    d = X.markers_big(spark, sf).withColumn("t", F.col("frame") / 60.0)
+    d = materialise(X.markers_big(spark, sf).withColumn("t", F.col("frame") / 60.0), "samples")
     span = d.groupBy(*K2).agg(F.lit(0.0).alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    grid = resample.time_grid(span.select(*K2, "t0", "t1"), 100.0, "floored").select(*K2, "i", "t")
-    q = resample.interpolate(d, grid, K2, ["x", "y", "z"])
+    q = resample.on_grid(d, span.select(*K2, "t0", "t1"), K2, ["x", "y", "z"], 100.0, "floored")
     return q.groupBy(*K2).agg(F.count("x").alias("n"), *[r6(F.avg(c), f"m{c}") for c in "xyz"])
 
 
@@ -292,7 +292,7 @@ X.VIEWS["f8f"] = (["f8g"], "SELECT trial, marker, frame, coalesce(gap, CASE WHEN
 @query("win_11_downsample", ["f8f"],
        "SELECT trial, marker, i, round(t,6) t, round(y,6) x FROM (" + sql_downsampled("SELECT trial, marker, 'x' c, frame i, x v, 100.0::DOUBLE fs FROM f8f", {100.0: 6.0}, 25.0) + ")")
 def _(spark, sf):
-    d = series.per_key(X.markers_big(spark, sf), K2, F.max("frame").alias("m"))
+    d = series.per_key(X.markers_big(spark, sf), K2, F.max("frame").alias("m"), written=True)
     d = d.select(*K2, "frame", F.when((F.col("frame") % 9 != 4) | (F.col("m") < 5), F.col("x")).alias("x"))
     return smooth.downsample(d, K2, "frame", ["x"], 100.0, 25.0, 6.0).select(*K2, "i", r6("t"), r6("x"))
 

@@ -26,6 +26,20 @@ def build_session(app: str = "kinespark", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+#: Parts that a shuffle begins with, see :func:`small_parts`. Up to 200 (Spark's
+#: spark.shuffle.sort.bypassMergeThreshold) rows go to their files without being sorted in memory.
+PARTS = 200
+
+
+def small_parts(spark: SparkSession) -> None:
+    """Let shuffles begin with PARTS parts. Adaptive execution joins small ones up to its advisory
+    size, so a task's share of a larger input stays at that size until all parts are larger. A
+    number that the session names already is left alone."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
