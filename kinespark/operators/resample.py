@@ -178,7 +178,7 @@ def on_grid(
     over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY t)"
     d = d.select(*keys, "_blk", "t", *[f"_k_{n}" for n in channels], *[
         F.expr(f"{fn}(`_k_{n}`, 1) IGNORE NULLS {over}").alias(f"_l_{s}_{n}") for n in channels for s, fn in (("p", "lag"), ("n", "lead"))])
-    d = d.join(ends, [*keys, "_blk"])
+    d = d.join(ends.hint("merge"), [*keys, "_blk"])
     near = lambda s, n: F.coalesce(F.col(f"_l_{s}_{n}"), F.col(f"_c_{s}_{n}"))
 
     def place(c: Column) -> Column:

@@ -116,8 +116,8 @@ def carry_many(
     over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY {', '.join(f'`{n}`' for n in names)})"
     near = {n: F.expr(f"{'lag' if fwd else 'lead'}(`{col_of[n]}`, 1) IGNORE NULLS {over}") for n, (_, fwd) in values.items()}
     local = d.select(*df.columns, "_blk", *[(F.coalesce(F.col(col_of[n]), c) if inclusive else c).alias(f"_l_{n}") for n, c in near.items()])
-    # a row per block, used three times
-    return local.join(_scan(materialise(tails, "tails"), keys, values, totals, ends), [*keys, "_blk"]).select(
+    # a row per block, used three times; rows are sorted already, and written rows can look small enough to be broadcast
+    return local.join(_scan(materialise(tails, "tails"), keys, values, totals, ends).hint("merge"), [*keys, "_blk"]).select(
         *df.columns, *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values], *[F.col(f"_c_{n}").alias(n) for n in (*totals, *ends)],
     )
 

@@ -141,3 +141,9 @@ def test_queries_shuffle_into_small_parts(spark, sf):
     catalog.QUERIES["win_16_still_ranges"](spark, sf)
     assert spark.conf.get(name) == "7"
     spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_written_rows_are_not_broadcast(spark):
+    d = session.materialise(spark.range(2000).selectExpr("id % 3 as k", "id as i", "if(id % 5 = 0, null, 1.0D) as x"), "rows")
+    joins = [line for line in plan(resample.fill_gaps(d, ["k"], "i", ["x"])).splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0]
