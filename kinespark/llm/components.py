@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.session import materialise
+from kinespark.session import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         # smaller neighbours of u, and u itself, move to the least of them
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "stars")
+        used, edges = (edges, large), materialise(small.where("u <> v").distinct(), "stars")
+        discard(*used)
         state = _state(edges)
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -63,10 +63,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialise(df, label: str):
     """Write a frame as parquet in the shared folder and read it back: cuts the
     lineage before a result that is used more than once, and survives the loss
-    of executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    of executors. The shuffle files of the write go with its end: what is read
+    afterwards is the table."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, label), spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.parquet(path)
 
 
 def discard(*frames) -> None:

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinespark.llm import doubling, hard_negatives, variants
+from kinespark.llm import doubling, hard_negatives, ngram_join, variants
 from kinespark.llm.cover_tree import LIMIT, NONE, CoverTree
+from kinespark.session import materialise
 
 R = random.Random(11)
 VOCAB = [a + b for a in "ba co di fe gu ha jo ki la mu".split() for b in "nar sol ten vix zu".split()]
@@ -214,3 +215,44 @@ def test_cover_tree_covers_and_skips():
     for i in range(n):
         want = [j for j in np.lexsort((np.arange(3000), -score[i])) if j != i][:5]
         assert list(tree.read(best[i, 0])[1]) == want
+
+
+def test_join_compares_few_pairs(spark, monkeypatch):
+    """Documents that share a passage, or differ a little too much, aren't compared pair by pair; links stay."""
+    word = lambda i: f"w{i}"
+    passage = [word(i) for i in range(60)]
+    rows = [(i, " ".join(passage + [f"d{i}x{j}" for j in range(150)])) for i in range(80)]
+    base = [f"b{j}" for j in range(200)]
+    for i in range(60):  # four edits each: two of them share 160 of 232 shingles
+        w = list(base)
+        for j in range(4):
+            w[(7 * i + 50 * j) % 200] = f"e{i}x{j}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200, " ".join(base)), (201, rows[5][1] + " more"), (202, rows[5][1])]
+    seen, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()}
+    assert sum(seen) <= 3 * len(rows), seen
+    sets = {d: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sorted(sets):  # each component takes its smallest id
+        for b in sets:
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    assert got == root and got[101] == 100 and got[202] == got[201] == 5
+
+
+def test_shuffle_files_go_with_a_write(spark):
+    """A written table's shuffle files don't stay until the session ends, and the setting does not stay either."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name, None), []
+    df = spark.range(10).groupBy("id").count()
+    real = type(df.write).parquet
+    try:
+        type(df.write).parquet = lambda self, path, *a, **k: (seen.append(spark.conf.get(name)), real(self, path, *a, **k))[1]
+        assert materialise(df, "t").count() == 10
+    finally:
+        type(df.write).parquet = real
+    assert seen == ["true"] and spark.conf.get(name, None) == before
