@@ -7,9 +7,12 @@ memo that holds ``limit`` pieces forgets those it met least, which bounds its me
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import string
 import unicodedata
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -47,7 +50,7 @@ class _Slots(dict):
 class Memo:
     """``look`` turns a list of pieces into slots; ``ids`` and ``counts`` serve them.
 
-    ``encode`` gives the id lists of a list of new pieces."""
+    ``encode`` gives the ids of each of a list of new pieces, as lists or packed in 4 bytes each."""
 
     def __init__(self, encode, limit: int = LIMIT):
         self.encode, self.limit = encode, limit
@@ -85,14 +88,23 @@ class Memo:
 
     def _learn(self):
         new, self.slots.new = self.slots.new, []
-        lists = self.encode(new)
+        collects = gc.isenabled()
+        gc.disable()  # many small lists and no cycles: looking for some takes a tenth of the time
+        try:
+            lists = self.encode(new)
+        finally:
+            if collects:
+                gc.enable()
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        packed = bool(lists) and isinstance(lists[0], bytes)
+        if packed:
+            sizes //= 4
         need, n = self.used + int(sizes.sum()), self.n + len(lists)
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.start):
             self.start, self.size = (np.concatenate([a, np.zeros(len(a) + 1024, np.int64)]) for a in (self.start, self.size))
-        self.flat[self.used:need] = np.fromiter((i for x in lists for i in x), np.int32, need - self.used)
+        self.flat[self.used:need] = np.frombuffer(b"".join(lists), np.int32) if packed else np.fromiter(chain.from_iterable(lists), np.int32, need - self.used)
         self.size[self.n:n] = sizes
         self.start[self.n:n] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else 0
         self.used, self.n = need, n
@@ -110,7 +122,7 @@ _memos: dict[tuple, Memo] = {}
 
 # ---- vocabularies that drop white space: every ASCII-white-space word stands alone
 
-_TAIL = b".,;:!?"
+_TAIL = string.punctuation.encode()
 
 
 def _closed(core: bytes) -> bool:
@@ -121,14 +133,60 @@ def _closed(core: bytes) -> bool:
     return unicodedata.category(last[-1:] or " ")[0] in "LN"
 
 
+def _packed(lists: list[list[int]]) -> list[bytes]:
+    """Ids in 4 bytes each: the garbage collector needn't look at bytes."""
+    raw = np.fromiter(chain.from_iterable(lists), np.int32).tobytes()
+    cuts = [0, *accumulate(4 * len(x) for x in lists)]
+    return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _plain_encoder(tokenizer):
+    """Ids of words of letters alone, which such a tokenizer takes as one piece each. Lower-case
+    ASCII letters are their own normal form and byte symbols, so the model gets them at once.
+    Other letters go through the library many words a text: every piece ends in one token with
+    the end-of-word suffix, so a text with as many of those as words falls apart at them. Where
+    either doesn't hold, words go one by one."""
+    model = tokenizer.model
+    one_by_one = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    direct = lambda texts: [[t.id for t in model.tokenize(x)] for x in texts]
+    probe = ["a", "the", "zebra", "qxzjkvwpy", "internationally", "abcdefghijklmnopqrstuvwxyz" * 3]
+    at_once = direct(probe) == one_by_one(probe)
+    suffix = getattr(model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        if words and words[0].isascii():
+            return _packed(direct(texts) if at_once else one_by_one(texts))
+        if not suffix:
+            return _packed(one_by_one(texts))
+        out, step = [], 32
+        joined = one_by_one([" ".join(texts[i:i + step]) for i in range(0, len(texts), step)])
+        for k, ids in enumerate(joined):
+            part = texts[k * step:(k + 1) * step]
+            row = np.array(ids, np.int32)
+            cuts = (4 * (np.flatnonzero(ends[row]) + 1)).tolist()
+            if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
+                raw = row.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+            else:
+                out += _packed(one_by_one(part))
+        return out
+
+    return encode
+
+
 def _word_encoder(tokenizer):
     """Ids of words by those of their core and their closing punctuation, which such
     a tokenizer never joins where the core ends in a letter or digit; ASCII capitals
     fold, as its normaliser would. Left whole are cores that end in anything else, as
     the tokenizer takes a run of marks as one piece, and what may hold a special
     token's string."""
-    cores: dict[bytes, list[int]] = {}
-    older: dict[bytes, list[int]] = {}
+    cores: dict[bytes, bytes] = {b"": b""}
+    older: dict[bytes, bytes] = {}
+    plain = _plain_encoder(tokenizer)
 
     def parts(w: bytes) -> tuple[bytes, bytes]:
         if b"<|" in w:
@@ -138,17 +196,25 @@ def _word_encoder(tokenizer):
         core = w.rstrip(_TAIL)
         return (core, w[len(core):]) if _closed(core) else (w, b"")
 
-    def encode(words: list[bytes]) -> list[list[int]]:
+    def encode(words: list[bytes]) -> list[bytes]:
         nonlocal cores, older
         if len(cores) > LIMIT // 2:
-            cores, older = {}, cores
-        split = [parts(w) for w in words]
-        new = {x for two in split for x in two if x and x not in cores}
-        cores.update((x, older[x]) for x in new if x in older)
-        todo = [x for x in new if x not in cores]
-        for x, e in zip(todo, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False)):
-            cores[x] = e.ids
-        cores[b""] = []
+            cores, older = {b"": b""}, cores
+        # isalpha: ASCII letters alone
+        split = [(w.lower(), b"") if w.isalpha() else (w[:-1].lower(), w[-1:]) if w[-1] in _TAIL and w[:-1].isalpha() else parts(w) for w in words]
+        new = {a for a, _ in split if a not in cores}
+        new.update({b for _, b in split if b not in cores})
+        if older:
+            for x in [x for x in new if x in older]:
+                cores[x] = older[x]
+                new.remove(x)
+        letters = [x for x in new if x.isalpha() and x.islower()]
+        others = [x for x in new if not x.isascii() and (t := x.decode("utf-8", "replace")).isalpha() and t.encode() == x]
+        rest = list(new.difference(letters, others))
+        cores.update(zip(letters, plain(letters)))
+        cores.update(zip(others, plain(others)))
+        whole = tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)
+        cores.update(zip(rest, _packed([e.ids for e in whole])))
         return [cores[a] + cores[b] if b else cores[a] for a, b in split]
 
     return encode
@@ -160,7 +226,9 @@ def word_ids(path: str, texts: list[str]) -> list[np.ndarray]:
     if key not in _memos:
         _memos[key] = Memo(_word_encoder(load(path)))
     memo = _memos[key]
-    split = [t.encode("utf-8", "replace").split() for t in texts]
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    # fewer words to remember; beside other letters capitals may compose otherwise, and a special token's string has its case
+    split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in raw]
     slots = memo.look([w for ws in split for w in ws])
     ids = memo.ids(slots)
     per_text = np.add.reduceat(np.append(memo.size[slots], 0), np.cumsum([0] + [len(x) for x in split])[:-1]) if split else np.zeros(0, np.int64)

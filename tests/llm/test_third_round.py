@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from kinespark.llm import doubling, hard_negatives, ngram_join, variants
+from kinespark.llm import doubling, hard_negatives, ngram_join, subwords, variants
 from kinespark.llm.cover_tree import LIMIT, NONE, CoverTree
 from kinespark.session import materialise
 
@@ -256,3 +257,32 @@ def test_shuffle_files_go_with_a_write(spark):
     finally:
         type(df.write).parquet = real
     assert seen == ["true"] and spark.conf.get(name, None) == before
+
+
+def test_new_words_cost_few_library_calls(monkeypatch):
+    """Words of letters reach the library joined or not at all; ids are those of the library for odd words, too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, r = subwords.load(path), random.Random(3)
+    odd = list("abcXYZ09'\"$&<|>_-.,!?#é") + ["ç", "ß", "İ", "ñ", "Σ", "́", "̌", "J", "中", "'s", "'ll", "1"]
+    for k in range(300):
+        text = " ".join("".join(r.choice(odd) for _ in range(r.randint(1, 7))) for _ in range(6))
+        text = text if k % 3 else text.encode("ascii", "ignore").decode()
+        assert subwords.word_ids(path, [text])[0].tolist() == tk.encode(text, add_special_tokens=False).ids
+
+    class Counted:
+        sent = 0
+
+        def __getattr__(self, name):
+            return getattr(tk, name)
+
+        def encode_batch_fast(self, texts, **how):
+            Counted.sent += len(texts)
+            return tk.encode_batch_fast(texts, **how)
+
+    encode = subwords._word_encoder(Counted())
+    Counted.sent = 0
+    words = [w.encode() for w in ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(300)]]
+    words += [w + b"$$$" for w in words] + [w + "éü".encode() for w in words]
+    got = [np.frombuffer(x, np.int32).tolist() for x in encode(words)]
+    assert got == [tk.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert Counted.sent < 30
