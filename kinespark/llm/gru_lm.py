@@ -16,11 +16,12 @@ up by a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ from kinespark.session import materialise
 VOCABULARY, KNOWN = 2047, 200_000
 #: Rounds of the one pass over all training documents; each teaches in one of them.
 ROUNDS = 4
-#: Documents a task holds at once, as long as their words are no more than this.
-POOL, POOL_WORDS = 2048, 400_000
+#: Documents whose ids a task holds at once, as long as their words are no more than this.
+POOL, POOL_WORDS = 65_536, 4_000_000
+#: Bytes of text that are cut into words at once, one document at least; distinct words a task sums up before it sends them.
+SLICE, SUMMED = 8 << 20, 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,58 +43,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
-
-
-def counts(training: DataFrame) -> DataFrame:
-    """(word, c) of all words of ``text``; tasks send sums, not words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(_words(t))
-                if len(seen) > 500_000:
-                    yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches, so many at once that their texts are about ``SLICE`` bytes."""
+    for b in batches:
+        part = np.cumsum(pc.binary_length(b["text"]).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
 
-    return training.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, as binary, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(flat), 0)  # there is an empty one where a text begins or ends with white space
+    sums = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return flat.filter(full).cast(pa.binary()), np.diff(sums[ends], prepend=0)
 
-class _Table(dict):
-    """Word to rank; -1 for a word that has none."""
 
-    def __missing__(self, word):
-        return -1
+def counts(training: DataFrame) -> DataFrame:
+    """(word, c) of all words of ``text``; tasks send sums, not words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = [], 0
+        for b in _slices(batches):
+            word, c = pc.value_counts(_words(b["text"])[0]).flatten()
+            seen.append(pa.table({"word": word, "c": c}))
+            rows += len(word)
+            if rows > SUMMED:
+                seen = [pa.concat_tables(seen).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])]
+                rows = len(seen[0])
+            if rows > SUMMED:
+                yield from seen[0].to_batches()
+                seen, rows = [], 0
+        for t in seen:
+            yield from t.to_batches()
 
-def _pools(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    rows, docs, size = [], [], 0
-    for b in batches:
-        for row in b.itertuples(index=False):
-            rows.append(row)
-            docs.append(_words(row.text))
-            size += len(docs[-1])
-            if len(docs) >= POOL or size >= POOL_WORDS:
-                yield rows, docs
-                rows, docs, size = [], [], 0
-    if docs:
-        yield rows, docs
+    return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ranked(docs: list[list[bytes]], table: _Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All words, their ranks, and the end of each document among them."""
-    flat = [w for d in docs for w in d]
-    return flat, np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(d) for d in docs])
+def _ranks(words: pa.Array, table: pa.Array) -> np.ndarray:
+    """Places of words in ``table``; -1 for a word that isn't there."""
+    return pc.index_in(words, value_set=table).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _own_ids(rank: np.ndarray, ends: np.ndarray, own: int, other: int) -> list[np.ndarray]:
+def _own_ids(rank: np.ndarray, n: np.ndarray, own: int, other: int) -> list[np.ndarray]:
     """Ids of each document with its end: 0 the end, 1 .. own words, ``other`` the rest."""
-    ids = np.where((rank < 0) | (rank >= own), other, rank + 1)
-    return [np.append(x, 0) for x in np.split(ids, ends[:-1])]
+    ids = np.zeros(len(rank) + len(n), np.int32)
+    ids[np.arange(len(rank)) + np.repeat(np.arange(len(n)), n)] = np.where((rank < 0) | (rank >= own), other, rank + 1)
+    return np.split(ids, np.cumsum(n + 1)[:-1])
 
 
 class Corpus:
@@ -103,7 +102,7 @@ class Corpus:
         total = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.distinct = total["n"] + self.ends, total["v"] + (self.ends > 0)
         top = self._commonest(known)
-        self.words = [bytes(w) for w in top["word"]]
+        self.words = pa.array([bytes(w) for w in top["word"]], pa.binary())
         self.known = top["c"].to_numpy(np.int64) if len(top) else np.zeros(0, np.int64)
         self.own = min(vocabulary, len(self.words))
         #: ids of the recurrent model: the end, its own words, unused ones; then "other"
@@ -133,15 +132,19 @@ def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gru.Para
     for r in range(rounds):
         held = spark.sparkContext.broadcast((gru.pack(model), words))
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             data, words = held.value
-            table = _Table(zip(words, range(len(words))))
-            trainer = gru.Trainer(gru.unpack(data, like))
-            for _, docs in _pools(batches):
-                _, rank, ends = _ranked(docs, table)
-                gru.train(trainer, _own_ids(rank, ends, own, other))
+            trainer, docs, size = gru.Trainer(gru.unpack(data, like)), [], 0
+            for b in _slices(batches):
+                found, n = _words(b["text"])
+                docs += _own_ids(_ranks(found, words), n, own, other)
+                size += len(found)
+                if len(docs) >= POOL or size >= POOL_WORDS:
+                    gru.train(trainer, docs)
+                    docs, size = [], 0
+            gru.train(trainer, docs)
             if trainer.tokens:
-                yield pd.DataFrame({"salt": [TaskContext.get().partitionId() % 16], "tokens": [trainer.tokens], "weights": [gru.pack(trainer.p)]})
+                yield pa.RecordBatch.from_pydict({"salt": pa.array([TaskContext.get().partitionId() % 16], pa.int32()), "tokens": [trainer.tokens], "weights": [gru.pack(trainer.p)]})
 
         def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, tokens = None, 0
@@ -154,7 +157,7 @@ def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gru.Para
 
         shape = "salt int, tokens long, weights binary"
         share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select("text")
-        means = list(average([share.mapInPandas(run, shape).repartition(min(n, 16), "salt").mapInPandas(average, shape).toPandas()]))  # 16 rows at most
+        means = list(average([share.mapInArrow(run, shape).repartition(min(n, 16), "salt").mapInPandas(average, shape).toPandas()]))  # 16 rows at most
         if means:
             model = gru.unpack(means[0]["weights"][0], like)
         held.unpersist()
@@ -178,35 +181,43 @@ def score(docs: DataFrame, **how) -> DataFrame:
     like = corpus.start
     held = spark.sparkContext.broadcast((gru.pack(model), corpus.words, corpus.known))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, words, known = held.value
-        p, table = gru.unpack(data, like), _Table(zip(words, range(len(words))))
-        logs = np.log10(known + 1.0)
+        p, logs = gru.unpack(data, like), np.append(np.log10(known + 1.0), 0.0)  # a rank of -1 finds the 0
+        over = np.append(np.where(np.arange(len(known)) < own, 0.0, logs[:-1] - other_of), -other_of)  # what a word adds to the model's score
         row0 = TaskContext.get().partitionId() << 36
-        for rows, docs in _pools(batches):
-            flat, rank, ends = _ranked(docs, table)
-            n = np.diff(ends, prepend=0)
-            doc = np.repeat(np.arange(len(docs)), n)
-            has, rest = rank >= 0, (rank < 0) | (rank >= own)
-            log_c = np.where(has, logs[np.maximum(rank, 0)] if len(logs) else 0.0, 0.0)
-            sums = lambda x: np.bincount(doc, x, len(docs))
-            yield pd.DataFrame({
-                "row": np.arange(row0, row0 + len(docs)), "doc_id": pd.array([r.doc_id for r in rows], "Int64"), "held_out": [r.held_out for r in rows],
-                "n_tokens": n + 1, "n_known": (sums(has) + (ends_seen > 0)).astype(np.int64),
-                "base": sums(log_c) + math.log10(ends_seen + 1) - (n + 1) * base_of,
-                "score": gru.score(p, _own_ids(rank, ends, own, other)) / math.log(10) + sums(np.where(rest, log_c - other_of, 0.0)), "word": None})
-            rare = np.flatnonzero(~has)
-            yield pd.DataFrame({"row": row0 + doc[rare], "doc_id": None, "held_out": None, "n_tokens": None, "n_known": None, "base": None, "score": None,
-                                "word": [flat[i] for i in rare]})
-            row0 += len(docs)
-
-    def typed(batches):
-        for f in run(batches):
-            if len(f):
-                yield f.astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "base": "float64", "score": "float64"})
 
+        def frame(rows, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in fields)], ["row", *(f.name for f in fields)])
+
+        def scored(parts, docs, first):
+            n, has, base, more = (np.concatenate([x[k] for x in parts]) for k in range(1, 5))
+            return frame(np.arange(first, first + len(docs)), n_tokens=pa.array(n + 1, pa.int64()), n_known=pa.array(has.astype(np.int64) + (ends_seen > 0)),
+                         doc_id=pa.concat_arrays([x[0]["doc_id"].cast(pa.int64()) for x in parts]), held_out=pa.concat_arrays([x[0]["held_out"] for x in parts]),
+                         base=pa.array(base + math.log10(ends_seen + 1) - (n + 1) * base_of), score=pa.array(gru.score(p, docs) / math.log(10) + more))
+
+        parts, docs, size = [], [], 0
+        for b in _slices(batches):
+            found, n = _words(b["text"])
+            rank, doc = _ranks(found, words), np.repeat(np.arange(len(n)), n)
+            sums = lambda x: np.bincount(doc, x, len(n))
+            rare = np.flatnonzero(rank < 0)
+            if len(rare):
+                yield frame(row0 + len(docs) + doc[rare], word=found.take(pa.array(rare)))
+            parts.append((b.select(["doc_id", "held_out"]), n, sums(rank >= 0), sums(logs[rank]), sums(over[rank])))
+            docs += _own_ids(rank, n, own, other)
+            size += len(found)
+            if len(docs) >= POOL or size >= POOL_WORDS:
+                yield scored(parts, docs, row0)
+                row0 += len(docs)
+                parts, docs, size = [], [], 0
+        if docs:
+            yield scored(parts, docs, row0)
+
+    fields = [pa.field("doc_id", pa.int64()), pa.field("held_out", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()),
+              pa.field("base", pa.float64()), pa.field("score", pa.float64()), pa.field("word", pa.binary())]
     shape = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary"
-    parts = materialise(docs.mapInPandas(typed, shape), "scores")
+    parts = materialise(docs.mapInArrow(run, shape), "scores")
     # words beyond the commonest: each adds its log10(c + 1) to both sums
     words = parts.where("word IS NOT NULL").groupBy("word", "row").count()
     rare = words.join(corpus.counts, "word").groupBy("row").agg(
