@@ -157,15 +157,12 @@ def _sums(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(at, append=len(ids))
     turn = np.argsort(-n, kind="stable")
     at, n = at[turn], n[turn]
-    flat = np.empty((len(ids), len(rows), rows.shape[2]), np.float32)
-    for k, v in enumerate(rows):
-        flat[:, k] = v.take(order, 0)
-    flat = flat.reshape(len(ids), -1)
-    out, many = flat.take(at, 0), int((n > 8).sum())
+    flat = rows.transpose(1, 0, 2).reshape(len(ids), -1).take(order, 0)
+    out, many = flat.take(at, 0), int((n > 16).sum())
     for j in range(many):
         out[j] = np.ones(n[j], np.float32) @ flat[at[j]:at[j] + n[j]]
-    for j in range(1, 8):  # the second place of each of the others, the third, ...
-        more = int((n > j).sum())
+    for j in range(1, 16):  # the second place of each of the others, the third, ...
+        more = max(many, int((n > j).sum()))
         out[many:more] += flat.take(at[many:more] + j, 0)
     return ids[order[at]], out.reshape(len(at), len(rows), -1)
 

@@ -188,11 +188,11 @@ def score(docs: DataFrame, **how) -> DataFrame:
         row0 = TaskContext.get().partitionId() << 36
 
         def frame(rows, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in fields)], ["row", *(f.name for f in fields)])
+            return pa.RecordBatch.from_arrays([rows, *(columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in fields)], ["row", *(f.name for f in fields)])
 
         def scored(parts, docs, first):
             n, has, base, more = (np.concatenate([x[k] for x in parts]) for k in range(1, 5))
-            return frame(np.arange(first, first + len(docs)), n_tokens=pa.array(n + 1, pa.int64()), n_known=pa.array(has.astype(np.int64) + (ends_seen > 0)),
+            return frame(pa.array(np.arange(first, first + len(docs))), n_tokens=pa.array(n + 1, pa.int64()), n_known=pa.array(has.astype(np.int64) + (ends_seen > 0)),
                          doc_id=pa.concat_arrays([x[0]["doc_id"].cast(pa.int64()) for x in parts]), held_out=pa.concat_arrays([x[0]["held_out"] for x in parts]),
                          base=pa.array(base + math.log10(ends_seen + 1) - (n + 1) * base_of), score=pa.array(gru.score(p, docs) / math.log(10) + more))
 
@@ -203,7 +203,8 @@ def score(docs: DataFrame, **how) -> DataFrame:
             sums = lambda x: np.bincount(doc, x, len(n))
             rare = np.flatnonzero(rank < 0)
             if len(rare):
-                yield frame(row0 + len(docs) + doc[rare], word=found.take(pa.array(rare)))
+                each = pa.table({"row": row0 + len(docs) + doc[rare], "word": found.take(pa.array(rare))}).group_by(["row", "word"]).aggregate([([], "count_all")])
+                yield from (frame(t["row"], word=t["word"], times=t["count_all"]) for t in each.to_batches())
             parts.append((b.select(["doc_id", "held_out"]), n, sums(rank >= 0), sums(logs[rank]), sums(over[rank])))
             docs += _own_ids(rank, n, own, other)
             size += len(found)
@@ -215,13 +216,12 @@ def score(docs: DataFrame, **how) -> DataFrame:
             yield scored(parts, docs, row0)
 
     fields = [pa.field("doc_id", pa.int64()), pa.field("held_out", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()),
-              pa.field("base", pa.float64()), pa.field("score", pa.float64()), pa.field("word", pa.binary())]
-    shape = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary"
+              pa.field("base", pa.float64()), pa.field("score", pa.float64()), pa.field("word", pa.binary()), pa.field("times", pa.int64())]
+    shape = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, times long"
     parts = materialise(docs.mapInArrow(run, shape), "scores")
     # words beyond the commonest: each adds its log10(c + 1) to both sums
-    words = parts.where("word IS NOT NULL").groupBy("word", "row").count()
-    rare = words.join(corpus.counts, "word").groupBy("row").agg(
-        F.sum("count").alias("more"), F.sum(F.col("count") * F.log10(F.col("c") + 1)).alias("logs"))
+    rare = parts.where("word IS NOT NULL").select("word", "row", "times").join(corpus.counts, "word").groupBy("row").agg(
+        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return parts.where("n_tokens IS NOT NULL").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"),
