@@ -138,3 +138,45 @@ def odd_extension(x: np.ndarray, n: int, front: bool, back: bool) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def filled(
+    i: np.ndarray, starts: np.ndarray, value: tuple[np.ndarray, np.ndarray], before: Sequence[tuple[np.ndarray, np.ndarray]], behind: Sequence[tuple[np.ndarray, np.ndarray]],
+) -> np.ndarray:
+    """Values of series that lie end to end (first rows ``starts``, index ``i``), gaps filled: linear
+    inside, end values outside. A column is (values, known); ``before`` and ``behind`` are the columns
+    (index, value) of the nearest known rows beyond the given ones."""
+    x, known = value
+    rows = np.arange(len(x))
+    size = np.diff(np.append(starts, len(x)))
+    first = np.repeat(starts, size)
+    gaps = np.flatnonzero(~known)
+
+    def near(at: np.ndarray, here: np.ndarray, beyond: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        at, here = np.where(here, at, 0)[gaps], here[gaps]
+        (t, there), (v, _) = beyond
+        return np.where(here, i[at], t[gaps]), np.where(here, x[at], v[gaps]), here | there[gaps]
+
+    prev = np.maximum.accumulate(np.where(known, rows, -1))
+    nxt = np.minimum.accumulate(np.where(known, rows, len(x))[::-1])[::-1]
+    t0, v0, has0 = near(prev, prev >= first, before)
+    t1, v1, has1 = near(nxt, nxt < first + np.repeat(size, size), behind)
+    both = has0 & has1
+    share = (i[gaps] - t0) / np.where(both, t1 - t0, 1)
+    full = x.copy()
+    full[gaps] = np.where(both, v0 + (v1 - v0) * share, np.where(has0, v0, v1))
+    return full
+
+
+def window_mean(i: np.ndarray, n: np.ndarray, starts: np.ndarray, x: np.ndarray, half: int) -> np.ndarray:
+    """Mean of each row and the ``half`` on both sides, added up in their order. Series lie end to end;
+    those of ``n`` rows are mirrored at both ends. Rows whose window isn't given whole get no meaning."""
+    top = n - 1
+    origin = np.repeat(starts - i[starts], np.diff(np.append(starts, len(x))))  # place of index 0
+    edge = np.flatnonzero((i < half) | (i > top - half))
+    period = np.maximum(2 * top[edge], 1)
+    total, ends, wide = np.zeros(len(x)), np.zeros(len(edge)), np.pad(x, half)
+    for k in range(-half, half + 1):
+        total += wide[half + k: half + k + len(x)]
+        p = (i[edge] + k) % period
+        ends += x[np.clip(origin[edge] + np.where(top[edge] > 0, np.minimum(p, period - p), 0), 0, len(x) - 1)]
+    total[edge] = ends
+    return total / (2 * half + 1)

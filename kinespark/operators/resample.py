@@ -7,6 +7,7 @@ axis and the nearest known sample on either side is carried to each target (see
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinespark.operators import series
 from kinespark.operators.stats import exact_percentiles
-from kinespark.session import materialise
+from kinespark.session import discard, materialise
 
 
 def grid_length(span: Column, rate: Column, rule: str) -> Column:
@@ -140,6 +141,10 @@ def interpolate(
     return d.select(*targets.columns, *out)
 
 
+#: Placed grid rows that a task makes, and the stretches that it sorts for them, on average.
+ROWS_PER_TASK, STRETCHES_PER_TASK = 1 << 20, 1 << 17
+
+
 def on_grid(
     samples: DataFrame,
     spans: DataFrame,
@@ -152,14 +157,29 @@ def on_grid(
     min_samples: int = 2,
     block_s: float = series.SECONDS_PER_BLOCK,
     width: int = series.FRAMES_PER_BLOCK,
+    halo: int | None = None,
 ) -> DataFrame:
     """:func:`interpolate` at the grid times of ``spans`` (keys, t0, t1, columns that stay): rows
     (spans without t0 and t1, i, t, values). Only samples are shuffled: each one makes the grid rows
-    up to the next one, the first one also those before it. Keys without samples have no rows."""
+    up to the next one, the first one also those before it. Keys without samples have no rows.
+
+    ``halo`` places the rows for an operator that follows: a task makes whole groups of blocks of
+    ``width`` in order, each with the ``halo`` rows on both sides, so the rows themselves need no
+    shuffle. Columns ``_grp`` and ``_n``, the rows of the key, are added. The samples' stretches of
+    the grid are written first; nothing reads the samples any more."""
     keys, values = list(keys), list(values)
     r = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
     spans = spans.withColumns({"_r": r, "_n": grid_length(F.col("t1") - F.col("t0"), r, rule)}).where("_n > 0")
-    d = samples.select(*keys, F.col(t).alias("t"), *values).where("t is not null").withColumn("_blk", series.block_of("t", block_s))
+    d = samples.select(*keys, F.col(t).alias("t"), *values).where("t is not null")
+    block, used = series.block_of("t", block_s), []
+    if halo is not None:
+        # a key of few samples is one block: sparse blocks would need a summary for each sample
+        used = [materialise(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many")).where(f"_many > {series.FRAMES_PER_BLOCK}"), "many")]
+        d = d.join(used[0], keys, "left")
+        block = F.when(F.col("_many").isNotNull(), block).otherwise(F.lit(0).cast("long"))
+    d = d.withColumn("_blk", block)
+    if halo is not None:
+        d = d.drop("_many").repartition(*keys, "_blk")  # before the pairs of the window are made
     channels = {**{v: F.col(v) for v in values}, "_row": F.col("t")}
     aggs = []
     for n, v in channels.items():
@@ -171,7 +191,8 @@ def on_grid(
     pair = lambda side, n: F.when(F.col(f"_{side}t_{n}").isNotNull(), F.struct(F.col(f"_{side}t_{n}").alias("t"), F.col(f"_{side}v_{n}").alias("v"))).alias(f"_t_{side}_{n}")
     tails = tails.select(*keys, "_blk", *[pair(s, n) for n in channels for s in "pn"], *[f"_t__n_{v}" for v in values])
     reach = {f"{s}_{n}": (F.lit(None), s == "p") for n in channels for s in "pn"}
-    ends = series._scan(materialise(tails, "tails"), keys, reach, {f"_n_{v}": F.lit(None) for v in values}).join(spans, keys)
+    used.append(materialise(tails, "tails"))
+    ends = series._scan(used[-1], keys, reach, {f"_n_{v}": F.lit(None) for v in values}).join(spans, keys)
 
     for n, v in channels.items():
         d = d.withColumn(f"_k_{n}", F.when(v.isNotNull(), F.struct(F.col("t").alias("t"), v.alias("v"))))
@@ -190,22 +211,36 @@ def on_grid(
 
     more = [c for c in spans.columns if c not in (*keys, "t0", "t1", "_r", "_n")]
     d = d.select(
-        *keys, *more, "t0", "_r", place(F.col("t")).alias("_lo"), F.when(near("n", "_row").isNull(), F.col("_n")).otherwise(place(near("n", "_row")["t"])).alias("_hi"),
+        *keys, *more, "t0", "_r", "_n", place(F.col("t")).alias("_lo"), F.when(near("n", "_row").isNull(), F.col("_n")).otherwise(place(near("n", "_row")["t"])).alias("_hi"),
         near("p", "_row").isNull().alias("_first"), *[f"_c__n_{v}" for v in values],
         *[c for v in values for c in (F.coalesce(F.col(f"_k_{v}"), near("p", v)).alias(f"_p_{v}"), near("n", v).alias(f"_n_{v}"), F.col(f"_k_{v}"))])
     part = lambda lo, hi, early: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(early).alias("early"))
     own, early = part(F.col("_lo"), F.col("_hi"), False), part(F.lit(0).cast("long"), F.col("_lo"), True)
     d = d.withColumn("_part", F.explode(F.when(F.col("_first"), F.array(early, own)).otherwise(F.array(own)))).where("_part.lo < _part.hi")
-    lo, hi = F.col("_part.lo"), F.col("_part.hi")
-    d = d.withColumn("_b", F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))))
-    d = d.withColumn("i", F.explode(F.sequence(F.greatest(lo, F.col("_b") * width), F.least(hi, F.col("_b") * width + width) - 1)))
+    lo, hi, before = F.col("_part.lo"), F.col("_part.hi"), F.col("_part.early")
+    prev = lambda v: F.when(~before, F.col(f"_p_{v}"))
+    nxt = lambda v: F.when(before, F.coalesce(F.col(f"_k_{v}"), F.col(f"_n_{v}"))).otherwise(F.col(f"_n_{v}"))
+    enough = lambda v, c: F.when(F.col(f"_c__n_{v}") >= min_samples, c) if min_samples > 1 else c
+    if halo is None:
+        d = d.withColumn("_b", F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))))
+        d = d.withColumn("i", F.explode(F.sequence(F.greatest(lo, F.col("_b") * width), F.least(hi, F.col("_b") * width + width) - 1)))
+        d = d.withColumn("t", F.col("t0") + F.col("i") / F.col("_r"))
+        return d.select(*keys, *more, "i", "t", *[enough(v, lerp(F.col("t"), prev(v), nxt(v), outside)).alias(v) for v in values])
+
+    rows, g = series.group_rows(width), F.col("_grp")
+    d = d.select(*keys, *more, "t0", "_r", "_n", lo.alias("_lo"), hi.alias("_hi"), *[enough(v, c(v)).alias(n + v) for v in values for n, c in (("_p_", prev), ("_n_", nxt))])
+    d = materialise(d, "stretches")
+    discard(*used)
+    made, stretches = d.agg(F.coalesce(F.sum(F.col("_hi") - F.col("_lo")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = math.ceil(made / ROWS_PER_TASK + stretches / STRETCHES_PER_TASK) or 1
+    last = F.floor((F.col("_n") - 1) / rows)
+    d = d.withColumn("_grp", F.explode(F.sequence(
+        F.greatest(F.floor((F.col("_lo") - halo) / rows), F.lit(0).cast("long")), F.least(F.floor((F.col("_hi") - 1 + halo) / rows), last))))
+    d = d.withColumns({"_lo": F.greatest("_lo", g * rows - halo), "_hi": F.least("_hi", g * rows + (rows + halo))})
+    d = d.repartition(parts, *keys, "_grp").sortWithinPartitions(*keys, "_grp", "_lo")
+    d = d.withColumn("i", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
     d = d.withColumn("t", F.col("t0") + F.col("i") / F.col("_r"))
-    out = []
-    for v in values:
-        before = F.col("_part.early")
-        c = lerp(F.col("t"), F.when(~before, F.col(f"_p_{v}")), F.when(before, F.coalesce(F.col(f"_k_{v}"), F.col(f"_n_{v}"))).otherwise(F.col(f"_n_{v}")), outside)
-        out.append((F.when(F.col(f"_c__n_{v}") >= min_samples, c) if min_samples > 1 else c).alias(v))
-    return d.select(*keys, *more, "i", "t", *out)
+    return d.select(*keys, *more, "i", "t", *[lerp(F.col("t"), F.col(f"_p_{v}"), F.col(f"_n_{v}"), outside).alias(v) for v in values], "_grp", "_n")
 
 
 def whole_frames(samples: DataFrame, items: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], t: str = "t") -> DataFrame:

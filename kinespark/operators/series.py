@@ -26,6 +26,11 @@ FRAMES_PER_BLOCK = 16384
 SECONDS_PER_BLOCK = 600.0
 
 
+def group_rows(width: int) -> int:
+    """Rows of a group of whole blocks of ``width``, about FRAMES_PER_BLOCK."""
+    return width * max(1, FRAMES_PER_BLOCK // width)
+
+
 def block_of(order: str | Column, width: float) -> Column:
     c = F.col(order) if isinstance(order, str) else order
     return F.floor(c / F.lit(width)).cast("long")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinespark.functions import kernels
-from kinespark.operators import recursive, resample, series
+from kinespark.operators import blocks, recursive, resample, series
 from kinespark.session import materialise
 
 
@@ -29,15 +30,20 @@ def moving_average(
     values: Sequence[str],
     length: int | Column,
     width: int = series.FRAMES_PER_BLOCK,
+    placed: bool = False,
 ) -> DataFrame:
     """Centred moving average with mirrored ends on a gap-free index from 0.
 
     Gaps are filled for the averaging and become NULL again. ``length`` may
     differ per row group: the window is one unit of index / half wide, so one
-    range window serves every length. Lengths below 3 leave the data alone."""
+    range window serves every length. Lengths below 3 leave the data alone.
+    ``placed`` rows of numbers come from :func:`resample.on_grid` with this ``width`` and half a
+    window as ``halo``; they stay in their tasks and leave without the columns of their place."""
     keys = list(keys)
     if isinstance(length, int):
         half = (length + 1 - length % 2) // 2 if length >= 3 else 0
+        if placed:
+            return _averaged_in_place(df, keys, index, list(values), half, series.group_rows(width))
         return _averaged(df, keys, index, list(values), half, width) if half else df
     n_col = F.when(length % 2 == 0, length + 1).otherwise(length)
     d = df.withColumn("_half", F.when(n_col >= 3, F.floor(n_col / 2)).otherwise(F.lit(0)).cast("long"))
@@ -75,30 +81,8 @@ def _averaged(df: DataFrame, keys: list[str], index: str, values: list[str], hal
     """:func:`moving_average` of one length. The rows are shuffled once: a block gets its own rows and
     those ``half`` away, fills gaps among them and mirrors them at the ends of the series; what lies
     beyond them comes from one summary row per block."""
-    i, skip, rest = F.col(index), half // width + 1, half % width
-    d = df.withColumn("_blk", series.block_of(i, width))
-    inside = i - F.col("_blk") * width
-    aggs = [F.max(index).alias("_top")]
-    for v in values:
-        known = F.col(v).isNotNull()
-        for name, where, end, by in (
-            ("last", known, F.max, F.max_by), ("early", known & (inside < width - rest), F.max, F.max_by),
-            ("first", known, F.min, F.min_by), ("late", known & (inside >= rest), F.min, F.min_by),
-        ):
-            at = F.when(where, i)
-            aggs += [end(at).alias(f"_t_{name}_{v}"), by(v, at).alias(f"_v_{name}_{v}")]
-    ends = d.groupBy(*keys, "_blk").agg(*aggs)
-    pair = lambda name, v: F.when(F.col(f"_t_{name}_{v}").isNotNull(), F.struct(F.col(f"_t_{name}_{v}").alias("t"), F.col(f"_v_{name}_{v}").alias("v")))
-    ends = ends.select(*keys, "_blk", "_top", *[pair(n, v).alias(f"_{n}_{v}") for v in values for n in ("last", "early", "first", "late")])
-    along = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY _blk)"
-    # the last known value before a block's rows and the first one behind them
-    ends = ends.select(
-        *keys, "_blk", (F.max("_top").over(W.partitionBy(*keys)) + 1).alias("_n"),
-        *[F.coalesce(f"_early_{v}", F.expr(f"lag(`_last_{v}`, 1) IGNORE NULLS {along}")).alias(f"_early_{v}") for v in values],
-        *[F.coalesce(f"_late_{v}", F.expr(f"lead(`_first_{v}`, 1) IGNORE NULLS {along}")).alias(f"_late_{v}") for v in values])
-    ends = ends.select(
-        *keys, "_blk", "_n", *[F.expr(f"lag(`_early_{v}`, {skip}) {along}").alias(f"_before_{v}") for v in values],
-        *[F.expr(f"lead(`_late_{v}`, {skip}) {along}").alias(f"_behind_{v}") for v in values])
+    i = F.col(index)
+    ends = _beyond(df.withColumn("_blk", series.block_of(i, width)), keys, index, values, half, width)
 
     over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY `{index}`)"
     d = series.with_halo(df, index, half, half, width)
@@ -125,6 +109,58 @@ def _averaged(df: DataFrame, keys: list[str], index: str, values: list[str], hal
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def _beyond(d: DataFrame, keys: list[str], index: str, values: list[str], half: int, width: int) -> DataFrame:
+    """keys, _blk, _n (rows of the key) and, for each value, _before_ and _behind_: (t, v) of the last
+    known row more than ``half`` before the block and of the first one more than ``half`` behind it."""
+    i, skip, rest = F.col(index), half // width + 1, half % width
+    inside = i - F.col("_blk") * width
+    aggs = [F.max(index).alias("_top")]
+    for v in values:
+        known = F.col(v).isNotNull()
+        for name, where, end, by in (
+            ("last", known, F.max, F.max_by), ("early", known & (inside < width - rest), F.max, F.max_by),
+            ("first", known, F.min, F.min_by), ("late", known & (inside >= rest), F.min, F.min_by),
+        ):
+            at = F.when(where, i)
+            aggs += [end(at).alias(f"_t_{name}_{v}"), by(v, at).alias(f"_v_{name}_{v}")]
+    ends = d.groupBy(*keys, "_blk").agg(*aggs)
+    pair = lambda name, v: F.when(F.col(f"_t_{name}_{v}").isNotNull(), F.struct(F.col(f"_t_{name}_{v}").alias("t"), F.col(f"_v_{name}_{v}").alias("v")))
+    ends = ends.select(*keys, "_blk", "_top", *[pair(n, v).alias(f"_{n}_{v}") for v in values for n in ("last", "early", "first", "late")])
+    along = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY _blk)"
+    # the last known value before a block's rows and the first one behind them
+    ends = ends.select(
+        *keys, "_blk", (F.max("_top").over(W.partitionBy(*keys)) + 1).alias("_n"),
+        *[F.coalesce(f"_early_{v}", F.expr(f"lag(`_last_{v}`, 1) IGNORE NULLS {along}")).alias(f"_early_{v}") for v in values],
+        *[F.coalesce(f"_late_{v}", F.expr(f"lead(`_first_{v}`, 1) IGNORE NULLS {along}")).alias(f"_late_{v}") for v in values])
+    return ends.select(
+        *keys, "_blk", "_n", *[F.expr(f"lag(`_early_{v}`, {skip}) {along}").alias(f"_before_{v}") for v in values],
+        *[F.expr(f"lead(`_late_{v}`, {skip}) {along}").alias(f"_behind_{v}") for v in values])
+
+
+def _averaged_in_place(df: DataFrame, keys: list[str], index: str, values: list[str], half: int, width: int) -> DataFrame:
+    """:func:`_averaged` of rows that lie in groups of ``width``, in order and with the ``half`` rows on
+    both sides: a task streams through them. Only keys of several groups need the summary rows."""
+    out = [c for c in df.columns if c not in ("_grp", "_n")]
+    own = series.block_of(index, width) == F.col("_grp")
+    if not half:
+        return df.where(own).select(*out)
+    d = df.withColumns({v: F.col(v).cast("double") for v in values})
+    long = d.where(own & (F.col("_n") > width)).withColumn("_blk", F.col("_grp"))
+    ends = materialise(_beyond(long.drop("_n"), keys, index, values, half, width), "ends")
+    sides = ("before", "behind")
+    beyond = [] if ends.isEmpty() else [f"_{side}_{f}_{v}" for v in values for side in sides for f in "tv"]
+    if beyond:  # the rows are read and left in order: no sort
+        flat = [F.col(f"_{side}_{v}.{f}").alias(f"_{side}_{f}_{v}") for v in values for side in sides for f in "tv"]
+        d = d.join(ends.select(*keys, F.col("_blk").alias("_grp"), *flat).hint("shuffle_hash"), [*keys, "_grp"], "left")
+
+    def mean(of: blocks.Columns, starts: np.ndarray) -> blocks.Columns:
+        i, n, none = of[index][0], of["_n"][0], np.zeros(len(of[index][0]), dtype=int)
+        near = lambda side, v: [of.get(f"_{side}_{f}_{v}", (none, none > 0)) for f in "tv"]
+        return {v: (kernels.window_mean(i, n, starts, kernels.filled(i, starts, of[v], near("before", v), near("behind", v)), half), of[v][1]) for v in values}
+
+    return blocks.map_placed(d, index, out, mean, [*values, *beyond], width, half)
+
+
 def _param(value: float | str | Column | None) -> Column:
     """A number for all rows, or the column that holds each key's own."""
     if isinstance(value, str):

@@ -1,12 +1,13 @@
 """Results and work that showed only on larger tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinespark import session
 from kinespark.functions import text
 from kinespark.operators import quality, resample, series, smooth
-from kinespark.plans import catalog, jobs, q_jobs
+from kinespark.plans import catalog, jobs, q_jobs, q_series
 from kinespark.sources import trc
 
 
@@ -147,3 +148,35 @@ def test_written_rows_are_not_broadcast(spark):
     d = session.materialise(spark.range(2000).selectExpr("id % 3 as k", "id as i", "if(id % 5 = 0, null, 1.0D) as x"), "rows")
     joins = [line for line in plan(resample.fill_gaps(d, ["k"], "i", ["x"])).splitlines() if "Join" in line]
     assert "SortMergeJoin" in joins[0]
+
+
+def test_placed_grid_rows_are_averaged_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(series, "FRAMES_PER_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = [(k, str(k % 2), float(t), None if rng.random() < 0.3 else float(rng.normal()))
+            for k, n in ((1, 90), (2, 40), (3, 5), (4, 2), (5, 1)) for t in np.sort(rng.uniform(0, 70, n))]
+    rows += [(6, "a", 0.0, 1.0), (6, "a", 200.0, 3.0), (7, "b", 4.0, None), (7, "b", 60.0, None), (8, "c", 3.0, 2.0), (8, "c", 3.5, 4.0), (None, "c", 1.0, 2.0), (9, "d", None, 2.0)]
+    s = spark.createDataFrame(rows, "k int, m string, t double, x double").withColumn("y", F.col("x") * 3 + F.when(F.col("t") < 40, F.col("t")))
+    spans = resample.ranges(s, ["k", "m"]).withColumn("note", F.col("t1"))
+    gaps = lambda d: d.withColumns({c: F.when(~((F.col("i") % 11 == 5) | (F.col("i") % 37).between(9, 30)), F.col(c)) for c in "xy"})
+    for per_task, width, length in ((1 << 22, 8, 7), (150, 4, 17), (300, 3, 40), (300, 16, 2), (80, 64, 5)):
+        monkeypatch.setattr(resample, "ROWS_PER_TASK", per_task)
+        half = (length + 1 - length % 2) // 2 if length >= 3 else 0
+        grid = lambda **place: gaps(resample.on_grid(s, spans, ["k", "m"], ["x", "y"], 1.5, "floored", block_s=6.0, width=width, **place))
+        want = smooth.moving_average(grid(), ["k", "m"], "i", ["x", "y"], length, width)
+        got = smooth.moving_average(grid(halo=half), ["k", "m"], "i", ["x", "y"], length, width, placed=True)
+        assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(Exception, match="aren't whole"):
+        smooth.moving_average(grid(halo=1), ["k", "m"], "i", ["x", "y"], 5, width, placed=True).collect()
+
+
+def test_hourly_average_shuffles_no_grid_rows(spark, tmp_path):
+    spark.range(200).selectExpr(
+        "id as event_id", "timestamp_seconds(id % 10 * 90000 + id % 7) as ts", "id div 20 as user_id", "if(id % 20 < 10, 'click', 'view') as event_type",
+        "if(id % 9 = 4, null, id * 0.37D) as value", "'' as props").write.parquet(str(tmp_path / "events.parquet"))
+    out = catalog.QUERIES["win_6_moving_average"](spark, str(tmp_path))
+    lines = plan(out).splitlines()
+    made = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert not any("Exchange" in line or "Sort " in line for line in lines[:made])
+    want = smooth.moving_average(q_series.gappy(spark, str(tmp_path)), ["trial", "marker"], "i", ["x"], 7, width=64).withColumn("x", F.round("x", 6) + 0.0)
+    assert out.count() == want.count() > 4000 and out.exceptAll(want).count() == 0
